@@ -93,9 +93,12 @@ def annotate_first(
     size = stretches.agg(
         F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high")
     ).first()
+    if size["n"] == 0:
+        kinds = stretches.schema["hit"].dataType
+        return readings.select(*shown, *[F.lit(None).cast(kinds[p].dataType).alias(p) for p in payload])
     timed = readings.select(*shown, epoch_micros(F.col(x)).alias("_at"))
     slots = None
-    if 0 < size["n"] <= few:
+    if size["n"] <= few:
         width = max((size["high"] - size["low"]) // size["n"], 1)
         slots = _by_slot(stretches, width)
         fullest = slots.groupBy("_slot").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesmend.functions import ieee
@@ -10,9 +12,16 @@ from seriesmend.plans.blocks import Layout, as_blocks, last_seen
 from seriesmend.plans.staging import stage
 
 
+def _bound(value) -> Column:
+    """A constant of the axis' own type, so that the range reaches the scan."""
+    if isinstance(value, datetime.date):
+        return F.to_timestamp_ntz(F.lit(value.isoformat()))
+    return F.lit(value)
+
+
 def x_range(x: Column, x0, x1) -> Column:
-    """Inclusive; a row without a time is never selected.  Reaches the scan."""
-    return x.between(F.lit(x0), F.lit(x1))
+    """Inclusive; a row without a time is never selected."""
+    return x.between(_bound(x0), _bound(x1))
 
 
 def y_range(y: Column, y0: float, y1: float) -> Column:
@@ -97,7 +106,7 @@ def nearest_point(readings: DataFrame, spec: SeriesSpec, x: str, probe) -> DataF
     shown = tuple(c for c in (*spec.order_by, *spec.tiebreak) if c not in (x, *spec.keys))
     row = F.struct(F.col(x), *[F.col(c) for c in shown], F.col(spec.value))
     rank = F.struct(F.col(x), *[F.col(c) for c in spec.tiebreak])
-    at = F.lit(probe)
+    at = _bound(probe)
     before, after = F.col(x) < at, F.col(x) >= at
     sides = readings.filter(F.col(x).isNotNull()).groupBy(*spec.keys).agg(
         F.max_by(F.when(before, row), F.when(before, rank)).alias("_before"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesmend.functions import ieee
 from seriesmend.model import SeriesSpec, join_on_key
-from seriesmend.plans.blocks import BROADCAST_ROWS, ROW_NUMBER, Layout, as_blocks, profile
+from seriesmend.plans.blocks import BROADCAST_ROWS, ROW_NUMBER, Layout, as_blocks
 from seriesmend.sources.timeaxis import epoch_seconds
 
 # Fixed value: most points of a selection that are shown.
@@ -71,12 +71,17 @@ def downsample_stride(
     """Every k-th selected row of a series, k = n div shown + 1, if there are more than ``shown``."""
     selected = (df if where is None else df.filter(where)).select(*spec.row_key, *keep)
     blocks = as_blocks(selected, spec, layout=layout)
-    sizes = blocks.df.groupBy(*spec.keys).agg(
-        F.min(ROW_NUMBER).alias("_first"), F.count(F.lit(1)).alias("_n")
-    )
-    if not spec.keys or profile(selected, spec.keys).series <= BROADCAST_ROWS:
-        sizes = F.broadcast(sizes)
-    numbered = join_on_key(blocks.df, sizes, spec.keys)
+    if blocks.blocked:
+        sizes = blocks.df.groupBy(*spec.keys).agg(
+            F.min(ROW_NUMBER).alias("_first"), F.count(F.lit(1)).alias("_n")
+        )
+        if blocks.summary_rows <= BROADCAST_ROWS:
+            sizes = F.broadcast(sizes)
+        numbered = join_on_key(blocks.df, sizes, spec.keys)
+    else:
+        numbered = blocks.df.withColumns(
+            {"_first": F.lit(1), "_n": F.count(F.lit(1)).over(blocks.whole())}
+        )
     step = F.when(
         F.col("_n") > shown, F.floor(F.col("_n") / F.lit(shown)) + 1
     ).otherwise(F.lit(1))
