@@ -114,6 +114,21 @@ def _multiply(a: Term, b: Term) -> Term:
     return _numbers(operator.mul, a, b)
 
 
+# exponents that array libraries compute without the general power function
+SIMPLE_POWERS = {
+    1: lambda a: a,
+    2: lambda a: a * a,
+    0.5: F.sqrt,
+    -1: lambda a: ieee.divide(F.lit(1.0), a),
+}
+
+
+def _power(a: Term, b: Term) -> Term:
+    if b.folded and b.kind == "num" and b.const in SIMPLE_POWERS:
+        return _numbers(SIMPLE_POWERS[b.const], a)
+    return _numbers(ieee.power, a, b)
+
+
 def _lifted(build) -> Callable[..., Term]:
     return lambda *terms: _numbers(build, *terms)
 
@@ -126,7 +141,7 @@ BINARY = {
     ast.Div: (operator.truediv, _lifted(ieee.divide)),
     ast.Mod: (operator.mod, _lifted(ieee.remainder)),
     ast.FloorDiv: (operator.floordiv, _lifted(ieee.floor_divide)),
-    ast.Pow: (operator.pow, _lifted(ieee.power)),
+    ast.Pow: (operator.pow, _power),
 }
 
 COMPARISON = {

@@ -1,8 +1,9 @@
 """Spike and stuck-value detectors.
 
-Both return candidate rows (row key, score, kind) and change nothing.  A missing
-reading may be NULL or NaN.  Each runs as one window pass per series, or per
-block of a long series (see ``plans.blocks``).
+``score_*`` gives every row its score; ``detect_*`` keeps the candidates (row key,
+score, kind).  Nothing is changed.  A missing reading may be NULL or NaN.  Each
+runs as one window pass per series, or per block of a long series (see
+``plans.blocks``), and a correction of the candidates needs no join back.
 """
 
 from __future__ import annotations
@@ -129,9 +130,11 @@ def _difference_frames(
             )
         )
     )
-    # the first row of a series has no difference, and two rows are no series
-    usable = (F.col("_place") > 1) & (F.col("_size") >= 3)
-    return blocks.core(frames).filter(usable), F.sort_array(padded)
+    return blocks.core(frames), F.sort_array(padded)
+
+
+# the first row of a series has no difference, and two rows are no series
+_SCORABLE = "_place > 1 AND _size >= 3"
 
 
 def rolling_median_mad(
@@ -143,24 +146,24 @@ def rolling_median_mad(
         ordered,
         lambda s: let(_middle(s), lambda m: F.struct(m.alias("med"), _deviation(s, m).alias("mad"))),
     )
-    return frames.select(*spec.row_key, F.col("_d").alias("diff"), both.alias("_s")).select(
+    usable = frames.filter(_SCORABLE)
+    return usable.select(*spec.row_key, F.col("_d").alias("diff"), both.alias("_s")).select(
         *spec.row_key, "diff", "_s.med", "_s.mad"
     )
 
 
-def detect_spikes(
+def score_spikes(
     df: DataFrame,
     spec: SeriesSpec,
     window: int = 24,
-    z_thresh: float = 4.0,
     layout: Layout = Layout(),
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Rows whose step from the previous reading is an outlier among its neighbours.
+    """Every row with the ``score`` of its step from the previous reading.
 
-    score = |d - median| / (1.4826 * MAD + 1e-9), flagged when above ``z_thresh``;
-    an undefined or infinite score counts as 0.  The later row of the pair is
-    flagged, so an isolated spike gives two candidates.
+    score = |d - median| / (1.4826 * MAD + 1e-9) over the differences around it;
+    an undefined or infinite score counts as 0.  NULL on the first row of a series
+    and in series of fewer than three rows.
     """
     frames, ordered = _difference_frames(df, spec, window, layout, keep)
     d = F.col("_d")
@@ -171,15 +174,25 @@ def detect_spikes(
             lambda m: F.abs(d - m) / (_deviation(s, m) * MAD_TO_SIGMA + MAD_FLOOR),
         ),
     )
-    score = F.when(
-        d.isNotNull(),
-        let(raw_score, lambda z: F.when(ieee.is_finite(z), z).otherwise(F.lit(0.0))),
-    ).otherwise(F.lit(0.0))
-    return (
-        frames.select(*spec.row_key, *keep, score.alias("score"))
-        .filter(F.col("score") > float(z_thresh))
-        .withColumn("kind", F.lit("spike"))
-    )
+    finite = let(raw_score, lambda z: F.when(ieee.is_finite(z), z).otherwise(F.lit(0.0)))
+    score = F.when(F.expr(_SCORABLE), F.when(d.isNotNull(), finite).otherwise(F.lit(0.0)))
+    return frames.select(*spec.row_key, *keep, score.alias("score"))
+
+
+def detect_spikes(
+    df: DataFrame,
+    spec: SeriesSpec,
+    window: int = 24,
+    z_thresh: float = 4.0,
+    layout: Layout = Layout(),
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Rows whose step is an outlier among its neighbours (score above ``z_thresh``).
+
+    The later row of the pair is flagged, so an isolated spike gives two candidates.
+    """
+    scored = score_spikes(df, spec, window, layout, keep)
+    return scored.filter(F.col("score") > float(z_thresh)).withColumn("kind", F.lit("spike"))
 
 
 # --- runs -------------------------------------------------------------------
@@ -306,25 +319,34 @@ def _least_run(min_run_length: int) -> int:
     return max(int(min_run_length), 2)
 
 
-def detect_frozen(
+def score_frozen(
     df: DataFrame,
     spec: SeriesSpec,
-    min_run_length: int = 6,
     tolerance: float = 0.0,
     layout: Layout = Layout(),
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Every row of a run of near-equal readings; the score is the run length.
+    """Every row with the length of the run of near-equal readings it is in.
 
     Neighbours are equal when they differ by at most ``tolerance``, so a slow
-    drift is one run.  A missing reading ends a run.
+    drift is one run.  A missing reading is a run of its own.
     """
     runs = _stuck_runs(df, spec, tolerance, layout, keep)
-    return runs.filter(F.col("_length") >= _least_run(min_run_length)).select(
-        *spec.row_key,
-        *keep,
-        F.col("_length").cast("double").alias("score"),
-        F.lit("freeze").alias("kind"),
+    return runs.select(*spec.row_key, *keep, F.col("_length").cast("double").alias("score"))
+
+
+def detect_frozen(
+    df: DataFrame,
+    spec: SeriesSpec,
+    min_run_length: int = 6,
+    tolerance: float = 0.0,
+    layout: Layout = Layout(),
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """All rows of the runs of at least ``min_run_length`` (and two) readings."""
+    scored = score_frozen(df, spec, tolerance, layout, keep)
+    return scored.filter(F.col("score") >= _least_run(min_run_length)).withColumn(
+        "kind", F.lit("freeze")
     )
 
 

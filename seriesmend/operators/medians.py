@@ -33,6 +33,9 @@ def exact_median(
     # at most rows / largest_plain long series
     long_ones = stage(counts.filter(F.col("_n") > largest_plain))
     few = sizes.rows / largest_plain <= BROADCAST_ROWS
+    if not keys:
+        rest = values.filter(F.col("_v").isNotNull())
+        return _narrowed_median(rest, long_ones, keys, few).withColumnRenamed("_v", value)
     listed = long_ones.select(*keys, F.lit(True).alias("_long"))
     marked = join_on_key(values, F.broadcast(listed) if few else listed, keys)
     short = marked.filter(F.col("_long").isNull()).groupBy(*keys).agg(percentile)

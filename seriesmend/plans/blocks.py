@@ -22,7 +22,9 @@ from seriesmend.model import SeriesSpec, join_on_key
 from seriesmend.plans.staging import stage
 
 LARGEST_PLAIN_SERIES = 2_000_000   # rows one task may hold in a window
-BLOCK_ROWS = 1_000_000             # rows per block beyond that
+SMALLEST_BLOCK = 250_000           # rows per block beyond that ...
+MOST_BLOCKS = 200_000              # ... and larger ones rather than more blocks
+ROWS_PER_RANGE = 20_000_000        # rows one range partition may sort
 BROADCAST_ROWS = 500_000           # rows a broadcast table may have
 
 ROW_NUMBER, BLOCK, CORE = "_rn", "_block", "_core"
@@ -54,9 +56,13 @@ class Layout:
     """``mode``: "plain" (window per series), "blocked", or "auto" (by profile)."""
 
     mode: str = "auto"
-    block_rows: int = BLOCK_ROWS
+    block_rows: int | None = None
     largest_plain: int = LARGEST_PLAIN_SERIES
 
+    def rows_per_block(self, rows: int, halo: int) -> int:
+        chosen = self.block_rows or max(SMALLEST_BLOCK, math.ceil(rows / MOST_BLOCKS))
+        return max(chosen, halo, 1)
+
 
 @dataclass(frozen=True)
 class Blocks:
@@ -137,15 +143,15 @@ def as_blocks(
     sizes = profile(df, spec.keys)
     if layout.mode == "auto" and sizes.largest <= layout.largest_plain:
         return _plain(df, spec)
-    block_rows = max(layout.block_rows, halo, 1)
+    block_rows = layout.rows_per_block(sizes.rows, halo)
     shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(shuffles, math.ceil(sizes.rows / block_rows))
+    partitions = max(shuffles, math.ceil(sizes.rows / ROWS_PER_RANGE))
     numbered = number_rows(df, spec, partitions)
-    own = F.floor(F.col(ROW_NUMBER) / F.lit(block_rows)).cast("long")
+    offset = F.col(ROW_NUMBER) % block_rows
+    own = ((F.col(ROW_NUMBER) - offset) / block_rows).cast("long")
     if halo == 0:
         placed = numbered.withColumn(BLOCK, own).withColumn(CORE, F.lit(True))
     else:
-        offset = F.col(ROW_NUMBER) % block_rows
         targets = F.array_compact(
             F.array(
                 own,

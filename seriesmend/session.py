@@ -17,6 +17,8 @@ def local_session(threads: str = "8", **conf) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # small local tables still use all threads after a shuffle
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
     )

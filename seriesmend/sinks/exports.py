@@ -20,14 +20,12 @@ def changed(raw: Column, corrected: Column) -> Column:
     The tolerance is relative to the corrected value.  Two missing values, and
     two equal infinities, are the same.
     """
-    r, c = ieee.to_missing(raw), ieee.to_missing(corrected)
-    infinite = (F.abs(r) == ieee.INF) | (F.abs(c) == ieee.INF)
-    close = F.abs(r - c) <= ABSOLUTE_TOLERANCE + RELATIVE_TOLERANCE * F.abs(c)
-    return (
-        F.when(r.isNull() | c.isNull(), ~(r.isNull() & c.isNull()))
-        .when(infinite, r != c)
-        .otherwise(~close)
+    r, c = ieee.to_nan(raw), ieee.to_nan(corrected)
+    # "=" holds for two NaN and for equal infinities; NaN is not below infinity
+    close = (F.abs(c) < ieee.INF) & (
+        F.abs(r - c) <= ABSOLUTE_TOLERANCE + RELATIVE_TOLERANCE * F.abs(c)
     )
+    return ~((r == c) | close)
 
 
 def changed_cells(df: DataFrame, raw: str = "raw", corrected: str = "corrected") -> DataFrame:
@@ -66,10 +64,17 @@ def series_output(
     return df.select(*columns, *[F.col(new).alias(v) for v, new in touched.items()])
 
 
-def full_output(
+def full_output(df: DataFrame, columns: list[str], touched: dict[str, str]) -> DataFrame:
+    """All rows and ``columns``, the touched ones replaced by their corrected column."""
+    return df.select(
+        *[F.col(touched[c]).cast("double").alias(c) if c in touched else F.col(c) for c in columns]
+    )
+
+
+def merged_output(
     table: DataFrame, corrected: DataFrame, row_key: tuple[str, ...], variables: list[str]
 ) -> DataFrame:
-    """``table`` with the touched variables replaced by double values.
+    """An earlier full output with more variables replaced (its other fixes stay).
 
     ``corrected`` holds the row key and the variables.  Column order is kept.
     """

@@ -30,7 +30,7 @@ def normalize_annotations(df: DataFrame) -> DataFrame:
 
 def load_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Read and normalize; ``event_no`` follows file order."""
-    read = read_table(spark, path, parse_dates=False)
+    read = read_table(spark, path, infer=False)
     return normalize_annotations(read.withColumn("event_no", F.monotonically_increasing_id()))
 
 

@@ -34,19 +34,20 @@ def read_table(
     spark: SparkSession,
     path: str,
     schema: T.StructType | None = None,
-    parse_dates: bool = True,
+    infer: bool = True,
 ) -> DataFrame:
     """Scan a parquet or csv table by its suffix.
 
-    Give csv a ``schema`` at scale: inference reads the file once more.
+    Give csv a ``schema`` at scale: inference (numbers, dates, times) reads the
+    file once more.  Without either every csv column is text.
     """
     fmt = table_format(path)
     if fmt == "parquet":
         return spark.read.parquet(str(path))
-    options = {"header": True}
+    reader = spark.read.option("header", True)
     if schema is not None:
-        return spark.read.schema(schema).csv(str(path), **options)
-    return spark.read.csv(str(path), inferSchema=True, preferDate=parse_dates, **options)
+        return reader.schema(schema).csv(str(path))
+    return reader.options(inferSchema=infer, preferDate=True).csv(str(path))
 
 
 def find_time_column(schema: T.StructType) -> str:

@@ -53,8 +53,12 @@ def epoch_seconds(ts: Column) -> Column:
 
 
 def with_time_axis(
-    df: DataFrame, time_column: str, name: str = "ts", formats=TIME_FORMATS
+    df: DataFrame,
+    time_column: str,
+    name: str = "ts",
+    epoch_name: str = "x_epoch",
+    formats=TIME_FORMATS,
 ) -> DataFrame:
-    """Add the parsed time ``name`` and ``x_epoch``; the session zone must be UTC."""
+    """Add the parsed time ``name`` and its epoch seconds; the session zone must be UTC."""
     ts = time_axis(F.col(time_column), df.schema[time_column].dataType, formats)
-    return df.withColumn(name, ts).withColumn("x_epoch", epoch_seconds(F.col(name)))
+    return df.withColumn(name, ts).withColumn(epoch_name, epoch_seconds(F.col(name)))

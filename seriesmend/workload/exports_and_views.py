@@ -12,6 +12,7 @@ from seriesmend.sinks.exports import (
     diff_output,
     diff_output_long,
     full_output,
+    merged_output,
     series_output,
 )
 from seriesmend.sources.annotations import (
@@ -156,7 +157,7 @@ def _capped_prices(spark, folder):
 )
 def save_full(spark, folder):
     orders, fixed = _capped_prices(spark, folder)
-    return full_output(orders, fixed, ("o_orderkey",), ["o_totalprice"])
+    return full_output(fixed, orders.columns, {"o_totalprice": "o_totalprice"})
 
 
 @query(
@@ -168,9 +169,9 @@ def save_full(spark, folder):
 def save_full_merge(spark, folder):
     """A second variable saved over an earlier full output keeps the first one's fixes."""
     orders, fixed = _capped_prices(spark, folder)
-    earlier = full_output(orders, fixed, ("o_orderkey",), ["o_totalprice"])
+    earlier = full_output(fixed, orders.columns, {"o_totalprice": "o_totalprice"})
     second = orders.select("o_orderkey", F.when(F.col("o_custkey") >= 100, F.col("o_custkey")).alias("o_custkey"))
-    return full_output(earlier, second, ("o_orderkey",), ["o_custkey"])
+    return merged_output(earlier, second, ("o_orderkey",), ["o_custkey"])
 
 
 # --- annotation -------------------------------------------------------------------
