@@ -10,8 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add ``value`` as a column that later filters read instead of repeating it.
+
+    Unfolding a one-element array keeps the expression in generated code, and no
+    filter moves below it.
+    """
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))

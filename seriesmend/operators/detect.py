@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesmend.functions import ieee
-from seriesmend.functions.binding import let
+from seriesmend.functions.binding import let, once
 from seriesmend.model import SeriesSpec, join_on_key
 from seriesmend.plans.blocks import BLOCK, ROW_NUMBER, Blocks, Layout, as_blocks
 
@@ -46,6 +46,11 @@ def first_difference(
 # --- rolling median and median absolute deviation ---------------------------
 
 
+# Up to this half width the deviation of a full frame is written out term by term,
+# which stays in generated code; wider frames use array functions.
+WRITTEN_OUT = 40
+
+
 def _middle(ordered: Column) -> Column:
     """Median of a sorted array; NULL if empty."""
     n = F.size(ordered)
@@ -70,22 +75,44 @@ def _kth_deviation(ordered: Column, centre: Column, k: Column) -> Column:
     )
 
 
-def _deviation(ordered: Column, centre: Column) -> Column:
+def _full_frame_deviation(ordered: Column, centre: Column, half: int) -> Column:
+    """The same for a frame of ``2 * half + 1`` values, k = half + 1."""
+    at = lambda i: F.get(ordered, F.lit(i))
+    return F.least(
+        *[F.greatest(centre - at(i), at(i + half) - centre) for i in range(half + 1)]
+    )
+
+
+def _any_deviation(ordered: Column, centre: Column) -> Column:
     n = F.size(ordered)
     k = ((n + 1) / 2).cast("int")
     nearest = _kth_deviation(ordered, centre, k)
-    spread = F.when(n % 2 == 1, nearest).otherwise(
+    return F.when(n % 2 == 1, nearest).otherwise(
         (nearest + _kth_deviation(ordered, centre, k + 1)) / 2
     )
+
+
+def _with_deviation(frames: DataFrame, half: int) -> DataFrame:
+    """Add ``_med`` and ``_mad`` of the sorted frame ``_s`` (NULL if it is empty)."""
+    ordered, centre = F.col("_s"), F.col("_med")
+    centred = once(frames, "_med", _middle(ordered))
+    if half <= WRITTEN_OUT:
+        full = (F.size(ordered) == 2 * half + 1) & ieee.is_finite(centre)
+        written = F.when(full, _full_frame_deviation(ordered, centre, half))
+        centred = once(centred, "_full", written)
+    else:
+        centred = centred.withColumn("_full", F.lit(None).cast("double"))
     # distances to an infinite centre may be undefined; those are left out
-    literal = F.sort_array(
+    defined = F.sort_array(
         F.filter(F.transform(ordered, lambda v: F.abs(v - centre)), lambda v: ~F.isnan(v))
     )
-    return (
+    rest = (
         F.when(centre.isNull(), F.lit(None).cast("double"))
-        .when(ieee.is_finite(centre), spread)
-        .otherwise(let(literal, _middle))
+        .when(ieee.is_finite(centre), _any_deviation(ordered, centre))
+        .otherwise(let(defined, _middle))
     )
+    mad = F.when(F.col("_full").isNotNull(), F.col("_full")).otherwise(rest)
+    return centred.withColumn("_mad", mad).drop("_full")
 
 
 def _half(window: int) -> int:
@@ -95,7 +122,7 @@ def _half(window: int) -> int:
 def _difference_frames(
     df: DataFrame, spec: SeriesSpec, window: int, layout: Layout, keep: tuple[str, ...] = ()
 ):
-    """Differences ``_d`` with the sorted, edge-padded frame around each.
+    """Differences ``_d`` with ``_s``, the sorted, edge-padded frame around each.
 
     The frame is ``2 * half + 1`` differences; past either end of the series the
     first / last difference is repeated.  How many are missing follows from the
@@ -121,16 +148,20 @@ def _difference_frames(
     )
     short_left = F.lit(half) - F.least(F.col("_place") - 2, F.lit(half))
     short_right = F.lit(half) - F.least(F.col("_size") - F.col("_place"), F.lit(half))
+
+    def repeated(edge: str, times: Column) -> Column:
+        present = F.when(F.col(edge).isNotNull(), times).otherwise(F.lit(0))
+        return F.array_repeat(F.coalesce(F.col(edge), F.lit(0.0)), present)
+
     padded = F.when(short_left + short_right == 0, F.col("_frame")).otherwise(
-        F.array_compact(
-            F.concat(
-                F.col("_frame"),
-                F.array_repeat("_first_d", short_left),
-                F.array_repeat("_last_d", short_right),
-            )
+        F.concat(
+            F.col("_frame"), repeated("_first_d", short_left), repeated("_last_d", short_right)
         )
     )
-    return blocks.core(frames), F.sort_array(padded)
+    framed = blocks.core(frames).select(
+        *spec.row_key, *keep, "_d", "_place", "_size", padded.alias("_padded")
+    )
+    return once(framed, "_s", F.sort_array("_padded")).drop("_padded")
 
 
 # the first row of a series has no difference, and two rows are no series
@@ -141,14 +172,12 @@ def rolling_median_mad(
     df: DataFrame, spec: SeriesSpec, window: int = 24, layout: Layout = Layout()
 ) -> DataFrame:
     """Row key, ``diff``, and the median and MAD of the differences around it."""
-    frames, ordered = _difference_frames(df, spec, window, layout)
-    both = let(
-        ordered,
-        lambda s: let(_middle(s), lambda m: F.struct(m.alias("med"), _deviation(s, m).alias("mad"))),
-    )
-    usable = frames.filter(_SCORABLE)
-    return usable.select(*spec.row_key, F.col("_d").alias("diff"), both.alias("_s")).select(
-        *spec.row_key, "diff", "_s.med", "_s.mad"
+    frames = _difference_frames(df, spec, window, layout).filter(_SCORABLE)
+    return _with_deviation(frames, _half(window)).select(
+        *spec.row_key,
+        F.col("_d").alias("diff"),
+        F.col("_med").alias("med"),
+        F.col("_mad").alias("mad"),
     )
 
 
@@ -165,17 +194,10 @@ def score_spikes(
     an undefined or infinite score counts as 0.  NULL on the first row of a series
     and in series of fewer than three rows.
     """
-    frames, ordered = _difference_frames(df, spec, window, layout, keep)
-    d = F.col("_d")
-    raw_score = let(
-        ordered,
-        lambda s: let(
-            _middle(s),
-            lambda m: F.abs(d - m) / (_deviation(s, m) * MAD_TO_SIGMA + MAD_FLOOR),
-        ),
-    )
-    finite = let(raw_score, lambda z: F.when(ieee.is_finite(z), z).otherwise(F.lit(0.0)))
-    score = F.when(F.expr(_SCORABLE), F.when(d.isNotNull(), finite).otherwise(F.lit(0.0)))
+    frames = _with_deviation(_difference_frames(df, spec, window, layout, keep), _half(window))
+    ratio = F.abs(F.col("_d") - F.col("_med")) / (F.col("_mad") * MAD_TO_SIGMA + MAD_FLOOR)
+    # undefined and infinite ratios, and missing differences, count as 0
+    score = F.when(F.expr(_SCORABLE), F.when(ratio < ieee.INF, ratio).otherwise(F.lit(0.0)))
     return frames.select(*spec.row_key, *keep, score.alias("score"))
 
 

@@ -22,7 +22,7 @@ from seriesmend.model import SeriesSpec, join_on_key
 from seriesmend.plans.staging import stage
 
 LARGEST_PLAIN_SERIES = 2_000_000   # rows one task may hold in a window
-SMALLEST_BLOCK = 250_000           # rows per block beyond that ...
+SMALLEST_BLOCK = 100_000           # rows per block beyond that ...
 MOST_BLOCKS = 200_000              # ... and larger ones rather than more blocks
 ROWS_PER_RANGE = 20_000_000        # rows one range partition may sort
 BROADCAST_ROWS = 500_000           # rows a broadcast table may have

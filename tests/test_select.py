@@ -48,9 +48,9 @@ def test_ranges_reach_the_scan(spark, small):
     events = spark.read.parquet(f"{small}/events.parquet")
     day = datetime.datetime(2024, 1, 10), datetime.datetime(2024, 1, 11)
     chosen = events.filter(select.x_range(F.col("ts"), *day) & select.y_range(F.col("value"), 5, 60))
-    spark.conf.set("spark.sql.maxMetadataValueLength", "1000")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     plan = chosen.select("event_id")._jdf.queryExecution().executedPlan().toString()
-    spark.conf.unset("spark.sql.maxMetadataValueLength")
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     pushed = plan[plan.index("PushedFilters"):]
     assert "GreaterThanOrEqual(ts" in pushed and "GreaterThanOrEqual(value" in pushed
     assert "props" not in plan
