@@ -18,6 +18,7 @@ from seriesmend.sources.timeaxis import epoch_micros
 
 LEVELS = 58                # 2^58 microseconds is longer than the calendar
 FEW_STRETCHES = 100_000    # stretches that may be broadcast
+FEW_BYTES = 64 * 2**20     # and the size of what they carry
 STRETCHES_PER_SLOT = 64    # candidates a reading may have to look at
 
 
@@ -91,14 +92,17 @@ def annotate_first(
     shown = tuple(readings.columns) if keep is None else keep
     stretches = stage(covered_stretches(annotations, order, payload, tolerance_s))
     size = stretches.agg(
-        F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high")
+        F.count(F.lit(1)).alias("n"),
+        F.min("at").alias("low"),
+        F.max("at").alias("high"),
+        F.coalesce(F.sum(F.octet_length(F.to_json("hit"))), F.lit(0)).alias("bytes"),
     ).first()
     if size["n"] == 0:
         kinds = stretches.schema["hit"].dataType
         return readings.select(*shown, *[F.lit(None).cast(kinds[p].dataType).alias(p) for p in payload])
     timed = readings.select(*shown, epoch_micros(F.col(x)).alias("_at"))
     slots = None
-    if size["n"] <= few:
+    if size["n"] <= few and size["bytes"] <= FEW_BYTES:
         width = max((size["high"] - size["low"]) // size["n"], 1)
         slots = _by_slot(stretches, width)
         fullest = slots.groupBy("_slot").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
@@ -132,10 +136,16 @@ def _carried_along(timed, stretches, shown, payload, layout: Layout) -> DataFram
     marks = stretches.select(
         F.col("at").alias("_at"), F.lit(0).alias("_kind"), F.struct("hit").alias("_mark")
     )
-    rows = timed.select("_at", F.lit(1).alias("_kind"), F.struct(*shown).alias("_row"))
+    rows = timed.select(
+        "_at",
+        F.lit(1).alias("_kind"),
+        F.monotonically_increasing_id().alias("_no"),
+        F.struct(*shown).alias("_row"),
+    )
     merged = marks.unionByName(rows, allowMissingColumns=True)
-    # readings of one time may come in any order; the mark comes first
-    order = SeriesSpec((), ("_at",), ("_kind",))
+    # The mark comes first; readings of one time may come in any order, but they
+    # need one so that a crowded time can be split.
+    order = SeriesSpec((), ("_at",), ("_kind", "_no"))
     blocks = as_blocks(merged, order, layout=layout)
     carried = last_seen(blocks, "_mark", "_current").filter(F.col("_kind") == 1)
     covered = F.when(F.col("_at").isNotNull(), F.col("_current.hit"))

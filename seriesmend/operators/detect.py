@@ -309,19 +309,15 @@ def find_runs(
 
 
 def _one_row_per_run(runs: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Only the first and last row of a run travel: its length is known already."""
     place = tuple(dict.fromkeys((*spec.order_by, *spec.tiebreak)))
-    at = F.struct(*place)
-    grouped = runs.groupBy(*spec.keys, "_run").agg(
-        F.min_by(at, ROW_NUMBER).alias("_start"),
-        F.max_by(at, ROW_NUMBER).alias("_end"),
-        F.count(F.lit(1)).alias("points"),
-    )
-    return grouped.select(
-        *spec.keys,
-        *[F.col(f"_start.{c}").alias(f"start_{c}") for c in place],
-        *[F.col(f"_end.{c}").alias(f"end_{c}") for c in place],
-        "points",
-    )
+    first = F.col(ROW_NUMBER) == F.col("_run")
+    last = F.col(ROW_NUMBER) == F.col("_run") + F.col("_length") - 1
+    return runs.filter(first | last).groupBy(*spec.keys, "_run").agg(
+        *[F.max(F.when(first, F.col(c))).alias(f"start_{c}") for c in place],
+        *[F.max(F.when(last, F.col(c))).alias(f"end_{c}") for c in place],
+        F.max("_length").alias("points"),
+    ).drop("_run")
 
 
 def _stuck_runs(

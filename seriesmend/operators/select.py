@@ -7,8 +7,8 @@ import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesmend.functions import ieee
-from seriesmend.model import SeriesSpec
-from seriesmend.plans.blocks import Layout, as_blocks, last_seen
+from seriesmend.model import SeriesSpec, join_on_key
+from seriesmend.plans.blocks import BROADCAST_ROWS, Layout, as_blocks, last_seen
 from seriesmend.plans.staging import stage
 
 
@@ -76,11 +76,13 @@ def nearest_points(
         *spec.keys,
         F.col(probe_x).alias("_x"),
         F.lit(0).alias("_kind"),
+        F.monotonically_increasing_id().alias("_no"),
         F.struct(*extra).alias("_asked") if extra else F.lit(True).alias("_asked"),
     )
     merged = points.unionByName(asked, allowMissingColumns=True)
-    # a probe sorts before the readings of its own time
-    order = SeriesSpec(spec.keys, ("_x",), ("_kind", *[f"_tie_{c}" for c in spec.tiebreak]))
+    # a probe sorts before the readings of its own time; equal probes get an order too
+    ties = [f"_tie_{c}" for c in spec.tiebreak]
+    order = SeriesSpec(spec.keys, ("_x",), ("_kind", *ties, "_no"))
     blocks = as_blocks(merged, order, layout=layout)
     before = last_seen(blocks, "_point", "_before")
     both = last_seen(blocks.with_df(before), "_point", "_after", backwards=True)
@@ -102,22 +104,42 @@ def nearest_points(
 
 
 def nearest_point(readings: DataFrame, spec: SeriesSpec, x: str, probe) -> DataFrame:
-    """One probe for all series: a single grouped aggregate, no ordering needed."""
+    """One probe for all series.
+
+    A first pass finds the two neighbouring times of every series (a hash
+    aggregate over the key and time columns).  The second reads only the time
+    range those cover, which reaches the scan, to settle repeated times.
+    """
     shown = tuple(c for c in (*spec.order_by, *spec.tiebreak) if c not in (x, *spec.keys))
-    row = F.struct(F.col(x), *[F.col(c) for c in shown], F.col(spec.value))
-    rank = F.struct(F.col(x), *[F.col(c) for c in spec.tiebreak])
     at = _bound(probe)
-    before, after = F.col(x) < at, F.col(x) >= at
-    sides = readings.filter(F.col(x).isNotNull()).groupBy(*spec.keys).agg(
-        F.max_by(F.when(before, row), F.when(before, rank)).alias("_before"),
-        F.min_by(F.when(after, row), F.when(after, rank)).alias("_after"),
+    sides = stage(
+        readings.filter(F.col(x).isNotNull()).groupBy(*spec.keys).agg(
+            F.max(F.when(F.col(x) < at, F.col(x))).alias("_left"),
+            F.min(F.when(F.col(x) >= at, F.col(x))).alias("_right"),
+        )
     )
-    earlier = F.col("_after").isNull() | (
-        F.col("_before").isNotNull()
-        & ((at - F.col(f"_before.{x}")) < (F.col(f"_after.{x}") - at))
+    left, right = F.col("_left"), F.col("_right")
+    earlier = right.isNull() | (left.isNotNull() & ((at - left) < (right - at)))
+    chosen = sides.select(
+        *spec.keys, F.when(earlier, left).otherwise(right).alias("_time"), earlier.alias("_earlier")
+    )
+    reach = chosen.agg(
+        F.min("_time").alias("low"), F.max("_time").alias("high"), F.count(F.lit(1)).alias("n")
+    ).first()
+    if reach["n"] <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    near = readings
+    if reach["low"] is not None:
+        near = near.filter(F.col(x).between(_bound(reach["low"]), _bound(reach["high"])))
+    tied = join_on_key(near, chosen, spec.keys, "inner").filter(F.col(x) == F.col("_time"))
+    row = F.struct(F.col(x), *[F.col(c) for c in shown], F.col(spec.value))
+    rank = F.struct(*[F.col(c) for c in (x, *spec.tiebreak)])
+    # before the probe the last of equal times, at or after it the first
+    hits = tied.groupBy(*spec.keys, "_earlier").agg(
+        F.max_by(row, rank).alias("_last"), F.min_by(row, rank).alias("_first")
     )
-    hit = F.when(earlier, F.col("_before")).otherwise(F.col("_after"))
-    return sides.select(*spec.keys, hit.alias("_hit")).select(*spec.keys, "_hit.*")
+    hit = F.when(F.col("_earlier"), F.col("_last")).otherwise(F.col("_first"))
+    return hits.select(*spec.keys, hit.alias("_hit")).select(*spec.keys, "_hit.*")
 
 
 def finite_reading(value: Column) -> Column:

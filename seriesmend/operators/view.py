@@ -24,14 +24,19 @@ def display(df: DataFrame, mode: str, columns: tuple[str, ...]) -> DataFrame:
 
 def series_extent(df: DataFrame, spec: SeriesSpec, x: str, mode: str = "both") -> DataFrame:
     """Per series: time of the first and last row, finite value range of what is shown."""
-    place = F.struct(*[F.col(c) for c in (*spec.order_by, *spec.tiebreak)])
     finite = [F.when(ieee.is_finite(F.col(c)), F.col(c)) for c in DISPLAY_COLUMNS[mode]]
     low = F.least(*finite) if len(finite) > 1 else finite[0]
     high = F.greatest(*finite) if len(finite) > 1 else finite[0]
-    timed = F.col(x).isNotNull()
+    if x == spec.order_by[0]:
+        # rows are in time order, so the first and last row have the extreme times
+        first, last = F.min(x), F.max(x)
+    else:
+        place = F.struct(*[F.col(c) for c in (*spec.order_by, *spec.tiebreak)])
+        timed = F.when(F.col(x).isNotNull(), place)
+        first, last = F.min_by(x, timed), F.max_by(x, timed)
     return df.groupBy(*spec.keys).agg(
-        F.min_by(F.when(timed, F.col(x)), F.when(timed, place)).alias("x_first"),
-        F.max_by(F.when(timed, F.col(x)), F.when(timed, place)).alias("x_last"),
+        first.alias("x_first"),
+        last.alias("x_last"),
         F.min(low).alias("y_min"),
         F.max(high).alias("y_max"),
     )

@@ -193,9 +193,16 @@ def last_seen(blocks: Blocks, value: str, name: str, backwards: bool = False) ->
     seen = blocks.df.withColumn(name, F.last(value, ignorenulls=True).over(running))
     if not blocks.blocked:
         return seen
-    pick = F.min_by if backwards else F.max_by
-    per_block = blocks.df.filter(F.col(value).isNotNull()).groupBy(*blocks.parts).agg(
-        pick(value, ROW_NUMBER).alias("_edge")
+    # the outermost row with a value in every block: its number first, then its value
+    outermost = F.min if backwards else F.max
+    places = blocks.df.filter(F.col(value).isNotNull()).groupBy(*blocks.parts).agg(
+        outermost(ROW_NUMBER).alias("_at")
+    )
+    if blocks.summary_rows <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    edge_rows = blocks.df.select(*blocks.parts, ROW_NUMBER, F.col(value).alias("_edge"))
+    per_block = edge_rows.join(places.select("_at"), F.col(ROW_NUMBER) == F.col("_at")).select(
+        *blocks.parts, "_edge"
     )
     # every block needs a carried value, also one that has none of its own
     all_blocks = blocks.df.select(*blocks.parts).distinct()

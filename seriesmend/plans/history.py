@@ -102,17 +102,26 @@ def _layer_table(spark, rows, schema: str) -> DataFrame:
 
 
 def latest_patch(patches: DataFrame, layers: list[tuple[int, str]], spec: SeriesSpec) -> DataFrame:
-    """Row key and ``patched`` (a struct, so that "patched to missing" is kept)."""
+    """Row key, its last ``layer`` and the value ``patched`` there (may be missing)."""
     rows = [(i, seq, side == NEW) for i, (seq, side) in enumerate(layers)]
     table = _layer_table(patches.sparkSession, rows, "layer int, seq int, is_new boolean")
     written = F.when(F.col("is_new"), F.col("new_value")).otherwise(F.col("old_value"))
     return (
         patches.join(table, "seq")
         .groupBy(*spec.row_key)
-        .agg(F.max_by(F.struct(written.alias("v")), "layer").alias("patched"))
+        .agg(F.max("layer").alias("layer"), F.max_by(written, "layer").alias("patched"))
     )
 
 
+def patched_values(
+    df: DataFrame, latest: DataFrame, spec: SeriesSpec, column: str, name: str
+) -> DataFrame:
+    """Add ``name``: the patched value of a row, else that of ``column``."""
+    joined = join_on_key(df, latest, spec.row_key)
+    value = F.when(F.col("layer").isNotNull(), F.col("patched")).otherwise(F.col(column))
+    return joined.withColumn(name, value).drop("layer", "patched")
+
+
 def replay(
     raw: DataFrame,
     patches: DataFrame | None,
@@ -124,11 +133,7 @@ def replay(
     """``raw`` plus the corrected value of every row."""
     if patches is None or not layers:
         return raw.withColumn(name, F.col(column))
-    latest = latest_patch(patches, layers, spec)
-    joined = join_on_key(raw, latest, spec.row_key)
-    return joined.withColumn(
-        name, F.when(F.col("patched").isNotNull(), F.col("patched.v")).otherwise(F.col(column))
-    ).drop("patched")
+    return patched_values(raw, latest_patch(patches, layers, spec), spec, column, name)
 
 
 def deleted_rows(

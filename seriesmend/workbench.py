@@ -13,12 +13,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seriesmend.model import SeriesSpec, join_on_key
+from seriesmend.model import SeriesSpec
 from seriesmend.operators.correct import correction_patch, mark_rows
 from seriesmend.operators.detectors import detect
 from seriesmend.operators.select import freeze_selection
 from seriesmend.plans.blocks import Layout
-from seriesmend.plans.history import Edit, EditLog, deleted_rows, latest_patch
+from seriesmend.plans.history import Edit, EditLog, deleted_rows, latest_patch, patched_values
 from seriesmend.plans.staging import shared_folder, stage
 from seriesmend.sinks.exports import check_same_rows, diff_output, full_output, merged_output, series_output
 from seriesmend.sinks.files import SUFFIXES, output_path, path_exists, write_output
@@ -166,10 +166,7 @@ class Workbench:
                 frame = frame.withColumn(f"new_{i}", F.col(f"raw_{i}"))
                 continue
             latest = latest_patch(patches, variable.log.layers, self.spec)
-            frame = join_on_key(frame, latest, self.spec.row_key).withColumn(
-                f"new_{i}",
-                F.when(F.col("patched").isNotNull(), F.col("patched.v")).otherwise(F.col(f"raw_{i}")),
-            ).drop("patched")
+            frame = patched_values(frame, latest, self.spec, f"raw_{i}", f"new_{i}")
         return frame
 
     def readings(self, name: str) -> DataFrame:
