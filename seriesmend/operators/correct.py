@@ -18,6 +18,7 @@ from seriesmend.functions.formula import Formula, compile_formula
 from seriesmend.model import SeriesSpec, join_on_key
 from seriesmend.operators.medians import exact_median
 from seriesmend.plans.blocks import BROADCAST_ROWS, profile
+from seriesmend.plans.staging import stage
 
 
 @dataclass(frozen=True)
@@ -158,9 +159,7 @@ register_correction(
 # --- applying ----------------------------------------------------------------
 
 
-def _summary_table(
-    selected: DataFrame, keys: tuple[str, ...], summaries, sizes
-) -> DataFrame:
+def _summary_table(selected: DataFrame, keys: tuple[str, ...], summaries) -> DataFrame:
     """One row per series with every summary of one nesting level."""
     arguments = selected.select(*keys, *[s.argument.alias(s.name) for s in summaries])
     poisoned = [F.max(F.isnan(F.col(s.name))).alias(f"_nan{s.name}") for s in summaries]
@@ -169,9 +168,9 @@ def _summary_table(
         reducers[s.reducer](s.name).alias(s.name) for s in summaries if s.reducer in reducers
     ]
     table = arguments.groupBy(*keys).agg(*plain, *poisoned)
-    for s in summaries:
-        if s.reducer != "median":
-            continue
+    medians = [s for s in summaries if s.reducer == "median"]
+    sizes = profile(arguments, keys) if medians else None
+    for s in medians:
         present = arguments.select(*keys, ieee.to_missing(F.col(s.name)).alias(s.name))
         table = join_on_key(table, exact_median(present, keys, s.name, sizes), keys)
         table = table.withColumn(
@@ -181,22 +180,31 @@ def _summary_table(
 
 
 def attach_summaries(
-    df: DataFrame, keys: tuple[str, ...], formula: Formula, where: Column
+    df: DataFrame,
+    keys: tuple[str, ...],
+    formula: Formula,
+    where: Column,
+    column: str,
+    costly: bool = False,
 ) -> DataFrame:
     """Add the summary columns of ``formula``, taken over the rows where ``where`` holds.
 
-    The summary has one row per series; it is broadcast while the profile proves
-    it small, and joined with the adaptive skew split otherwise.
+    A summary has one row per series.  It is computed once, written, and broadcast
+    if it turns out to be small; otherwise the join relies on the adaptive split of
+    skewed keys.  ``costly``: ``df`` is worth writing the selected values once.
     """
     if not formula.summaries:
         return df
-    sizes = profile(df.filter(where).select(*keys), keys)
+    selected = df.filter(where).select(*keys, column)
+    if costly:
+        selected = stage(selected)
     for level in sorted({s.level for s in formula.summaries}):
         batch = [s for s in formula.summaries if s.level == level]
-        table = _summary_table(df.filter(where), keys, batch, sizes)
-        if sizes.series <= BROADCAST_ROWS:
+        table = stage(_summary_table(selected, keys, batch))
+        if not keys or table.count() <= BROADCAST_ROWS:
             table = F.broadcast(table)
         df = join_on_key(df, table, keys)
+        selected = join_on_key(selected, table, keys)
     return df
 
 
@@ -207,6 +215,7 @@ def corrected_values(
     params: dict | None = None,
     where: Column | None = None,
     column: str | None = None,
+    costly: bool = False,
 ) -> tuple[DataFrame, Column, Column]:
     """``(df, selected, new value)``; ``df`` may have gained summary columns."""
     correction = CORRECTIONS.get(op)
@@ -223,7 +232,7 @@ def corrected_values(
     selected = F.coalesce(selected, F.lit(False))
     new = correction.new_value(current, settings)
     if isinstance(new, Formula):
-        df = attach_summaries(df, spec.keys, new, selected)
+        df = attach_summaries(df, spec.keys, new, selected, column or spec.value, costly)
         new = ieee.to_missing(new.value)
     return df, selected, new
 
@@ -235,11 +244,12 @@ def correct(
     params: dict | None = None,
     where: Column | None = None,
     column: str | None = None,
+    costly: bool = False,
 ) -> DataFrame:
     """``df`` with ``column`` (default: the value column) corrected in place."""
     column = column or spec.value
     columns = df.columns
-    df, selected, new = corrected_values(df, spec, op, params, where, column)
+    df, selected, new = corrected_values(df, spec, op, params, where, column, costly)
     return df.withColumn(column, F.when(selected, new).otherwise(F.col(column))).select(*columns)
 
 

@@ -98,4 +98,4 @@ def detect_and_correct(
         others = tuple(c for c in df.columns if c not in spec.row_key)
         settings = chosen.settings(detector_params)
         marked = chosen.mark(df, spec, **settings, layout=layout, keep=others)
-    return correct(marked, spec, op, params, F.col("_picked")).select(*df.columns)
+    return correct(marked, spec, op, params, F.col("_picked"), costly=True).select(*df.columns)

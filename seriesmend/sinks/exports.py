@@ -51,8 +51,8 @@ def diff_output(
 
 def diff_output_long(df: DataFrame, row_key: tuple[str, ...], variables: list[str]) -> DataFrame:
     """The same from long form (``variable``, ``raw``, ``corrected``)."""
-    cells = changed_cells(df)
-    return cells.groupBy(*row_key).pivot("variable", variables).agg(F.first("corrected"))
+    cell = lambda v: F.max(F.when(F.col("variable") == v, F.col("corrected"))).alias(v)
+    return changed_cells(df).groupBy(*row_key).agg(*[cell(v) for v in variables])
 
 
 def series_output(
