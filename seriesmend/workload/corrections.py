@@ -77,7 +77,10 @@ query("threshold_expression", _threshold_sql("value > 120", "120 + (value - 120)
 def _formula(text: str, digits: int | None = None):
     def build(spark, folder):
         out = correct(gapped(spark, folder), READINGS, "expression", {"expr": text}, F.lit(True))
-        value = F.col("value") if digits is None else F.round("value", digits)
+        value = F.col("value")
+        if digits is not None:
+            value = F.round(value, digits)
+            value = F.when(value == 0, F.lit(0.0)).otherwise(value)  # one zero, not two
         return out.select("event_id", value.alias("corrected"))
 
     return build
@@ -85,7 +88,7 @@ def _formula(text: str, digits: int | None = None):
 
 def _formula_sql(new: str, digits: int | None = None) -> str:
     """``x`` is NaN for a missing reading; a NaN result is missing."""
-    value = "r" if digits is None else f"round(r, {digits})"
+    value = "r" if digits is None else f"CASE WHEN round(r, {digits}) = 0 THEN 0 ELSE round(r, {digits}) END"
     return f"""SELECT event_id, CASE WHEN NOT isnan(r) THEN {value} END AS corrected
                FROM (SELECT event_id, event_type, CAST({new} AS DOUBLE) AS r FROM (
                  SELECT event_id, event_type, coalesce({GAPPED_SQL}, 'nan'::DOUBLE) AS x FROM events))"""
