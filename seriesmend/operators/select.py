@@ -121,17 +121,17 @@ def nearest_point(readings: DataFrame, spec: SeriesSpec, x: str, probe) -> DataF
     left, right = F.col("_left"), F.col("_right")
     earlier = right.isNull() | (left.isNotNull() & ((at - left) < (right - at)))
     chosen = sides.select(
-        *spec.keys, F.when(earlier, left).otherwise(right).alias("_time"), earlier.alias("_earlier")
+        *spec.keys, F.when(earlier, left).otherwise(right).alias("_nearest_x"), earlier.alias("_earlier")
     )
     reach = chosen.agg(
-        F.min("_time").alias("low"), F.max("_time").alias("high"), F.count(F.lit(1)).alias("n")
+        F.min("_nearest_x").alias("low"), F.max("_nearest_x").alias("high"), F.count(F.lit(1)).alias("n")
     ).first()
     if reach["n"] <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     near = readings
     if reach["low"] is not None:
         near = near.filter(F.col(x).between(_bound(reach["low"]), _bound(reach["high"])))
-    tied = join_on_key(near, chosen, spec.keys, "inner").filter(F.col(x) == F.col("_time"))
+    tied = join_on_key(near, chosen, spec.keys, "inner").filter(F.col(x) == F.col("_nearest_x"))
     row = F.struct(F.col(x), *[F.col(c) for c in shown], F.col(spec.value))
     rank = F.struct(*[F.col(c) for c in (x, *spec.tiebreak)])
     # before the probe the last of equal times, at or after it the first

@@ -9,6 +9,9 @@ from seriesmend.sources.timeaxis import parse_time_text
 
 EVERY_TABLE = "*"
 
+# columns that put loaded annotations into file order, also when a file is read in parts
+FILE_ORDER = ("event_file", "event_block", "event_no")
+
 
 def annotation_time(df: DataFrame, name: str) -> Column:
     """Temporal columns are cast; everything else is read as text, numbers too."""
@@ -29,9 +32,15 @@ def normalize_annotations(df: DataFrame) -> DataFrame:
 
 
 def load_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Read and normalize; ``event_no`` follows file order."""
+    """Read and normalize; ``FILE_ORDER`` columns keep the order of the file."""
     read = read_table(spark, path, infer=False)
-    return normalize_annotations(read.withColumn("event_no", F.monotonically_increasing_id()))
+    placed = read.select(
+        "*",
+        F.col("_metadata.file_name").alias("event_file"),
+        F.col("_metadata.file_block_start").alias("event_block"),
+        F.monotonically_increasing_id().alias("event_no"),
+    )
+    return normalize_annotations(placed)
 
 
 def annotations_for_table(df: DataFrame, table: str) -> DataFrame:

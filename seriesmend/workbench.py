@@ -14,15 +14,22 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seriesmend.model import SeriesSpec
+from seriesmend.operators.annotate import annotate_first
 from seriesmend.operators.correct import correction_patch, mark_rows
 from seriesmend.operators.detectors import detect
-from seriesmend.operators.select import freeze_selection
+from seriesmend.operators.select import freeze_selection, nearest_point
 from seriesmend.plans.blocks import Layout
 from seriesmend.plans.history import Edit, EditLog, deleted_rows, latest_patch, patched_values
 from seriesmend.plans.staging import shared_folder, stage
 from seriesmend.sinks.exports import check_same_rows, diff_output, full_output, merged_output, series_output
 from seriesmend.sinks.files import SUFFIXES, output_path, path_exists, write_output
-from seriesmend.sources.annotations import annotations_for_table, load_annotations
+from seriesmend.sources.annotations import (
+    FILE_ORDER,
+    annotation_geometry,
+    annotation_text,
+    annotations_for_table,
+    load_annotations,
+)
 from seriesmend.sources.tables import (
     find_time_column,
     read_table,
@@ -192,6 +199,21 @@ class Workbench:
         """Row keys selected by the values as they are now."""
         return freeze_selection(self.readings(name), where, self.spec)
 
+    def select_point(self, name: str, x: float) -> DataFrame:
+        """The row nearest to ``x`` (epoch seconds) in every series, with its value."""
+        return nearest_point(self.readings(name), self.spec, EPOCH, float(x))
+
+    def annotate(self, name: str, tolerance_s: float = 0.0) -> DataFrame:
+        """Readings with the text of the first loaded event that covers them."""
+        if self.events is None:
+            raise ValueError("no events are loaded")
+        shown = annotation_geometry(self.events_for_table).withColumn(
+            "event", annotation_text(F.col("label"), F.col("category"), F.col("description"))
+        )
+        return annotate_first(
+            self.readings(name), shown, TIME, FILE_ORDER, ("event",), tolerance_s
+        )
+
     def detect(
         self, name: str, detector: str, params: dict | None = None, layout: Layout = Layout()
     ) -> DataFrame:
@@ -214,7 +236,7 @@ class Workbench:
         if isinstance(where, DataFrame):
             frame = mark_rows(frame, self.spec, where)
             where = F.col("_picked")
-        patch = correction_patch(frame, self.spec, op, params, where)
+        patch = correction_patch(frame, self.spec, op, params, where, costly=True)
         path = f"{variable.folder}/seq={variable.log.next_seq}"
         patch.write.mode("overwrite").parquet(path)
         points = self.spark.read.parquet(path).count()

@@ -123,3 +123,17 @@ def test_views(spark):
         assert sorted((r["s"], r["i"]) for r in thin.collect()) == [
             ("a", 0), ("a", 3), ("a", 6), ("b", 9), ("b", 10),
         ]
+
+
+def test_corrections_run_on_a_stream(spark, small):
+    """They are plain projections, so a streaming table takes them unchanged."""
+    path = f"{small}/events.parquet"
+    batch = spark.read.parquet(path)
+    spec = SeriesSpec(("event_type",), ("ts",), ("event_id",))
+    fixed = lambda df: correct(
+        df, spec, "threshold", {"max": 100, "action": "expression", "expr": "np.sqrt(x)"}
+    ).select("event_id", "value")
+    stream = spark.readStream.schema(batch.schema).parquet(path + "*")
+    run = fixed(stream).writeStream.format("memory").queryName("fixed").trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    assert sorted(spark.table("fixed").collect()) == sorted(fixed(batch).collect())

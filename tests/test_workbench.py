@@ -126,9 +126,14 @@ def test_detect_and_events(spark, tmp_path):
     assert corrected(bench, "air") == [0, 1, None, None, None, None, 6, 7, 8]
     notes = str(tmp_path / "notes.csv")
     with open(notes, "w") as f:
-        f.write("start,table\n2024-05-01 00:02:00,station\n2024-05-01 00:03:00,other\n")
+        f.write("start,end,table,label\n2024-05-01 00:02:00,2024-05-01 00:04:00,station,work\n")
+        f.write("2024-05-01 00:03:00,,other,never\n2024-05-01 00:03:00,,*,late\n")
     bench.load_events(notes)
-    assert bench.events.count() == 2 and bench.events_for_table.count() == 1
+    assert bench.events.count() == 3 and bench.events_for_table.count() == 2
+    noted = bench.annotate("air").orderBy("_time").collect()
+    assert [r["event"] for r in noted] == [None, None, "work", "work", "work", *[None] * 4]
+    near = bench.select_point("air", bench.readings("air").agg(F.max("_x")).first()[0] - 61)
+    assert [(r["id"], r["corrected"]) for r in near.collect()] == [(7, 7.0)]
 
 
 def test_overwriting_what_is_read(spark, tmp_path):
