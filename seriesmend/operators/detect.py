@@ -224,68 +224,48 @@ def _label_runs(blocks: Blocks, df: DataFrame) -> DataFrame:
     """Add ``_run`` (row number of the run's first row) and ``_length``.
 
     ``df`` has ``_break``, true where a row does not continue the previous one.
-    In blocked mode the stretches at the block edges are chained through a
-    summary with one row per block and series.
+    In blocked mode row numbers are dense, so a summary of the outermost breaks of
+    every block and series tells where its first run began and its last run ends.
     """
-    w = blocks.window()
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    begun = df.withColumn(
-        "_run", F.max(F.when(F.col("_break"), F.col(ROW_NUMBER))).over(running)
-    )
+    here = F.when(F.col("_break"), F.col(ROW_NUMBER))
+    running = blocks.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begun = df.withColumn("_run", F.max(here).over(running))
     local = begun.withColumn(
         "_length", F.count(F.lit(1)).over(Window.partitionBy(*blocks.parts, "_run"))
     )
     if not blocks.blocked:
         return local
-    # NULL _run: the stretch continues the previous block of the series
-    edges = (
-        local.withColumn("_last", F.max("_run").over(blocks.whole()))
-        .groupBy(*blocks.parts)
-        .agg(
-            F.count_if(F.col("_run").isNull()).alias("_head"),
-            F.max("_last").alias("_last"),
-            F.count_if(F.col("_run") == F.col("_last")).alias("_tail"),
-        )
+    edges = df.groupBy(*blocks.parts).agg(
+        F.min(here).alias("_first_break"),
+        F.max(here).alias("_last_break"),
+        F.max(ROW_NUMBER).alias("_last_row"),
     )
-    stretches = edges.select(
+    series = Window.partitionBy(*blocks.spec.keys)
+    earlier = series.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    later = series.orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+    summary = edges.select(
         *blocks.parts,
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit(0).alias("_end"),
-                    F.lit(None).cast("long").alias("_begin"),
-                    F.col("_head").alias("_n"),
-                ),
-                F.struct(
-                    F.lit(1).alias("_end"),
-                    F.col("_last").alias("_begin"),
-                    F.col("_tail").alias("_n"),
-                ),
-            )
-        ),
-    ).filter(F.col("_n") > 0)
-    along = Window.partitionBy(*blocks.spec.keys).orderBy(BLOCK, "_end").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    chained = stretches.withColumn("_chain", F.last("_begin", ignorenulls=True).over(along))
-    totals = chained.withColumn(
-        "_total", F.sum("_n").over(Window.partitionBy(*blocks.spec.keys, "_chain"))
-    )
-    summary = totals.groupBy(*blocks.parts).agg(
-        F.max(F.when(F.col("_end") == 0, F.col("_chain"))).alias("_head_run"),
-        F.max(F.when(F.col("_end") == 0, F.col("_total"))).alias("_head_total"),
-        F.max(F.when(F.col("_end") == 1, F.col("_chain"))).alias("_tail_run"),
-        F.max(F.when(F.col("_end") == 1, F.col("_total"))).alias("_tail_total"),
+        "_first_break",
+        "_last_break",
+        F.last("_last_break", ignorenulls=True).over(earlier).alias("_begun_before"),
+        F.coalesce(
+            F.last("_first_break", ignorenulls=True).over(later),
+            F.max("_last_row").over(series) + 1,
+        ).alias("_next_break"),
     )
     merged = blocks.join_summary(local, summary)
+    head_end = F.coalesce(F.col("_first_break"), F.col("_next_break"))
+    # no local break yet: the run comes from an earlier block
     length = (
-        F.when(F.col("_run").isNull(), F.col("_head_total"))
-        .when(F.col("_run") == F.col("_tail_run"), F.col("_tail_total"))
+        F.when(F.col("_run").isNull(), head_end - F.col("_begun_before"))
+        .when(F.col("_run") == F.col("_last_break"), F.col("_next_break") - F.col("_run"))
         .otherwise(F.col("_length"))
     )
-    return merged.withColumn("_length", length).withColumn(
-        "_run", F.coalesce("_run", "_head_run")
-    ).drop("_head_run", "_head_total", "_tail_run", "_tail_total")
+    return (
+        merged.withColumn("_length", length)
+        .withColumn("_run", F.coalesce("_run", "_begun_before"))
+        .drop("_first_break", "_last_break", "_begun_before", "_next_break")
+    )
 
 
 def find_runs(
