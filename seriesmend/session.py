@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
+
+def require_utc(spark: SparkSession) -> None:
+    """Times without a zone are read as UTC; another session zone would shift them."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_NAMES:
+        raise ValueError(f"spark.sql.session.timeZone must be UTC, not {zone}")
+
+
 def local_session(threads: str = "8", **conf) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster use your own.
 

@@ -36,7 +36,7 @@ def load_annotations(spark: SparkSession, path: str) -> DataFrame:
     read = read_table(spark, path, infer=False)
     placed = read.select(
         "*",
-        F.col("_metadata.file_name").alias("event_file"),
+        F.col("_metadata.file_path").alias("event_file"),
         F.col("_metadata.file_block_start").alias("event_block"),
         F.monotonically_increasing_id().alias("event_no"),
     )

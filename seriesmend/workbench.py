@@ -21,6 +21,7 @@ from seriesmend.operators.select import freeze_selection, nearest_point
 from seriesmend.plans.blocks import Layout
 from seriesmend.plans.history import Edit, EditLog, deleted_rows, latest_patch, patched_values
 from seriesmend.plans.staging import shared_folder, stage
+from seriesmend.session import require_utc
 from seriesmend.sinks.exports import check_same_rows, diff_output, full_output, merged_output, series_output
 from seriesmend.sinks.files import SUFFIXES, output_path, path_exists, write_output
 from seriesmend.sources.annotations import (
@@ -66,6 +67,7 @@ class Workbench:
         row_id: tuple[str, ...] = (),
         schema=None,
     ):
+        require_utc(spark)
         self.spark = spark
         self.source = str(path)
         self.name = table_name(path)
@@ -89,14 +91,14 @@ class Workbench:
         if table_format(self.source) == "parquet":
             placed = table.select(
                 "*",
-                F.col("_metadata.file_name").alias("_file"),
+                F.col("_metadata.file_path").alias("_file"),
                 F.col("_metadata.row_index").alias("_row"),
             )
             return placed, ("_file", "_row")
         # csv has no row index: number the rows of every split once and keep that
         numbered = table.select(
             "*",
-            F.col("_metadata.file_name").alias("_file"),
+            F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_start"),
             F.monotonically_increasing_id().alias("_row"),
         )

@@ -96,7 +96,7 @@ LAYOUTS = [Layout("plain")] + [Layout("blocked", block_rows=b) for b in (1, 3, 7
 
 
 @pytest.mark.parametrize("layout", LAYOUTS, ids=str)
-@pytest.mark.parametrize("window", [2, 9])
+@pytest.mark.parametrize("window", [2, 9, 100])
 def test_spikes_follow_the_definition(many, layout, window):
     series, df = many
     found = {

@@ -142,3 +142,25 @@ def test_overwriting_what_is_read(spark, tmp_path):
     write_output(spark.read.parquet(path).withColumn("v", F.col("v") + 1), path)
     assert [r["v"] for r in spark.read.parquet(path).collect()] == [2, 2, 2]
     assert os.listdir(tmp_path) == ["t.parquet"]
+
+
+def test_positions_in_partitioned_folders(spark, tmp_path):
+    """Part files of different folders share their names; rows must not."""
+    path = str(tmp_path / "daily.parquet")
+    days = spark.range(6).select(
+        F.timestamp_seconds("id").alias("TIME"), F.col("id").cast("double").alias("v"), (F.col("id") % 3).alias("day")
+    )
+    days.coalesce(1).write.partitionBy("day").parquet(path)
+    bench = Workbench(spark, path)
+    bench.apply("v", "offset", {"amount": 10}, F.col("raw") == 4)
+    assert corrected(bench, "v") == [0, 1, 2, 3, 14, 5]
+
+
+def test_session_zone_is_checked(spark, tmp_path):
+    path = make_table(spark, tmp_path)
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            Workbench(spark, path)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
