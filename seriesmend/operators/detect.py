@@ -187,8 +187,9 @@ def score_spikes(
     window: int = 24,
     layout: Layout = Layout(),
     keep: tuple[str, ...] = (),
+    name: str = "score",
 ) -> DataFrame:
-    """Every row with the ``score`` of its step from the previous reading.
+    """Every row with the score (column ``name``) of its step from the previous reading.
 
     score = |d - median| / (1.4826 * MAD + 1e-9) over the differences around it;
     an undefined or infinite score counts as 0.  NULL on the first row of a series
@@ -198,7 +199,7 @@ def score_spikes(
     ratio = F.abs(F.col("_d") - F.col("_med")) / (F.col("_mad") * MAD_TO_SIGMA + MAD_FLOOR)
     # undefined and infinite ratios, and missing differences, count as 0
     score = F.when(F.expr(_SCORABLE), F.when(ratio < ieee.INF, ratio).otherwise(F.lit(0.0)))
-    return frames.select(*spec.row_key, *keep, score.alias("score"))
+    return frames.select(*spec.row_key, *keep, score.alias(name))
 
 
 def detect_spikes(
@@ -323,14 +324,15 @@ def score_frozen(
     tolerance: float = 0.0,
     layout: Layout = Layout(),
     keep: tuple[str, ...] = (),
+    name: str = "score",
 ) -> DataFrame:
-    """Every row with the length of the run of near-equal readings it is in.
+    """Every row with the length (column ``name``) of the run of near-equal readings it is in.
 
     Neighbours are equal when they differ by at most ``tolerance``, so a slow
     drift is one run.  A missing reading is a run of its own.
     """
     runs = _stuck_runs(df, spec, tolerance, layout, keep)
-    return runs.select(*spec.row_key, *keep, F.col("_length").cast("double").alias("score"))
+    return runs.select(*spec.row_key, *keep, F.col("_length").cast("double").alias(name))
 
 
 def detect_frozen(

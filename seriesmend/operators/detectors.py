@@ -39,13 +39,13 @@ def register_detector(detector: Detector) -> Detector:
 
 
 def _mark_spikes(df, spec, window, z_thresh, layout, keep):
-    scored = score_spikes(df, spec, window, layout, keep)
-    return scored.withColumn("_picked", F.coalesce(F.col("score") > z_thresh, F.lit(False)))
+    scored = score_spikes(df, spec, window, layout, keep, "_score")
+    return scored.withColumn("_picked", F.coalesce(F.col("_score") > z_thresh, F.lit(False)))
 
 
 def _mark_frozen(df, spec, min_run_length, tolerance, layout, keep):
-    scored = score_frozen(df, spec, tolerance, layout, keep)
-    return scored.withColumn("_picked", F.col("score") >= max(min_run_length, 2))
+    scored = score_frozen(df, spec, tolerance, layout, keep, "_score")
+    return scored.withColumn("_picked", F.col("_score") >= max(min_run_length, 2))
 
 
 register_detector(

@@ -183,3 +183,16 @@ def test_detector_registry(spark):
         assert [r["v"] for r in fixed.orderBy("i").collect()] == [1, 1, 1, 2]
     finally:
         del DETECTORS["high"]
+
+
+@pytest.mark.parametrize("op", ["spike", "freeze"])
+def test_cleaning_keeps_other_columns(spark, op):
+    df = frame(spark, [1, 1, 1, 1, 1, 1, 50, 2]).withColumns(
+        {"score": F.lit("kept"), "kind": F.col("i") * 2}
+    )
+    fixed = detect_and_correct(df, SPEC, op, "expression", params={"expr": "x - np.mean(x)"})
+    assert fixed.columns == df.columns
+    rows = fixed.orderBy("i").collect()
+    assert {r["score"] for r in rows} == {"kept"} and [r["kind"] for r in rows] == list(range(0, 16, 2))
+    if op == "freeze":
+        assert [r["v"] for r in rows] == [0.0] * 6 + [50.0, 2.0]
