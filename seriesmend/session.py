@@ -29,6 +29,8 @@ def local_session(threads: str = "8", **conf) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         # small local tables still use all threads after a shuffle
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        # a session that repeats many different queries keeps their compiled stages
+        .config("spark.sql.codegen.cache.maxEntries", "1000")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
     )
