@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesmend.llm import quality
+from seriesmend.llm import cuckoo, minhash, quality
 from seriesmend.plans.staging import shared_folder
 
 
@@ -16,8 +16,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group whose texts differ in white space at most."""
+    return cuckoo.keep_one(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near duplicates."""
+    return minhash.keep_one(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
+    ("exact dedup", exact_dedup),
+    ("MinHash near-dedup", near_dedup),
 ]
 
 # the last stage's token ids cannot be stated in SQL

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seriesmend.llm import quality
+from seriesmend.llm import cuckoo, minhash, quality
 from seriesmend.llm.common import read
 from seriesmend.plans.staging import stage
 
@@ -84,3 +84,29 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     failed = F.col("base_failed")
     hosts = quality.host_verdicts(judged, "source", failed)
     return quality.judge(judged, hosts, "source", failed, "kept").drop("source")
+
+
+COPIES_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+    sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id,
+  count(*) OVER (PARTITION BY text_sha256) AS group_size,
+  row_number() OVER best = 1 AS kept, text_sha256
+FROM rows
+WINDOW best AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
+"""
+
+
+@query("op8_exact_dedup", COPIES_SQL)
+def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return cuckoo.groups(documents(spark, folder, "doc_id", "text")).withColumnRenamed(
+        "digest", "text_sha256"
+    )
+
+
+@query("op7_minhash_near_dedup")
+def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.label(documents(spark, folder, "doc_id", "text"))
