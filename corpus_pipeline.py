@@ -5,9 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seriesmend.llm import cuckoo, minhash, quality
+from seriesmend.llm import cuckoo, minhash, mixing, pieces, quality
 from seriesmend.plans.staging import shared_folder
 
 
@@ -26,10 +26,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.keep_one(docs)
 
 
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; one cut per source ends its budget."""
+    keyed = docs.withColumn("mix_tie", F.xxhash64("text"))
+    mixed = mixing.mix(keyed, "mix", mixing.words_in(), ties=("mix_tie",))
+    taken = mixing.copies(mixed, "mix")
+    return taken.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, the ids of the text, and whether they decode to it."""
+    encoded = pieces.encode_checked(docs.select("doc_id", "lang", "source", "text"))
+    return encoded.withColumn("n_ids", F.size("ids"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
     ("exact dedup", exact_dedup),
     ("MinHash near-dedup", near_dedup),
+    ("source mixing", source_mixing),
+    ("SentencePiece ids", piece_ids),
 ]
 
 # the last stage's token ids cannot be stated in SQL

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seriesmend.llm import cuckoo, minhash, quality
+from seriesmend.llm import chat, cuckoo, gru, minhash, mixing, pieces, quality, substrings, urls, warc
 from seriesmend.llm.common import read
 from seriesmend.plans.staging import stage
 
@@ -110,3 +110,114 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_minhash_near_dedup")
 def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.label(documents(spark, folder, "doc_id", "text"))
+
+
+MIX_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS key,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place
+  FROM docs GROUP BY source
+), sized AS (
+  SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 2 AS cap
+  FROM sources
+), levels AS (
+  SELECT *, row_number() OVER by_level AS rank,
+    (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE
+      - coalesce(sum(cap) OVER (by_level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(weight) OVER (by_level ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM sized WINDOW by_level AS (ORDER BY cap / weight, place)
+), filled AS (
+  SELECT source, source_size, CASE WHEN cap <= level * weight THEN cap::DOUBLE
+    ELSE (SELECT min_by(level, rank) FROM levels WHERE cap > level * weight) * weight END AS target
+  FROM levels
+), running AS (
+  SELECT doc_id, size, source_size, target,
+    coalesce(sum(size) OVER (PARTITION BY docs.source ORDER BY key, doc_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+    CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs
+  FROM docs JOIN filled ON docs.source IS NOT DISTINCT FROM filled.source
+)
+SELECT doc_id, size, source_size, target,
+  (epochs * size + greatest(least(size, floor(target - epochs * source_size)::BIGINT - before), 0))::BIGINT AS taken
+FROM running
+"""
+
+
+@query("op1_source_mixing", MIX_SQL)
+def op1_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    # read three times (per source, per range, per document): written once, without the texts
+    rows = stage(documents(spark, folder, "doc_id", "source", "text").select(
+        "doc_id", "source", mixing.words_in().alias("words"), F.xxhash64("text").alias("text_hash")))
+    mixed = mixing.mix(rows, "mix", F.col("words"), ties=("text_hash",))
+    return mixed.select("doc_id", "mix.*")
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids, and whether decoding them gives its text back."""
+    encoded = pieces.encode_checked(documents(spark, folder, "doc_id", "text"))
+    return encoded.select("doc_id", F.size("ids").alias("n_ids"), "ids", "round_trip")
+
+
+@query("op4_chat_format")
+def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.repair(read(spark, folder, "conversations"))
+
+
+# the list of the query: the pages of hosts with one of these words in their name
+LISTED_WORDS = ("casino", "pills", "viagra", "porn", "poker", "loans")
+LISTED_HOST = "(^|[.-])(" + "|".join(LISTED_WORDS) + ")([.-]|$)"
+
+URLS_SQL = rf"""
+WITH cut AS (
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query FROM cut
+), forms AS (
+  SELECT *, list_sort(list_filter(string_split(query, '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))) AS kept,
+    regexp_replace(host, '^www\.|:(80|443)$', '', 'g') || regexp_replace(path, '(/index\.html?)?/*$', '') AS place FROM parts
+), canonical AS (
+  SELECT *, place || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS form FROM forms
+), listed AS (
+  SELECT DISTINCT form FROM canonical WHERE url IS NOT NULL AND regexp_matches(host, '{LISTED_HOST}')
+), fits AS (
+  SELECT c.*, l.form IS NOT NULL AND url IS NOT NULL AS hit,
+    (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' AS net,
+    (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' AS net_en,
+    (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' AS com_de,
+    (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' AS org_fr
+  FROM canonical c LEFT JOIN listed l ON c.form = l.form
+)
+SELECT page_id, host, path,
+  CASE WHEN net_en THEN 'example.net/en/' WHEN com_de THEN 'example.com/de/' WHEN org_fr THEN 'org/fr/' WHEN net THEN 'net/' END AS rule,
+  CASE WHEN net_en OR (org_fr AND NOT com_de) THEN 'allow' WHEN com_de OR net OR hit THEN 'block' ELSE 'allow' END AS verdict
+FROM fits
+"""
+
+
+@query("op6_url_filter", URLS_SQL)
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages").select("page_id", "url")
+    bad = pages.filter(urls.host_of(F.col("url")).rlike(LISTED_HOST))
+    judged = urls.judge(pages, urls.listed_urls(bad))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_warc_derivatives")
+def op10_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derivatives(warc.responses(read(spark, folder, "pages")))
+
+
+@query("op9_recurrent_scores")
+def op9_recurrent_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return gru.log_likelihoods(documents(spark, folder, "doc_id", "text"))
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove(documents(spark, folder, "doc_id", "text"), digests=True)
