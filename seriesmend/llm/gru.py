@@ -36,6 +36,7 @@ CLASSES, PER_CLASS = 32, 32           # classes of frequent words, and words in
 FREQUENT = CLASSES * PER_CLASS        # the end of a document is the first of them
 HIDDEN = 16
 LANES, WINDOW = 512, 16               # documents read side by side, steps of backpropagation
+STEPS = 48                            # windows that a batch of documents should have at least
 ROUNDS = 2
 RATE = 0.05
 CHUNK_BYTES = 16 << 20                # text that shares one table of counts
@@ -108,8 +109,8 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
 class Lanes:
     """Documents laid end to end in lanes that are read side by side."""
 
-    def __init__(self, docs: list[np.ndarray]):
-        lanes = [(0, i, []) for i in range(max(1, min(LANES, len(docs))))]
+    def __init__(self, docs: list[np.ndarray], most: int = LANES):
+        lanes = [(0, i, []) for i in range(max(1, min(most, len(docs))))]
         for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
             size, i, held = heapq.heappop(lanes)   # the shortest lane
             held.append(d)
@@ -213,7 +214,8 @@ def gradients(p, lanes: Lanes, first: int, last: int, state: np.ndarray):
 
 def learn(p: dict, docs: list[np.ndarray], squares: dict) -> None:
     """One pass over the documents, a step per window; changes ``p`` and ``squares``."""
-    lanes = Lanes(docs)
+    # few tokens are read in fewer lanes, so that there are steps to learn from
+    lanes = Lanes(docs, min(LANES, max(16, sum(map(len, docs)) // (STEPS * WINDOW))))
     state = np.zeros((lanes.targets.shape[1], HIDDEN), np.float32)
     for first in range(0, lanes.steps, WINDOW):
         last = min(first + WINDOW, lanes.steps)
@@ -227,7 +229,7 @@ def learn(p: dict, docs: list[np.ndarray], squares: dict) -> None:
 
 def likelihoods(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     """Per document, the sum of its log-probabilities (base 10), rare words by class."""
-    lanes = Lanes(docs)
+    lanes = Lanes(docs, LANES)
     state = np.zeros((lanes.targets.shape[1], HIDDEN), np.float32)
     total = np.zeros(len(docs))
     for first in range(0, lanes.steps, WINDOW):
