@@ -12,7 +12,7 @@ from __future__ import annotations
 import ast
 import operator
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, functions as F
@@ -30,8 +30,8 @@ class FormulaError(ValueError):
 class Term:
     """A compiled sub-formula.
 
-    ``const`` holds a folded Python number; otherwise ``col`` is a Column whose
-    ``kind`` is "num" (double) or "bool".  ``plain`` marks a bare column, which
+    ``const`` holds a folded Python number; otherwise ``col`` is a Column.  ``kind``
+    is "bool", "int" (whole numbers, held as doubles) or "num".  ``plain`` marks a bare column, which
     is cheap to mention more than once.  ``level`` counts the summaries beneath.
     """
 
@@ -74,8 +74,9 @@ class Formula:
 
 
 def _constant(value) -> Term:
-    kind = "bool" if isinstance(value, (bool, np.bool_)) else "num"
-    return Term(kind, const=value)
+    if isinstance(value, (bool, np.bool_)):
+        return Term("bool", const=value)
+    return Term("int" if isinstance(value, int) else "num", const=value)
 
 
 def _numbers(build: Callable[..., Column], *terms: Term, kind: str = "num") -> Term:
@@ -85,7 +86,7 @@ def _numbers(build: Callable[..., Column], *terms: Term, kind: str = "num") -> T
         if not rest:
             return build(*done)
         head, tail = rest[0], rest[1:]
-        if head.folded or (head.plain and head.kind == "num"):
+        if head.folded or (head.plain and head.kind != "bool"):
             return bind(tail, [*done, head.number()])
         return let(head.number(), lambda c: bind(tail, [*done, c]))
 
@@ -96,22 +97,27 @@ def _both_bool(a: Term, b: Term) -> bool:
     return a.kind == "bool" and b.kind == "bool"
 
 
+def _common(*terms: Term) -> str:
+    """The kind of a number computed from these: whole if all of them are."""
+    return "num" if any(t.kind == "num" for t in terms) else "int"
+
+
 def _add(a: Term, b: Term) -> Term:
     if _both_bool(a, b):
         return Term("bool", a.flag() | b.flag(), level=max(a.level, b.level))
-    return _numbers(operator.add, a, b)
+    return _numbers(operator.add, a, b, kind=_common(a, b))
 
 
 def _subtract(a: Term, b: Term) -> Term:
     if _both_bool(a, b):
         raise TypeError("boolean subtract is not supported")
-    return _numbers(operator.sub, a, b)
+    return _numbers(operator.sub, a, b, kind=_common(a, b))
 
 
 def _multiply(a: Term, b: Term) -> Term:
     if _both_bool(a, b):
         return Term("bool", a.flag() & b.flag(), level=max(a.level, b.level))
-    return _numbers(operator.mul, a, b)
+    return _numbers(operator.mul, a, b, kind=_common(a, b))
 
 
 # exponents that array libraries compute without the general power function
@@ -124,23 +130,39 @@ SIMPLE_POWERS = {
 
 
 def _power(a: Term, b: Term) -> Term:
-    if b.folded and b.kind == "num" and b.const in SIMPLE_POWERS:
-        return _numbers(SIMPLE_POWERS[b.const], a)
-    return _numbers(ieee.power, a, b)
+    kind = _common(a, b)
+    if kind == "int" and b.folded and b.const < 0:
+        raise TypeError("whole numbers have no negative whole powers")
+    if b.folded and b.kind != "bool" and b.const in SIMPLE_POWERS:
+        return _numbers(SIMPLE_POWERS[b.const], a, kind=kind)
+    return _numbers(ieee.power, a, b, kind=kind)
+
+
+def _dividing(build) -> Callable[[Term, Term], Term]:
+    """Floor division or remainder; of whole numbers, by zero it is 0."""
+
+    def make(a: Term, b: Term) -> Term:
+        if _common(a, b) == "num":
+            return _numbers(build, a, b)
+        whole = lambda p, q: F.when(q == 0, F.lit(0.0)).otherwise(build(p, q))
+        return _numbers(whole, a, b, kind="int")
+
+    return make
 
 
 def _lifted(build) -> Callable[..., Term]:
     return lambda *terms: _numbers(build, *terms)
 
 
+# The fixed grammar: operators and the names after ``np.``.
 # python operator for constants, Term builder for everything else
 BINARY = {
     ast.Add: (operator.add, _add),
     ast.Sub: (operator.sub, _subtract),
     ast.Mult: (operator.mul, _multiply),
     ast.Div: (operator.truediv, _lifted(ieee.divide)),
-    ast.Mod: (operator.mod, _lifted(ieee.remainder)),
-    ast.FloorDiv: (operator.floordiv, _lifted(ieee.floor_divide)),
+    ast.Mod: (operator.mod, _dividing(ieee.remainder)),
+    ast.FloorDiv: (operator.floordiv, _dividing(ieee.floor_divide)),
     ast.Pow: (operator.pow, _power),
 }
 
@@ -200,13 +222,13 @@ def _sign(terms):
     _need(terms, 1, 1, "sign")
     if terms[0].kind == "bool":
         raise TypeError("np.sign is not defined for booleans")
-    return _numbers(F.signum, terms[0])
+    return _numbers(F.signum, terms[0], kind=terms[0].kind)
 
 
 def _round(terms):
     _need(terms, 1, 2, "round")
     digits = _whole(terms[1], "round") if len(terms) == 2 else 0
-    return _numbers(lambda a: ieee.round_half_even(a, digits), terms[0])
+    return _numbers(lambda a: ieee.round_half_even(a, digits), terms[0], kind=_common(terms[0]))
 
 
 def _pairwise(name, build):
@@ -215,14 +237,14 @@ def _pairwise(name, build):
         out = _numbers(build, *terms)
         if _both_bool(*terms):
             return Term("bool", out.col != 0, level=out.level)
-        return out
+        return replace(out, kind=_common(*terms))
 
     return make
 
 
 def _clip(terms):
     _need(terms, 3, 3, "clip")
-    return _numbers(lambda a, lo, hi: ieee.minimum(ieee.maximum(a, lo), hi), *terms)
+    return _numbers(lambda a, lo, hi: ieee.minimum(ieee.maximum(a, lo), hi), *terms, kind=_common(*terms))
 
 
 def _where(terms):
@@ -231,7 +253,8 @@ def _where(terms):
     level = max(t.level for t in terms)
     if _both_bool(yes, no):
         return Term("bool", F.when(test.flag(), yes.flag()).otherwise(no.flag()), level=level)
-    return Term("num", F.when(test.flag(), yes.number()).otherwise(no.number()), level=level)
+    chosen = F.when(test.flag(), yes.number()).otherwise(no.number())
+    return Term(_common(yes, no), chosen, level=level)
 
 
 def _isnan(terms):
@@ -298,7 +321,7 @@ class _Compiler(ast.NodeVisitor):
             return _constant(-a.const if negative else +a.const)
         if a.kind == "bool":
             raise TypeError("a boolean has no sign")
-        return Term("num", -a.col, level=a.level) if negative else a
+        return Term(a.kind, -a.col, level=a.level) if negative else a
 
     def visit_Compare(self, node):
         if len(node.ops) != 1 or type(node.ops[0]) not in COMPARISON:
@@ -328,7 +351,10 @@ class _Compiler(ast.NodeVisitor):
         if name in SPECIAL:
             return SPECIAL[name](terms)
         _need(terms, 1, 1, name)
-        return _numbers(ELEMENTWISE[name], terms[0])
+        if name == "abs" and terms[0].kind == "bool":
+            return terms[0]
+        kind = terms[0].kind if name == "abs" else "num"
+        return _numbers(ELEMENTWISE[name], terms[0], kind=kind)
 
     def _reduce(self, name, terms):
         _need(terms, 1, 2, name)

@@ -31,22 +31,29 @@ class SeriesSpec:
         return [F.col(c).asc_nulls_last() for c in (*self.order_by, *self.tiebreak)]
 
 
-def same_key(left: DataFrame, right: DataFrame, columns) -> Column:
-    """NULL-safe equality of ``columns`` on both sides."""
-    condition = F.lit(True)
-    for c in columns:
-        condition = condition & left[c].eqNullSafe(right[c])
-    return condition
+RESERVED = "_sm_"   # prefix of columns the library adds and drops again
+
+
+def named(name: str) -> Column:
+    """A column by its exact name, also with dots in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def refuse_reserved(columns) -> None:
+    """Tables must leave the library's own column names alone."""
+    clashing = [c for c in columns if c.lower().startswith(RESERVED)]
+    if clashing:
+        raise ValueError(f"columns may not begin with {RESERVED}: {clashing}")
 
 
 def join_on_key(left: DataFrame, right: DataFrame, columns, how: str = "left") -> DataFrame:
     """Join on NULL-safe key equality, keeping the left copy of the key columns."""
     renamed = right.select(
-        *[F.col(c).alias(f"_r_{c}") for c in columns],
-        *[c for c in right.columns if c not in columns],
+        *[named(c).alias(f"_sm_r_{c}") for c in columns],
+        *[named(c) for c in right.columns if c not in columns],
     )
     condition = F.lit(True)
     for c in columns:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        condition = condition & named(c).eqNullSafe(named(f"_sm_r_{c}"))
     joined = left.join(renamed, condition, how)
-    return joined.drop(*[f"_r_{c}" for c in columns]) if how != "left_semi" else joined
+    return joined.drop(*[f"_sm_r_{c}" for c in columns]) if how != "left_semi" else joined

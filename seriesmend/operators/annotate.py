@@ -9,6 +9,8 @@ an equality join and keeps nested periods from multiplying.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesmend.model import SeriesSpec
@@ -16,10 +18,10 @@ from seriesmend.plans.blocks import Layout, as_blocks, last_seen
 from seriesmend.plans.staging import stage
 from seriesmend.sources.timeaxis import epoch_micros
 
-LEVELS = 58                # 2^58 microseconds is longer than the calendar
 FEW_STRETCHES = 100_000    # stretches that may be broadcast
 FEW_BYTES = 64 * 2**20     # and the size of what they carry
-STRETCHES_PER_SLOT = 64    # candidates a reading may have to look at
+FEW_PIECES = 1_000         # pieces of a level that may be broadcast
+SEGMENTS = 256             # parts of the time axis with equally many stretches
 
 
 def _shift(value: Column, level: Column) -> Column:
@@ -42,6 +44,10 @@ def covered_stretches(
             F.struct(*order).alias("rank"), F.struct(*payload).alias("what")
         ).alias("_candidate"),
     )
+    # no piece is longer than the longest span
+    longest = spans.agg(F.max(F.col("_to") - F.col("_from"))).first()[0] or 0
+    levels = F.sequence(F.lit(0), F.lit(int(longest).bit_length()))
+
     # aligned pieces of [from, to): at level k the first and last odd ones
     def pieces(level: Column) -> Column:
         size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
@@ -55,21 +61,32 @@ def covered_stretches(
             lambda piece: F.struct(level.alias("level"), piece.alias("piece")),
         )
 
-    levels = F.sequence(F.lit(0), F.lit(LEVELS))
-    covering = (
+    covering = stage(
         spans.select("_candidate", F.inline(F.flatten(F.transform(levels, pieces))))
         .groupBy("level", "piece")
         .agg(F.min("_candidate").alias("_candidate"))
     )
+    # at most 64 rows; a high level has few pieces, which all points ask for
+    sizes = covering.groupBy("level").agg(
+        F.count(F.lit(1)).alias("pieces"), F.sum(F.octet_length(F.to_json("_candidate"))).alias("bytes")
+    ).collect()
+    broad = [r["level"] for r in sizes if r["pieces"] <= FEW_PIECES and r["bytes"] <= FEW_BYTES // 64]
+    deep = [r["level"] for r in sizes if r["level"] not in broad]
     points = spans.select(F.explode(F.array("_from", "_to")).alias("at")).distinct()
-    asked = points.select("at", F.explode(levels).alias("level")).withColumn(
-        "piece", _shift(F.col("at"), F.col("level"))
-    )
-    return (
-        asked.join(covering, ["level", "piece"], "left")
-        .groupBy("at")
-        .agg(F.min("_candidate").alias("_candidate"))
-        .select("at", F.col("_candidate.what").alias("hit"))
+
+    def asked(some: list[int]) -> DataFrame:
+        listed = F.array(*[F.lit(n) for n in some]).cast("array<int>")
+        return points.select("at", F.explode(listed).alias("level")).withColumn(
+            "piece", _shift(F.col("at"), F.col("level")))
+
+    kind = covering.schema["_candidate"].dataType
+    found = points.select("at", F.lit(None).cast(kind).alias("_candidate"))
+    for some, side in ((broad, F.broadcast(covering.filter(F.col("level").isin(broad)))), (deep, covering)):
+        if some:
+            hits = asked(some).join(side, ["level", "piece"]).select("at", "_candidate")
+            found = found.unionAll(hits)
+    return found.groupBy("at").agg(F.min("_candidate").alias("_candidate")).select(
+        "at", F.col("_candidate.what").alias("hit")
     )
 
 
@@ -101,16 +118,10 @@ def annotate_first(
         kinds = stretches.schema["hit"].dataType
         return readings.select(*shown, *[F.lit(None).cast(kinds[p].dataType).alias(p) for p in payload])
     timed = readings.select(*shown, epoch_micros(F.col(x)).alias("_at"))
-    slots = None
     if size["n"] <= few and size["bytes"] <= FEW_BYTES:
-        width = max((size["high"] - size["low"]) // size["n"], 1)
-        slots = _by_slot(stretches, width)
-        fullest = slots.groupBy("_slot").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-        if fullest > STRETCHES_PER_SLOT:
-            slots = None
-    if slots is not None:
-        matched = timed.withColumn("_slot", F.floor(F.col("_at") / F.lit(width))).join(
-            F.broadcast(slots.withColumnRenamed("_slot", "_s")),
+        slot = _slots(stretches, size["n"])
+        matched = timed.withColumn("_slot", slot(F.col("_at"))).join(
+            F.broadcast(_by_slot(stretches, slot)),
             (F.col("_slot") == F.col("_s"))
             & (F.col("_at") >= F.col("at"))
             & (F.col("_at") < F.col("_until")),
@@ -120,15 +131,45 @@ def annotate_first(
     return _carried_along(timed, stretches, shown, payload, layout)
 
 
-def _by_slot(stretches: DataFrame, width: int) -> DataFrame:
-    """Covered stretches with their end, repeated for every time slot they touch.
+def _slots(stretches: DataFrame, count: int):
+    """A function from time to slot number, increasing with time.
 
-    Slots are as wide as the mean stretch, so there are about twice as many rows.
+    The axis is cut into segments with equally many stretches, and each segment into
+    slots of equal width, about as many as it has stretches.  A few stretches far
+    away from the others only widen the slots of their own segment.
+    """
+    steps = F.array(*[F.lit(i / SEGMENTS) for i in range(SEGMENTS + 1)])
+    bounds = sorted(set(stretches.agg(F.percentile_approx("at", steps, F.lit(20 * SEGMENTS))).first()[0]))
+    per_segment = max(math.ceil(count / SEGMENTS), 1)
+    segments, first = [], 0   # (from, width, slots, number of the first slot)
+    for low, high in zip(bounds, bounds[1:] + [bounds[-1] + 1]):
+        width = max((high - low) // per_segment, 1)
+        slots = max(math.ceil((high - low) / width), 1)
+        segments.append((low, width, slots, first))
+        first += slots
+
+    def slot(at: Column) -> Column:
+        def within(some: list) -> Column:   # a balanced tree of comparisons
+            if len(some) == 1:
+                low, width, slots, begin = some[0]
+                place = F.floor((at - F.lit(low)) / F.lit(width))
+                return F.least(F.greatest(place, F.lit(0)), F.lit(slots - 1)) + F.lit(begin)
+            middle = len(some) // 2
+            return F.when(at < F.lit(some[middle][0]), within(some[:middle])).otherwise(within(some[middle:]))
+
+        return within(segments).cast("long")
+
+    return slot
+
+
+def _by_slot(stretches: DataFrame, slot) -> DataFrame:
+    """Covered stretches with their end, repeated for every slot ``_s`` they touch.
+
+    They are disjoint and slots about as many as they are, so the rows about double.
     """
     bounded = stretches.withColumn("_until", F.lead("at").over(Window.orderBy("at")))
-    slot = lambda c: F.floor(c / F.lit(width))
     return bounded.filter(F.col("hit").isNotNull()).withColumn(
-        "_slot", F.explode(F.sequence(slot(F.col("at")), slot(F.col("_until") - 1)))
+        "_s", F.explode(F.sequence(slot(F.col("at")), slot(F.col("_until") - 1)))
     )
 
 

@@ -17,19 +17,18 @@ from seriesmend.functions import ieee
 from seriesmend.functions.formula import Formula, compile_formula
 from seriesmend.model import SeriesSpec, join_on_key
 from seriesmend.operators.medians import exact_median
-from seriesmend.plans.blocks import BROADCAST_ROWS, profile
+from seriesmend.plans.blocks import profile
 from seriesmend.plans.staging import stage
 
 
 @dataclass(frozen=True)
 class Param:
-    """One parameter: its type, default, allowed values and when it applies."""
+    """One parameter: its type, default and allowed values."""
 
     name: str
     type: str  # "float", "int", "optional_float", "enum" or "expr"
     default: object = None
     choices: tuple[str, ...] = ()
-    depends_on: tuple[str, tuple[str, ...]] | None = None
 
 
 @dataclass(frozen=True)
@@ -146,10 +145,10 @@ register_correction(
             Param("max", "optional_float"),
             Param("mode", "enum", "outside", ("outside", "inside")),
             Param("action", "enum", "delete", tuple(ACTIONS)),
-            Param("replace_value", "float", 0.0, depends_on=("action", ("replace",))),
-            Param("offset_amount", "float", 0.0, depends_on=("action", ("offset",))),
-            Param("factor", "float", 1.0, depends_on=("action", ("multiply",))),
-            Param("expr", "expr", "x", depends_on=("action", ("expression",))),
+            Param("replace_value", "float", 0.0),
+            Param("offset_amount", "float", 0.0),
+            Param("factor", "float", 1.0),
+            Param("expr", "expr", "x"),
         ),
         rows=_threshold_rows,
     )
@@ -189,22 +188,27 @@ def attach_summaries(
 ) -> DataFrame:
     """Add the summary columns of ``formula``, taken over the rows where ``where`` holds.
 
-    A summary has one row per series.  It is computed once, written, and broadcast
-    if it turns out to be small; otherwise the join relies on the adaptive split of
-    skewed keys.  ``costly``: ``df`` is worth writing the selected values once.
+    A summary has one row per series.  Medians, and values that a further summary
+    goes on from, are written once.  The join is broadcast if the summary turns out
+    to be small; otherwise it relies on the adaptive split of skewed keys.
+    ``costly``: ``df`` is worth writing the selected values once.
     """
     if not formula.summaries:
         return df
     selected = df.filter(where).select(*keys, column)
     if costly:
         selected = stage(selected)
-    for level in sorted({s.level for s in formula.summaries}):
+    levels = sorted({s.level for s in formula.summaries})
+    for level in levels:
         batch = [s for s in formula.summaries if s.level == level]
-        table = stage(_summary_table(selected, keys, batch))
-        if not keys or table.count() <= BROADCAST_ROWS:
-            table = F.broadcast(table)
+        table = _summary_table(selected, keys, batch)
+        if level != levels[-1] or any(s.reducer == "median" for s in batch):
+            table = stage(table)
+        if not keys:
+            table = F.broadcast(table)   # one row
         df = join_on_key(df, table, keys)
-        selected = join_on_key(selected, table, keys)
+        if level != levels[-1]:
+            selected = join_on_key(selected, table, keys)
     return df
 
 

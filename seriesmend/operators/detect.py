@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from seriesmend.functions import ieee
 from seriesmend.functions.binding import let, once
 from seriesmend.model import SeriesSpec, join_on_key
-from seriesmend.plans.blocks import BLOCK, ROW_NUMBER, Blocks, Layout, as_blocks
+from seriesmend.plans.blocks import ROW_NUMBER, Blocks, Layout, as_blocks, carried
 
 # Fixed values of the score: consistency factor of the MAD and its floor.
 MAD_TO_SIGMA = 1.4826
@@ -241,18 +241,13 @@ def _label_runs(blocks: Blocks, df: DataFrame) -> DataFrame:
         F.max(here).alias("_last_break"),
         F.max(ROW_NUMBER).alias("_last_row"),
     )
-    series = Window.partitionBy(*blocks.spec.keys)
-    earlier = series.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    later = series.orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
-    summary = edges.select(
-        *blocks.parts,
-        "_first_break",
-        "_last_break",
-        F.last("_last_break", ignorenulls=True).over(earlier).alias("_begun_before"),
-        F.coalesce(
-            F.last("_first_break", ignorenulls=True).over(later),
-            F.max("_last_row").over(series) + 1,
-        ).alias("_next_break"),
+    keys = blocks.spec.keys
+    ends = edges.groupBy(*keys).agg((F.max("_last_row") + 1).alias("_end"))
+    begun_before = carried(edges, keys, "_last_break", "_begun_before")
+    both = carried(begun_before, keys, "_first_break", "_following", backwards=True)
+    summary = join_on_key(both, ends, keys).select(
+        *blocks.parts, "_first_break", "_last_break", "_begun_before",
+        F.coalesce("_following", "_end").alias("_next_break"),
     )
     merged = blocks.join_summary(local, summary)
     head_end = F.coalesce(F.col("_first_break"), F.col("_next_break"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesmend.model import join_on_key
-from seriesmend.plans.blocks import BROADCAST_ROWS, LARGEST_PLAIN_SERIES, Profile
+from seriesmend.plans.blocks import LARGEST_PLAIN_SERIES, Profile
 from seriesmend.plans.staging import stage
 
 GRID = 1_000               # quantiles per sketch
 SKETCH_ACCURACY = 20_000   # rank error of the sketch is at most rows / accuracy
-NARROWINGS = 2
+WIDER = 4                  # how much wider a bracket gets after one that did not help
 
 
 def exact_median(
@@ -32,26 +32,27 @@ def exact_median(
     counts = values.groupBy(*keys).agg(F.count("_v").alias("_n"))
     # at most rows / largest_plain long series
     long_ones = stage(counts.filter(F.col("_n") > largest_plain))
-    few = sizes.rows / largest_plain <= BROADCAST_ROWS
+    few = sizes.may_broadcast(sizes.rows // largest_plain)
     if not keys:
         rest = values.filter(F.col("_v").isNotNull())
-        return _narrowed_median(rest, long_ones, keys, few).withColumnRenamed("_v", value)
+        return _narrowed_median(rest, long_ones, keys, few, largest_plain).withColumnRenamed("_v", value)
     listed = long_ones.select(*keys, F.lit(True).alias("_long"))
     marked = join_on_key(values, F.broadcast(listed) if few else listed, keys)
     short = marked.filter(F.col("_long").isNull()).groupBy(*keys).agg(percentile)
     rest = marked.filter(F.col("_long") & F.col("_v").isNotNull()).select(*keys, "_v")
-    return short.unionByName(_narrowed_median(rest, long_ones, keys, few).withColumnRenamed("_v", value))
+    return short.unionByName(_narrowed_median(rest, long_ones, keys, few, largest_plain).withColumnRenamed("_v", value))
 
 
 def _narrowed_median(
-    rest: DataFrame, sizes: DataFrame, keys: tuple[str, ...], few: bool
+    rest: DataFrame, sizes: DataFrame, keys: tuple[str, ...], few: bool, most: int
 ) -> DataFrame:
     """Cut the values down around the middle ranks, then rank what is left.
 
-    A pass takes quantiles from a mergeable sketch, brackets the wanted ranks one
-    grid step wider than needed, counts exactly what lies below and checks that
-    the bracket holds the ranks; if it ever missed, that series keeps all its
-    values.  Two passes leave about one value in 10^5.
+    A pass takes quantiles from a mergeable sketch, brackets the wanted ranks a grid
+    step wider than needed, counts exactly what lies below and checks that the
+    bracket holds the ranks; if it missed, the next one is wider.  Passes go on until
+    no series has more than ``most`` values left, those that are all equal aside.
+    A pass leaves about one value in 300.
     """
 
     def attach(df: DataFrame, per_series: DataFrame) -> DataFrame:
@@ -65,20 +66,21 @@ def _narrowed_median(
         (F.floor(F.col("_n") / 2) + 1).cast("long").alias("_high"),
     )
     steps = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-    for _ in range(NARROWINGS):
+    margin, left = 1, None
+    while margin <= GRID:
         grid = rest.groupBy(*keys).agg(
             F.percentile_approx("_v", steps, F.lit(SKETCH_ACCURACY)).alias("_grid")
         )
-        at_low = F.floor(F.col("_low") / F.col("_n") * GRID).cast("int") - 1
-        at_high = F.ceil(F.col("_high") / F.col("_n") * GRID).cast("int") + 1
+        at_low = F.floor(F.col("_low") / F.col("_n") * GRID).cast("int") - margin
+        at_high = F.ceil(F.col("_high") / F.col("_n") * GRID).cast("int") + margin
         bracket = attach(state, grid).select(
             *keys, "_n", "_low", "_high",
             F.when(at_low >= 0, F.get("_grid", at_low)).alias("_from"),
-            F.get("_grid", at_high).alias("_to"),
+            F.when(at_high <= GRID, F.get("_grid", at_high)).alias("_to"),
         )
         counted = attach(rest, bracket).groupBy(*keys, "_n", "_low", "_high", "_from", "_to").agg(
-            F.count_if(v < F.col("_from")).alias("_below"),
-            F.count_if(v > F.col("_to")).alias("_above"),
+            F.count_if(F.coalesce(v < F.col("_from"), F.lit(False))).alias("_below"),
+            F.count_if(F.coalesce(v > F.col("_to"), F.lit(False))).alias("_above"),
         )
         upto = F.col("_n") - F.col("_above")
         hit = (F.col("_below") < F.col("_low")) & (F.col("_high") <= upto)
@@ -96,6 +98,13 @@ def _narrowed_median(
         bounded = attach(rest, state.select(*keys, "_from", "_to"))
         inside = _at_least(v, F.col("_from")) & _at_most(v, F.col("_to"))
         rest = stage(bounded.filter(inside).select(*keys, "_v"))
+        one_value = F.coalesce(F.col("_from") == F.col("_to"), F.lit(False))
+        before = left
+        left = state.agg(F.coalesce(F.max(F.when(~one_value, F.col("_n"))), F.lit(0))).first()[0]
+        if left <= most:
+            break
+        if before is not None and left >= before:
+            margin *= WIDER
     # a value repeated many times is one row in the last ordering
     repeated = rest.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_times"))
     running = Window.partitionBy(*keys).orderBy("_v").rowsBetween(
@@ -107,7 +116,7 @@ def _narrowed_median(
     )
     low = F.min(F.when(F.col("_upto") >= F.col("_low"), v))
     high = F.min(F.when(F.col("_upto") >= F.col("_high"), v))
-    return ranked.groupBy(*keys).agg(((low + high) / 2).alias("_v"))
+    return ranked.groupBy(*keys).agg((0.5 * low + 0.5 * high).alias("_v"))  # as the built-in percentile
 
 
 def _at_least(v: Column, bound: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesmend.functions import ieee
 from seriesmend.model import SeriesSpec, join_on_key
-from seriesmend.plans.blocks import BROADCAST_ROWS, Layout, as_blocks, last_seen
+from seriesmend.plans.blocks import BROADCAST_BYTES, BROADCAST_ROWS, Layout, as_blocks, last_seen, profile
 from seriesmend.plans.staging import stage
 
 
@@ -83,7 +83,11 @@ def nearest_points(
     # a probe sorts before the readings of its own time; equal probes get an order too
     ties = [f"_tie_{c}" for c in spec.tiebreak]
     order = SeriesSpec(spec.keys, ("_x",), ("_kind", *ties, "_no"))
-    blocks = as_blocks(merged, order, layout=layout)
+    sizes = None
+    if layout.mode != "plain":
+        # each side is counted on its own keys, not the merged rows
+        sizes = profile(readings, spec.keys).plus(profile(probes, spec.keys))
+    blocks = as_blocks(merged, order, layout=layout, sizes=sizes)
     before = last_seen(blocks, "_point", "_before")
     both = last_seen(blocks.with_df(before), "_point", "_after", backwards=True)
     left, right, at = F.col("_before.x"), F.col("_after.x"), F.col("_x")
@@ -124,9 +128,10 @@ def nearest_point(readings: DataFrame, spec: SeriesSpec, x: str, probe) -> DataF
         *spec.keys, F.when(earlier, left).otherwise(right).alias("_nearest_x"), earlier.alias("_earlier")
     )
     reach = chosen.agg(
-        F.min("_nearest_x").alias("low"), F.max("_nearest_x").alias("high"), F.count(F.lit(1)).alias("n")
+        F.min("_nearest_x").alias("low"), F.max("_nearest_x").alias("high"), F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*spec.keys, "_nearest_x")))), F.lit(0)).alias("bytes"),
     ).first()
-    if reach["n"] <= BROADCAST_ROWS:
+    if reach["n"] <= BROADCAST_ROWS and reach["bytes"] <= BROADCAST_BYTES:
         chosen = F.broadcast(chosen)
     near = readings
     if reach["low"] is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesmend.functions import ieee
 from seriesmend.model import SeriesSpec, join_on_key
-from seriesmend.plans.blocks import BROADCAST_ROWS, ROW_NUMBER, Layout, as_blocks
+from seriesmend.plans.blocks import ROW_NUMBER, Layout, as_blocks
 from seriesmend.sources.timeaxis import epoch_seconds
 
 # Fixed value: most points of a selection that are shown.
@@ -80,7 +80,7 @@ def downsample_stride(
         sizes = blocks.df.groupBy(*spec.keys).agg(
             F.min(ROW_NUMBER).alias("_first"), F.count(F.lit(1)).alias("_n")
         )
-        if blocks.summary_rows <= BROADCAST_ROWS:
+        if blocks.small_summary:
             sizes = F.broadcast(sizes)
         numbered = join_on_key(blocks.df, sizes, spec.keys)
     else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -25,9 +26,40 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and read it back, so that later jobs see fixed rows."""
+# folders written by this process and not dropped yet
+_written: list[str] = []
+
+
+def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write ``df`` once and read it back, so that later jobs see fixed rows.
+
+    The table belongs to the ``staging_scope`` around the call; without one, it stays
+    until ``drop_staged``.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def drop_staged(spark: SparkSession, since: int = 0) -> None:
+    """Delete what this process has staged; frames that still read it are then void."""
+    for path in _written[since:]:
+        delete_folder(spark, path)
+    del _written[since:]
+
+
+@contextlib.contextmanager
+def staging_scope(spark: SparkSession):
+    """Own what is staged inside: write the results before the end, it is deleted there."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        drop_staged(spark, since)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesmend.functions import ieee
-from seriesmend.model import join_on_key
+from seriesmend.model import join_on_key, named
 
 # Fixed values of the change test.
 ABSOLUTE_TOLERANCE = 1e-9
@@ -41,11 +41,11 @@ def diff_output(
     ``columns`` (the time, and keys if any) are carried along.
     """
     if not touched:
-        raise ValueError("No touched variables to save.")
-    flags = {v: changed(F.col(raw), F.col(new)) for v, (raw, new) in touched.items()}
+        raise ValueError("there is no corrected variable to write")
+    flags = {v: changed(named(raw), named(new)) for v, (raw, new) in touched.items()}
     any_changed = reduce(lambda a, b: a | b, flags.values())
     return df.filter(any_changed).select(
-        *columns, *[F.when(flags[v], F.col(new)).alias(v) for v, (_, new) in touched.items()]
+        *columns, *[F.when(flags[v], named(new)).alias(v) for v, (_, new) in touched.items()]
     )
 
 
@@ -60,14 +60,14 @@ def series_output(
 ) -> DataFrame:
     """All rows: ``columns`` and the corrected value of every touched variable."""
     if not touched:
-        raise ValueError("No touched variables to save.")
-    return df.select(*columns, *[F.col(new).alias(v) for v, new in touched.items()])
+        raise ValueError("there is no corrected variable to write")
+    return df.select(*columns, *[named(new).alias(v) for v, new in touched.items()])
 
 
 def full_output(df: DataFrame, columns: list[str], touched: dict[str, str]) -> DataFrame:
     """All rows and ``columns``, the touched ones replaced by their corrected column."""
     return df.select(
-        *[F.col(touched[c]).cast("double").alias(c) if c in touched else F.col(c) for c in columns]
+        *[named(touched[c]).cast("double").alias(c) if c in touched else named(c) for c in columns]
     )
 
 
@@ -76,22 +76,33 @@ def merged_output(
 ) -> DataFrame:
     """An earlier full output with more variables replaced (its other fixes stay).
 
-    ``corrected`` holds the row key and the variables.  Column order is kept.
+    ``corrected`` holds the row key and the variables.  Column order is kept.  Call
+    ``check_same_rows`` first: a row without a partner would lose its values.
     """
+    fresh = {v: f"_sm_new_{i}" for i, v in enumerate(variables)}
     renamed = corrected.select(
-        *row_key, *[F.col(v).cast("double").alias(f"_new_{v}") for v in variables]
+        *[named(k) for k in row_key], *[named(v).cast("double").alias(n) for v, n in fresh.items()]
     )
     joined = join_on_key(table, renamed, row_key)
     return joined.select(
-        *[F.col(f"_new_{c}").alias(c) if c in variables else F.col(c) for c in table.columns],
-        *[F.col(f"_new_{v}").alias(v) for v in variables if v not in table.columns],
+        *[named(fresh[c]).alias(c) if c in fresh else named(c) for c in table.columns],
+        *[named(n).alias(v) for v, n in fresh.items() if v not in table.columns],
     )
 
 
-def check_same_rows(table: DataFrame, rows: int) -> None:
-    """Refuse to merge into a table that has other rows than the loaded one."""
-    found = table.count()
-    if found != rows:
+def check_same_rows(table: DataFrame, corrected: DataFrame, row_key: tuple[str, ...]) -> None:
+    """Refuse to merge unless every row key is exactly once in both tables."""
+    missing = [k for k in row_key if k not in table.columns]
+    if missing:
+        raise ValueError(f"the earlier output has no columns {missing} to tell its rows by; nothing was saved")
+    keys = {k: f"_sm_key_{i}" for i, k in enumerate(row_key)}
+    side = lambda df, old: df.select(*[named(k).alias(n) for k, n in keys.items()], F.lit(old).alias("_sm_old"))
+    sides = side(table, 1).unionByName(side(corrected, 0)).groupBy(*keys.values()).agg(
+        F.sum("_sm_old").alias("_sm_there"), F.sum(1 - F.col("_sm_old")).alias("_sm_here"))
+    odd = sides.filter("_sm_there <> 1 OR _sm_here <> 1").agg(
+        F.count(F.lit(1)).alias("keys"), F.sum(F.greatest("_sm_there", "_sm_here")).alias("rows")).first()
+    if odd["keys"]:
         raise ValueError(
-            f"The source has {found} rows but the loaded data has {rows}; nothing was saved."
+            f"{odd['keys']} row keys are not exactly once in both the earlier output and the loaded "
+            "table; nothing was saved"
         )

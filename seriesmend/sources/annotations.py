@@ -23,7 +23,7 @@ def annotation_time(df: DataFrame, name: str) -> Column:
 def normalize_annotations(df: DataFrame) -> DataFrame:
     """Add ``start_dt``, ``end_dt`` and ``is_punctual`` (no end, or end = start)."""
     if "start" not in df.columns:
-        raise ValueError("The events file must contain a 'start' column")
+        raise ValueError("an annotation table needs a column start")
     end = annotation_time(df, "end") if "end" in df.columns else F.lit(None).cast("timestamp_ntz")
     timed = df.withColumn("start_dt", annotation_time(df, "start")).withColumn("end_dt", end)
     return timed.withColumn(

@@ -22,7 +22,7 @@ TEMPORAL_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 def table_format(path: str) -> str:
     suffix = PurePosixPath(str(path).rstrip("/")).suffix.lower()
     if suffix not in (".parquet", ".csv"):
-        raise ValueError(f"Unsupported file format: {suffix}")
+        raise ValueError(f"tables are read from .parquet and .csv, not {suffix or 'without a suffix'}")
     return suffix[1:]
 
 

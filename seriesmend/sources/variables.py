@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from seriesmend.functions.ieee import to_missing
+from seriesmend.model import named
 from seriesmend.sources.tables import TEMPORAL_TYPES
 from seriesmend.sources.timeaxis import epoch_micros
 
@@ -22,7 +23,7 @@ def reading(column: Column, dtype: T.DataType) -> Column:
 
 def open_variable(df: DataFrame, name: str, row_key: tuple[str, ...]) -> DataFrame:
     """Row key, ``raw`` and ``corrected`` (equal until something is corrected)."""
-    value = reading(F.col(name), df.schema[name].dataType)
+    value = reading(named(name), df.schema[name].dataType)
     return df.select(*row_key, value.alias("raw")).withColumn("corrected", F.col("raw"))
 
 
@@ -31,12 +32,13 @@ def unpivot_variables(
 ) -> DataFrame:
     """Long form of several variables: row key, ``variable``, ``raw``, ``corrected``."""
     readable = df.select(
-        *row_key, *[reading(F.col(v), df.schema[v].dataType).alias(f"_var_{v}") for v in variables]
+        *row_key,
+        *[reading(named(v), df.schema[v].dataType).alias(f"_sm_var_{i}") for i, v in enumerate(variables)],
     )
     pairs = F.array(
         *[
-            F.struct(F.lit(v).alias("variable"), F.col(f"_var_{v}").alias("raw"))
-            for v in variables
+            F.struct(F.lit(v).alias("variable"), F.col(f"_sm_var_{i}").alias("raw"))
+            for i, v in enumerate(variables)
         ]
     )
     return readable.select(*row_key, F.inline(pairs)).withColumn("corrected", F.col("raw"))

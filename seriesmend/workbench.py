@@ -11,19 +11,19 @@ import datetime
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from seriesmend.model import SeriesSpec
+from seriesmend.model import SeriesSpec, join_on_key, named, refuse_reserved
 from seriesmend.operators.annotate import annotate_first
 from seriesmend.operators.correct import correction_patch, mark_rows
 from seriesmend.operators.detectors import detect
 from seriesmend.operators.select import freeze_selection, nearest_point
 from seriesmend.plans.blocks import Layout
 from seriesmend.plans.history import Edit, EditLog, deleted_rows, latest_patch, patched_values
-from seriesmend.plans.staging import shared_folder, stage
+from seriesmend.plans.staging import delete_folder, shared_folder, stage
 from seriesmend.session import require_utc
 from seriesmend.sinks.exports import check_same_rows, diff_output, full_output, merged_output, series_output
-from seriesmend.sinks.files import SUFFIXES, output_path, path_exists, write_output
+from seriesmend.sinks.files import SUFFIXES, output_path, path_exists, qualified, write_output
 from seriesmend.sources.annotations import (
     FILE_ORDER,
     annotation_geometry,
@@ -37,7 +37,7 @@ from seriesmend.sources.tables import (
     table_format,
     table_name,
 )
-from seriesmend.sources.timeaxis import with_time_axis
+from seriesmend.sources.timeaxis import formats_for, unread_times, with_time_axis
 from seriesmend.sources.variables import reading
 
 TIME, EPOCH = "_time", "_x"
@@ -55,8 +55,9 @@ class Workbench:
     """One table, its variables and their corrections.
 
     ``keys`` split the table into series.  ``row_id`` names columns that identify
-    a row; without it the position in the source file does, and the full output
-    carries that position in extra columns.
+    a row; without it the position in the source does.  Outputs go beside the source
+    or to ``output_folder``.  ``close`` (or leaving a ``with`` block) deletes what the
+    session has written for itself.
     """
 
     def __init__(
@@ -66,43 +67,61 @@ class Workbench:
         keys: tuple[str, ...] = (),
         row_id: tuple[str, ...] = (),
         schema=None,
+        output_folder: str | None = None,
     ):
         require_utc(spark)
         self.spark = spark
         self.source = str(path)
         self.name = table_name(path)
         self.keys = tuple(keys)
-        self.columns_added: tuple[str, ...] = ()
-        self._schema = schema
+        self.output_folder = output_folder
+        self._folder = f"{shared_folder(spark)}/session-{uuid.uuid4().hex}"
         table = read_table(spark, self.source, schema)
+        refuse_reserved(table.columns)
+        self._kinds = {f.name: f.dataType for f in table.schema.fields}
+        odd = [c for c in (*self.keys, *row_id) if "." in c or c in (TIME, EPOCH, "raw", "corrected")]
+        if odd:
+            raise ValueError(f"columns that identify rows or series may not be called {odd}")
         self.time_column = find_time_column(table.schema)
+        self._formats: dict[str, tuple[str, ...]] = {}
         self._columns = table.columns
         if row_id:
             self.row_id = tuple(row_id)
             self.table = table
         else:
             self.table, self.row_id = self._with_positions(table)
-            self.columns_added = self.row_id
+        self.has_row_id = bool(row_id)
         self.variables: dict[str, Variable] = {}
         self.events: DataFrame | None = None
-        self._folder = f"{shared_folder(spark)}/session-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> "Workbench":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete the session's patches and numbered rows; its frames are then void."""
+        delete_folder(self.spark, self._folder)
 
     def _with_positions(self, table: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
         if table_format(self.source) == "parquet":
+            # relative to the table, so that a copy elsewhere has the same rows
+            root = qualified(self.spark, self.source)
             placed = table.select(
                 "*",
-                F.col("_metadata.file_path").alias("_file"),
-                F.col("_metadata.row_index").alias("_row"),
+                F.col("_metadata.file_path").substr(F.lit(len(root) + 1), F.lit(1 << 20)).alias("_sm_file"),
+                F.col("_metadata.row_index").alias("_sm_row"),
             )
-            return placed, ("_file", "_row")
+            return placed, ("_sm_file", "_sm_row")
         # csv has no row index: number the rows of every split once and keep that
         numbered = table.select(
             "*",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_row"),
+            F.col("_metadata.file_path").alias("_sm_file"),
+            F.col("_metadata.file_block_start").alias("_sm_start"),
+            F.monotonically_increasing_id().alias("_sm_row"),
         )
-        return stage(numbered), ("_file", "_start", "_row")
+        return stage(numbered, self._folder), ("_sm_file", "_sm_start", "_sm_row")
 
     # --- what is there ---------------------------------------------------------
 
@@ -118,6 +137,17 @@ class Workbench:
     def variable_names(self) -> list[str]:
         return [c for c in self._columns if c != self.time_column]
 
+    @property
+    def time_formats(self) -> tuple[str, ...]:
+        """The layouts of the time column, chosen once for the whole column."""
+        if self.time_column not in self._formats:
+            self._formats[self.time_column] = formats_for(self.table, self.time_column)
+        return self._formats[self.time_column]
+
+    def unread_times(self) -> int:
+        """Rows whose time is a text in no known layout: no X range finds them."""
+        return self.table.agg(unread_times(self.table, self.time_column, self.time_formats)).first()[0]
+
     def set_time_column(self, name: str) -> None:
         """Use another column as the time axis; open variables are dropped."""
         if name == self.time_column:
@@ -145,15 +175,15 @@ class Workbench:
     # --- frames ----------------------------------------------------------------
 
     def _base(self, names: list[str]) -> DataFrame:
-        """The table with its row key, ``_x`` and ``raw_<i>`` of each variable.
+        """The table with its row key, ``_x`` and ``_sm_raw_<i>`` of each variable.
 
         Columns that are not used later never leave the scan.
         """
-        timed = with_time_axis(self.table, self.time_column, TIME, EPOCH)
+        timed = with_time_axis(self.table, self.time_column, TIME, EPOCH, self.time_formats)
         kinds = self.table.schema
         return timed.select(
             "*",
-            *[reading(F.col(n), kinds[n].dataType).alias(f"raw_{i}") for i, n in enumerate(names)],
+            *[reading(named(n), kinds[n].dataType).alias(f"_sm_raw_{i}") for i, n in enumerate(names)],
         )
 
     def _patches(self, variable: Variable) -> DataFrame | None:
@@ -161,21 +191,21 @@ class Workbench:
         if not numbers:
             return None
         stored = self.spark.read.option("basePath", variable.folder).parquet(
-            *[f"{variable.folder}/seq={n}" for n in numbers]
+            *[f"{variable.folder}/_sm_seq={n}" for n in numbers]
         )
-        return stored.withColumn("seq", F.col("seq").cast("int"))
+        return stored.withColumn("_sm_seq", F.col("_sm_seq").cast("int"))
 
     def _frame(self, names: list[str]) -> DataFrame:
-        """``_base`` plus ``new_<i>``, the corrected value of each variable."""
+        """``_base`` plus ``_sm_new_<i>``, the corrected value of each variable."""
         frame = self._base(names)
         for i, n in enumerate(names):
             variable = self.variables[n]
             patches = self._patches(variable)
             if patches is None:
-                frame = frame.withColumn(f"new_{i}", F.col(f"raw_{i}"))
+                frame = frame.withColumn(f"_sm_new_{i}", F.col(f"_sm_raw_{i}"))
                 continue
             latest = latest_patch(patches, variable.log.layers, self.spec)
-            frame = patched_values(frame, latest, self.spec, f"raw_{i}", f"new_{i}")
+            frame = patched_values(frame, latest, self.spec, f"_sm_raw_{i}", f"_sm_new_{i}")
         return frame
 
     def readings(self, name: str) -> DataFrame:
@@ -183,7 +213,7 @@ class Workbench:
         self.open_variable(name)
         frame = self._frame([name])
         return frame.select(
-            *self.spec.row_key, EPOCH, F.col("raw_0").alias("raw"), F.col("new_0").alias("corrected")
+            *self.spec.row_key, EPOCH, F.col("_sm_raw_0").alias("raw"), F.col("_sm_new_0").alias("corrected")
         )
 
     def deleted(self, name: str) -> DataFrame:
@@ -239,7 +269,7 @@ class Workbench:
             frame = mark_rows(frame, self.spec, where)
             where = F.col("_picked")
         patch = correction_patch(frame, self.spec, op, params, where, costly=True)
-        path = f"{variable.folder}/seq={variable.log.next_seq}"
+        path = f"{variable.folder}/_sm_seq={variable.log.next_seq}"
         patch.write.mode("overwrite").parquet(path)
         points = self.spark.read.parquet(path).count()
         if points == 0:
@@ -270,27 +300,62 @@ class Workbench:
         return [n for n, v in self.variables.items() if v.log.dirty]
 
     def _save_one(self, mode: str, fmt: str, frame: DataFrame, names: list[str]) -> str:
-        path = output_path(self.source, mode, fmt)
+        path = output_path(self.source, mode, fmt, self.output_folder)
         shown = (F.col(TIME).alias(self.time_column), *[k for k in self.keys if k != self.time_column])
         if mode == "diff":
-            touched = {n: (f"raw_{i}", f"new_{i}") for i, n in enumerate(names)}
+            touched = {n: (f"_sm_raw_{i}", f"_sm_new_{i}") for i, n in enumerate(names)}
             return write_output(diff_output(frame, shown, touched), path, fmt)
+        new = {n: f"_sm_new_{i}" for i, n in enumerate(names)}
         if mode == "series":
-            touched = {n: f"new_{i}" for i, n in enumerate(names)}
-            return write_output(series_output(frame, shown, touched), path, fmt)
-        new = {n: f"new_{i}" for i, n in enumerate(names)}
-        if not path_exists(self.spark, path):
-            wanted = [*self._columns, *self.columns_added]
-            return write_output(full_output(frame, wanted, new), path, fmt)
+            return write_output(series_output(frame, shown, new), path, fmt)
+        earlier = path_exists(self.spark, path)
+        if not self.has_row_id:
+            return self._save_by_position(frame, new, path, fmt, earlier)
+        if not earlier:
+            return write_output(full_output(frame, self._columns, new), path, fmt)
         # an earlier full output is the source, so fixes of other variables stay
-        earlier = read_table(self.spark, path)
-        check_same_rows(earlier, self.table.count())
-        fixed = frame.select(*self.row_id, *[F.col(c).alias(n) for n, c in new.items()])
-        return write_output(merged_output(earlier, fixed, self.row_id, names), path, fmt)
+        table = read_table(self.spark, path, self._output_schema(path, names))
+        fixed = frame.select(*self.row_id, *[named(c).alias(n) for n, c in new.items()])
+        check_same_rows(table, fixed, self.row_id)
+        return write_output(merged_output(table, fixed, self.row_id, names), path, fmt)
+
+    def _output_schema(self, path: str, names: list[str]) -> T.StructType | None:
+        """A csv output is read with the types of the table, corrected columns as doubles."""
+        if table_format(path) == "parquet":
+            return None
+        header = self.spark.read.option("header", True).csv(path).columns
+        corrected = set(names) | {c for c in header if isinstance(self._kinds.get(c), T.NumericType)}
+        return T.StructType([
+            T.StructField(c, T.DoubleType() if c in corrected else self._kinds.get(c, T.StringType())) for c in header
+        ])
+
+    def _save_by_position(self, frame: DataFrame, new: dict, path: str, fmt: str, earlier: bool) -> str:
+        """A full output of a table without row ids, and beside it what a later one needs.
+
+        ``<output>.rows`` has the position of every row and the corrected variables so
+        far; the output itself has the columns of the table and nothing else.
+        """
+        beside, key = f"{path}.rows", self.row_id
+        kept = {}
+        if earlier:
+            if table_format(self.source) != "parquet" or not path_exists(self.spark, beside):
+                raise ValueError(
+                    f"{path} cannot be merged: its rows are not known without row_id; nothing was saved"
+                )
+            # the table beside the output is replaced before the output is written
+            rows = stage(self.spark.read.parquet(beside), self._folder)
+            check_same_rows(rows, frame, key)
+            others = [c for c in rows.columns if c not in key and c not in new]
+            kept = {v: f"_sm_kept_{i}" for i, v in enumerate(others)}
+            frame = join_on_key(frame, rows.select(*key, *[named(v).alias(c) for v, c in kept.items()]), key)
+        full = {**kept, **new}
+        if table_format(self.source) == "parquet":
+            write_output(frame.select(*key, *[named(c).cast("double").alias(v) for v, c in full.items()]), beside)
+        return write_output(full_output(frame, self._columns, full), path, fmt)
 
     def save(self, mode: str = "full", fmt: str = "parquet") -> str | None:
         """Write one output of all dirty variables; None if nothing is dirty."""
-        output_path(self.source, mode, fmt)
+        output_path(self.source, mode, fmt, self.output_folder)
         names = self.dirty_variables
         if not names:
             return None
@@ -303,8 +368,11 @@ class Workbench:
         names = self.dirty_variables
         if not names:
             return {}
-        # the three outputs must agree, and the patches are joined once
-        snapshot = stage(self._frame(names))
+        # the three outputs must agree: the corrected values are fixed, the table is not copied
+        frame = self._frame(names)
+        new = [f"_sm_new_{i}" for i in range(len(names))]
+        fixed = stage(frame.select(*self.row_id, *new), self._folder)
+        snapshot = join_on_key(self._base(names), fixed, self.row_id)
         paths = {mode: self._save_one(mode, fmt, snapshot, names) for mode in SUFFIXES}
         self._mark_clean()
         return paths

@@ -5,6 +5,7 @@ from seriesmend.workload import (  # noqa: F401  (importing registers the querie
     detection,
     exports_and_views,
     history,
+    sessions,
     sources_and_selection,
 )
 from seriesmend.workload.registry import ORACLES, QUERIES

@@ -144,6 +144,12 @@ FORMULAS = {
              - (CASE WHEN x < 10 THEN 1 ELSE 0 END) END""",
         None,
     ),
+    "expr_integer_kinds": (
+        "(x > 30) // (x > 60) + np.where(x > 40, 7, 3) % 0 + (np.abs(x > 20) + (x > 50))",
+        """CASE WHEN isnan(x) THEN 0 ELSE
+             (CASE WHEN x > 60 THEN 1 ELSE 0 END) + (CASE WHEN x > 20 THEN 1 ELSE 0 END) END""",
+        None,
+    ),
     "expr_power": (
         "x ** 2 + x ** 0.5 + x ** 0",
         "CASE WHEN isnan(x) THEN x ELSE x * x + sqrt(x) + 1 END",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -40,7 +41,8 @@ def edited(spark, folder):
     log, patches = EditLog(), []
     for op, params, condition in EDITS:
         frame, where, new = corrected_values(frame, READINGS, op, params, F.expr(condition))
-        edit = log.apply(op, f"{op} where {condition}")
+        at = datetime.datetime(2024, 1, 1, 12, log.next_seq, tzinfo=datetime.timezone.utc)
+        edit = log.apply(op, f"{op} where {condition}", applied_at=at)
         patch = frame.filter(where).select(
             *READINGS.row_key, F.col("value").alias("old_value"), new.alias("new_value")
         )
@@ -68,7 +70,9 @@ def _replayed(*actions):
     ),
 )
 def log_apply(spark, folder):
-    return edited(spark, folder)[1].select("seq", "event_id", "old_value", "new_value")
+    return edited(spark, folder)[1].select(
+        F.col("_sm_seq").alias("seq"), "event_id", "old_value", "new_value"
+    )
 
 
 query("log_replay", f"WITH {CHAIN_SQL} SELECT event_id, c4 AS corrected FROM chain")(_replayed())
@@ -99,13 +103,18 @@ query("log_reset", "SELECT event_id, value AS corrected FROM events")(_replayed(
 @query(
     "log_summary",
     f"WITH {CHAIN_SQL} " + " UNION ALL ".join(
-        f"SELECT {i} AS position, '{EDITS[i][0]}' AS op_id, count(*) AS points FROM chain WHERE s{i}"
+        f"""SELECT {i} AS position, '{EDITS[i][0]}' AS op_id,
+            '{EDITS[i][0]} where {EDITS[i][2].replace("'", "''")}' AS label,
+            TIMESTAMP '2024-01-01 12:0{i}:00' AS applied_at, count(*) AS points
+            FROM chain WHERE s{i}"""
         for i in range(4)
     ),
 )
 def log_summary(spark, folder):
     _, patches, log = edited(spark, folder)
-    return history_listing(patches, log.edits).select("position", "op_id", "points")
+    return history_listing(patches, log.edits).select(
+        "position", "op_id", "label", F.col("applied_at").cast("timestamp_ntz").alias("applied_at"), "points"
+    )
 
 
 @query(

@@ -16,7 +16,7 @@ from seriesmend.sources.annotations import (
     normalize_annotations,
 )
 from seriesmend.sources.tables import find_time_column, table_summary
-from seriesmend.sources.timeaxis import epoch_micros, with_time_axis
+from seriesmend.sources.timeaxis import epoch_micros, formats_for, unread_times, with_time_axis
 from seriesmend.sources.variables import open_variable, unpivot_variables
 from seriesmend.workload.registry import (
     GAPPED_SQL,
@@ -46,22 +46,46 @@ def time_axis_numeric(spark, folder):
     return with_time_axis(orders, "time").select("o_orderkey", "x_epoch")
 
 
+# one layout for each of six kinds of orders
+TEXT_LAYOUTS = (
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'+02:00'",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS'789'", "dd.MM.yyyy HH:mm", "dd/MM/yyyy",
+)
+
+
 @query(
     "time_axis_text",
-    """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN epoch_us(o_orderdate) / 1e6 END AS x_epoch
+    """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN
+         epoch_us(o_orderdate) / 1e6 - CASE WHEN o_orderkey % 6 = 2 THEN 7200 ELSE 0 END END AS x_epoch
        FROM orders""",
 )
 def time_axis_text(spark, folder):
-    day = F.col("o_orderdate")
-    text = (
-        F.when(F.col("o_orderstatus") == "F", F.date_format(day, "yyyy-MM-dd HH:mm:ss"))
-        .when(F.col("o_orderstatus") == "O", F.date_format(day, "dd/MM/yyyy"))
-        .otherwise(F.col("o_orderpriority"))
-    )
+    text = F.col("o_orderpriority")   # no time
+    for n, layout in enumerate(TEXT_LAYOUTS):
+        this = (F.col("o_orderstatus") != "P") & (F.col("o_orderkey") % len(TEXT_LAYOUTS) == n)
+        text = F.when(this, F.date_format("o_orderdate", layout)).otherwise(text)
     orders = table(spark, folder, "orders").select("o_orderkey", text.alias("time"))
     return with_time_axis(orders, "time").select("o_orderkey", "x_epoch")
 
 
+@query(
+    "time_axis_month_first",
+    """SELECT count(*) FILTER (WHERE o_orderstatus <> 'P') AS times,
+         count(*) FILTER (WHERE o_orderstatus = 'P') AS unread,
+         sum(epoch_us(o_orderdate) // 1000000) FILTER (WHERE o_orderstatus <> 'P')::BIGINT AS seconds FROM orders""",
+)
+def time_axis_month_first(spark, folder):
+    """A column with the month first is recognised as such, for all its rows."""
+    text = F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "MM/dd/yyyy HH:mm")).otherwise("soon")
+    orders = table(spark, folder, "orders").select(text.alias("time"))
+    formats = formats_for(orders, "time")
+    timed = with_time_axis(orders, "time", formats=formats)
+    return timed.agg(
+        F.count("x_epoch").alias("times"), unread_times(orders, "time", formats).alias("unread"),
+        F.sum(F.col("x_epoch").cast("long")).alias("seconds"),
+    )
+
+
 @query(
     "variable_cast",
     """SELECT event_id, TRY_CAST(reading AS DOUBLE) AS raw, TRY_CAST(reading AS DOUBLE) AS corrected
@@ -98,11 +122,9 @@ def summary(spark, folder):
     return table_summary(events, find_time_column(events.schema))
 
 
-# --- annotations derived from the readings: every large reading is remarked ---
-
-REMARKED = 150.0
+# --- annotations derived from the readings: every reading is remarked ---
 
-ANNOTATIONS_SQL = f"""
+ANNOTATIONS_SQL = """
   SELECT event_id AS event_no, ts AS start_dt,
          CASE event_type
            WHEN 'error' THEN make_timestamp(epoch_us(ts) + CAST(round(value * 100) AS BIGINT) * 600000)
@@ -113,7 +135,7 @@ ANNOTATIONS_SQL = f"""
          event_type AS label,
          CASE WHEN value > 250 THEN 'severe' END AS category,
          CASE WHEN event_type = 'view' THEN props END AS description
-  FROM events WHERE value >= {REMARKED}
+  FROM events
 """
 
 GEOMETRY_SQL = f"""
@@ -127,7 +149,7 @@ GEOMETRY_SQL = f"""
 
 
 def annotations(spark, folder):
-    """An annotations table as a user would write it: start, end, table, texts."""
+    """An annotations table as a user would write it: start (as text), end, table, texts."""
     kind, value = F.col("event_type"), F.col("value")
     hundredths = F.round(value * 100).cast("long")
     end = (
@@ -141,9 +163,9 @@ def annotations(spark, folder):
         .when(kind == "signup", F.lit(None))
         .otherwise("events")
     )
-    return readings(spark, folder).filter(value >= REMARKED).select(
+    return readings(spark, folder).select(
         F.col("event_id").alias("event_no"),
-        F.col("ts").alias("start"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("start"),
         F.timestamp_micros(end).cast("timestamp_ntz").alias("end"),
         applies.alias("table"),
         kind.alias("label"),
@@ -297,27 +319,25 @@ def select_nearest_points(spark, folder):
 
 @query(
     "nearest_point_value",
-    f"""WITH clicks AS (SELECT event_id, ts, {GAPPED_SQL} AS value FROM events WHERE event_type = 'click'),
-        errors AS (SELECT event_id AS error_id, ts AS asked FROM events WHERE event_type = 'error'),
-        before AS (SELECT e.*, c.event_id AS b_id, c.ts AS b_ts, c.value AS b_value
-                   FROM errors e ASOF LEFT JOIN clicks c ON e.asked > c.ts),
-        both_sides AS (SELECT e.*, c.event_id AS a_id, c.ts AS a_ts, c.value AS a_value
-                       FROM before e ASOF LEFT JOIN clicks c ON e.asked <= c.ts)
-        SELECT error_id,
-               CASE WHEN earlier THEN b_id ELSE a_id END AS event_id,
-               CASE WHEN earlier THEN b_value ELSE a_value END AS value
-        FROM (SELECT *, a_ts IS NULL OR (b_ts IS NOT NULL AND asked - b_ts < a_ts - asked) AS earlier
-              FROM both_sides)""",
+    f"""WITH readings AS (SELECT event_id, event_type, ts, {GAPPED_SQL} AS value FROM events),
+        times AS (SELECT event_type, ts, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY ALL),
+        probes AS (SELECT event_id AS probe_id, event_type, ts + INTERVAL 37 SECOND AS asked FROM events),
+        before AS (SELECT p.*, t.ts AS b_ts, t.last_id AS b_id
+                   FROM probes p ASOF LEFT JOIN times t ON p.event_type = t.event_type AND p.asked > t.ts),
+        both_sides AS (SELECT p.*, t.ts AS a_ts, t.first_id AS a_id
+                       FROM before p ASOF LEFT JOIN times t ON p.event_type = t.event_type AND p.asked <= t.ts),
+        hits AS (SELECT probe_id, CASE WHEN a_ts IS NULL OR (b_ts IS NOT NULL AND asked - b_ts < a_ts - asked)
+                                       THEN b_id ELSE a_id END AS event_id FROM both_sides)
+        SELECT probe_id, event_id, value FROM hits JOIN readings USING (event_id)""",
 )
 def nearest_point_value(spark, folder):
-    """The click reading nearest to every error, if that reading is finite."""
+    """For a time just after every reading, the nearest reading of its type, if it is finite."""
     events = gapped(spark, folder)
-    clicks = events.filter(F.col("event_type") == "click")
-    errors = events.filter(F.col("event_type") == "error").select(
-        F.lit("click").alias("event_type"), F.col("ts").alias("asked"), F.col("event_id").alias("error_id")
+    probes = events.select(
+        "event_type", (F.col("ts") + F.expr("INTERVAL 37 SECONDS")).alias("asked"), F.col("event_id").alias("probe_id")
     )
-    found = select.nearest_points(clicks, errors, READINGS, "ts", "asked")
-    return found.select("error_id", "event_id", select.finite_reading(F.col("value")).alias("value"))
+    found = select.nearest_points(events, probes, READINGS, "ts", "asked")
+    return found.select("probe_id", "event_id", select.finite_reading(F.col("value")).alias("value"))
 
 
 @query(

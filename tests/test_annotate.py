@@ -62,9 +62,11 @@ def test_first_annotation(spark, few, layout, tolerance):
     assert all(r["label"] == (None if r["event_no"] is None else f"n{r['event_no']}") for r in found)
 
 
-def test_crowded_slot_is_carried(spark, monkeypatch):
-    """Many short annotations inside one slot of a long one: no long candidate lists."""
-    notes = [(500, 0, 80_000), *((k, 40_000 + 2 * k, 40_001 + 2 * k) for k in range(200))]
+@pytest.mark.parametrize("few", [100_000, 1])
+def test_only_size_decides_how_stretches_are_met(spark, monkeypatch, few):
+    """Crowds of short annotations and one far away leave the broadcast as it is."""
+    far = 6 * 10**11   # seconds: tens of thousands of years
+    notes = [(500, 0, 80_000), (501, far, far + 5), *((k, 40_000 + 2 * k, 40_001 + 2 * k) for k in range(200))]
     used = []
     carried = annotate._carried_along
     monkeypatch.setattr(
@@ -72,12 +74,17 @@ def test_crowded_slot_is_carried(spark, monkeypatch):
     )
     points = list(range(39_990, 40_420))
     readings = spark.createDataFrame(list(enumerate(map(at, points))), "i int, ts timestamp_ntz")
-    found = annotate.annotate_first(readings, noted(spark, notes), "ts", ("event_no",), ("event_no",))
+    table = spark.createDataFrame(
+        [(n, "period", float(a), float(b)) for n, a, b in notes], "event_no int, shape string, a double, b double"
+    ).select("event_no", "shape", *[
+        F.timestamp_micros((F.unix_micros(F.lit(DAY).cast("timestamp")) + F.col(c) * 1000000).cast("long"))
+        .cast("timestamp_ntz").alias(n) for c, n in (("a", "lo"), ("b", "hi"))])
+    found = annotate.annotate_first(readings, table, "ts", ("event_no",), ("event_no",), few=few)
     ranked = sorted(notes)
     assert {r["i"]: r["event_no"] for r in found.collect()} == {
         i: first_hit(p, ranked, 0) for i, p in enumerate(points)
     }
-    assert used
+    assert bool(used) == (few == 1)
 
 
 def test_no_annotations(spark):

@@ -32,6 +32,10 @@ FORMULAS = [
     "np.mean(x > 0)", "((x % 3) % 2 + x // 2) ** 2",
     "np.nanmean(np.abs(np.clip(x, -9, 9) - np.nanmean(np.clip(x, -9, 9))))",
     "np.floor(np.log(np.abs(x) + 1) * 10) / 10",
+    "(x > 1) // (x > 2)", "(x > 1) % (x > 2)", "np.where(x > 1, 1, 0) // 0", "np.where(x > 1, 7, 3) % 0",
+    "np.abs(x > 1) + (x > 2)", "(x > 0) // 2 + (x > 1) ** 2", "np.where(x > 1, -7, 3) // np.where(x > 0, 2, 0)",
+    "np.where(x > 1, -7, 3) % -4", "np.maximum(x > 0, 3) // 0", "-np.where(x > 1, 2, 3) // 2", "x // (x > 0)",
+    "np.round(np.where(x > 0, 5, 2)) % 3", "np.sign(np.where(x > 0, -5, 2)) // 0", "(x > 1) / (x > 2)",
 ]
 
 

@@ -50,7 +50,7 @@ def test_formats(spark, tmp_path):
     assert typed.first()["TIMESTAMP"] == "2024-01-01 00:00:00"
     inferred = read_table(spark, str(tmp_path / "t.csv"))
     assert isinstance(inferred.schema["TIMESTAMP"].dataType, (T.TimestampType, T.TimestampNTZType))
-    with pytest.raises(ValueError, match="Unsupported file format: .xml"):
+    with pytest.raises(ValueError, match="not .xml"):
         read_table(spark, "t.xml")
     assert variable_names(typed, "TIMESTAMP") == ["v"]
     assert tuple(table_summary(typed, "TIMESTAMP").first()) == (1, 1)

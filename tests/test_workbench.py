@@ -87,9 +87,9 @@ def test_csv(spark, tmp_path):
     assert [(r["air"], r["note"]) for r in rows] == [
         (None, 1), (None, 1), (None, 1), (None, 1), (8, 1), (10, 1),
     ]
-    with pytest.raises(ValueError, match="Unknown save mode"):
+    with pytest.raises(ValueError, match="no such way"):
         bench.save("delta")
-    with pytest.raises(ValueError, match="Unsupported output format"):
+    with pytest.raises(ValueError, match="written as"):
         bench.save("diff", "xlsx")
 
 
@@ -99,7 +99,7 @@ def test_row_count_is_checked(spark, tmp_path):
     bench.apply("air", "delete", {}, F.col("raw") > 3)
     shorter = spark.read.parquet(path).limit(3)
     write_output(shorter, output_path(path, "full"))
-    with pytest.raises(ValueError, match="3 rows"):
+    with pytest.raises(ValueError, match="3 row keys"):
         bench.save("full")
     assert bench.dirty_variables == ["air"]
 
