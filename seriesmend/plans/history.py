@@ -117,10 +117,13 @@ class EditLog:
     def next_seq(self) -> int:
         return len(self.known)
 
-    def _add(self, kind: str, target: int = -1) -> None:
-        self.actions = (*self.actions, Action(kind, target))
+    def act(self, action: Action) -> None:
+        self.actions = (*self.actions, action)
         self.dirty = True
 
+    def _add(self, kind: str, target: int = -1) -> None:
+        self.act(Action(kind, target))
+
     def apply(self, op_id: str, label: str = "", points: int = 0, applied_at=None) -> Edit:
         edit = Edit(self.next_seq, op_id, label, applied_at, points)
         self.known[edit.seq] = edit

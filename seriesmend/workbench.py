@@ -17,9 +17,10 @@ from seriesmend.model import SeriesSpec, join_on_key, named, refuse_reserved
 from seriesmend.operators.annotate import annotate_first
 from seriesmend.operators.correct import correction_patch, mark_rows
 from seriesmend.operators.detectors import detect
-from seriesmend.operators.select import freeze_selection, nearest_point
+from seriesmend.operators.select import freeze_selection, nearest_point, x_range, y_range
+from seriesmend.operators.view import SHOWN_POINTS, display, downsample_peak, downsample_stride, series_extent
 from seriesmend.plans.blocks import Layout
-from seriesmend.plans.history import Edit, EditLog, deleted_rows, latest_patch, patched_values
+from seriesmend.plans.history import Action, Edit, EditLog, deleted_rows, latest_patch, patched_values
 from seriesmend.plans.staging import delete_folder, shared_folder, stage
 from seriesmend.session import require_utc
 from seriesmend.sinks.exports import check_same_rows, diff_output, full_output, merged_output, series_output
@@ -41,6 +42,13 @@ from seriesmend.sources.timeaxis import formats_for, unread_times, with_time_axi
 from seriesmend.sources.variables import reading
 
 TIME, EPOCH = "_time", "_x"
+FAR = 1.7e308   # an open end of a range
+
+# a stored action; the last four belong to an applied edit
+LOG = (
+    "variable string, folder string, number int, kind string, target int, "
+    "op_id string, label string, applied_at timestamp, points long"
+)
 
 
 @dataclass
@@ -57,7 +65,9 @@ class Workbench:
     ``keys`` split the table into series.  ``row_id`` names columns that identify
     a row; without it the position in the source does.  Outputs go beside the source
     or to ``output_folder``.  ``close`` (or leaving a ``with`` block) deletes what the
-    session has written for itself.
+    session has written for itself.  Until then ``session_folder`` holds the patches
+    and the log of actions: a new Workbench with ``session=`` that folder goes on
+    where a lost driver left off.
     """
 
     def __init__(
@@ -68,6 +78,7 @@ class Workbench:
         row_id: tuple[str, ...] = (),
         schema=None,
         output_folder: str | None = None,
+        session: str | None = None,
     ):
         require_utc(spark)
         self.spark = spark
@@ -75,7 +86,7 @@ class Workbench:
         self.name = table_name(path)
         self.keys = tuple(keys)
         self.output_folder = output_folder
-        self._folder = f"{shared_folder(spark)}/session-{uuid.uuid4().hex}"
+        self._folder = session or f"{shared_folder(spark)}/session-{uuid.uuid4().hex}"
         table = read_table(spark, self.source, schema)
         refuse_reserved(table.columns)
         self._kinds = {f.name: f.dataType for f in table.schema.fields}
@@ -93,6 +104,12 @@ class Workbench:
         self.has_row_id = bool(row_id)
         self.variables: dict[str, Variable] = {}
         self.events: DataFrame | None = None
+        if session:
+            self._read_log()
+
+    @property
+    def session_folder(self) -> str:
+        return self._folder
 
     def __enter__(self) -> "Workbench":
         return self
@@ -121,7 +138,10 @@ class Workbench:
             F.col("_metadata.file_block_start").alias("_sm_start"),
             F.monotonically_increasing_id().alias("_sm_row"),
         )
-        return stage(numbered, self._folder), ("_sm_file", "_sm_start", "_sm_row")
+        path = f"{self._folder}/rows"
+        if not path_exists(self.spark, path):
+            numbered.write.parquet(path)
+        return self.spark.read.parquet(path), ("_sm_file", "_sm_start", "_sm_row")
 
     # --- what is there ---------------------------------------------------------
 
@@ -172,6 +192,34 @@ class Workbench:
             self.variables[name] = Variable(name, folder)
         return self.variables[name]
 
+    # --- the stored log ----------------------------------------------------------
+
+    def _write_log(self) -> None:
+        """All actions of all variables, one small table per version."""
+        rows = []
+        for v in self.variables.values():
+            for n, action in enumerate(v.log.actions):
+                edit = v.log.known[action.target] if action.kind == "apply" else None
+                told = (edit.op_id, edit.label, edit.applied_at, edit.points) if edit else (None,) * 4
+                rows.append((v.name, v.folder, n, action.kind, action.target, *told))
+        log = self.spark.createDataFrame(rows, LOG).coalesce(1)
+        log.write.mode("overwrite").parquet(f"{self._folder}/log/version={len(rows)}")
+
+    def _read_log(self) -> None:
+        path = f"{self._folder}/log"
+        if not path_exists(self.spark, path):
+            return
+        stored = self.spark.read.parquet(path)
+        last = stored.agg(F.max("version")).first()[0]
+        # as many rows as there were actions
+        for r in stored.filter(F.col("version") == last).orderBy("variable", "number").collect():
+            variable = self.variables.setdefault(r.variable, Variable(r.variable, r.folder))
+            if r.kind == "apply":
+                variable.log.apply(r.op_id, r.label, r.points, r.applied_at)
+                variable.ops[r.target] = r.op_id
+            else:
+                variable.log.act(Action(r.kind, r.target))
+
     # --- frames ----------------------------------------------------------------
 
     def _base(self, names: list[str]) -> DataFrame:
@@ -231,6 +279,36 @@ class Workbench:
         """Row keys selected by the values as they are now."""
         return freeze_selection(self.readings(name), where, self.spec)
 
+    def select_range(self, name: str, x0: float | None = None, x1: float | None = None,
+                     y0: float | None = None, y1: float | None = None) -> DataFrame:
+        """Row keys in a range of times (epoch seconds), of values as they are now, or both."""
+        where = F.lit(True)
+        if x0 is not None or x1 is not None:
+            where = where & x_range(F.col(EPOCH), -FAR if x0 is None else float(x0), FAR if x1 is None else float(x1))
+        if y0 is not None or y1 is not None:
+            where = where & y_range(F.col("corrected"), -FAR if y0 is None else y0, FAR if y1 is None else y1)
+        return self.select(name, where)
+
+    def selection_count(self, rows: DataFrame) -> int:
+        return rows.count()
+
+    def extent(self, name: str, mode: str = "both") -> DataFrame:
+        """Per series: first and last time, and the range of the finite values shown."""
+        return series_extent(self.readings(name), self.spec, EPOCH, mode)
+
+    def display(self, name: str, mode: str = "both") -> DataFrame:
+        """The curves to draw: raw, corrected or both, in long form."""
+        return display(self.readings(name), mode, (*self.spec.row_key, EPOCH))
+
+    def thin_peaks(self, name: str, bucket_seconds: float) -> DataFrame:
+        """The lowest and highest corrected reading of every time bucket."""
+        return downsample_peak(self.readings(name), self.spec, TIME, bucket_seconds)
+
+    def thin_selection(self, name: str, rows: DataFrame, shown: int = SHOWN_POINTS) -> DataFrame:
+        """Every k-th selected row, so that at most about ``shown`` of a series are drawn."""
+        marked = mark_rows(self.readings(name), self.spec, rows)
+        return downsample_stride(marked, self.spec, F.col("_picked"), shown)
+
     def select_point(self, name: str, x: float) -> DataFrame:
         """The row nearest to ``x`` (epoch seconds) in every series, with its value."""
         return nearest_point(self.readings(name), self.spec, EPOCH, float(x))
@@ -276,19 +354,26 @@ class Workbench:
             return None
         edit = variable.log.apply(op, label or op, points, datetime.datetime.now())
         variable.ops[edit.seq] = op
+        self._write_log()
+        return edit
+
+    def _logged(self, edit: Edit | None) -> Edit | None:
+        if edit is not None:
+            self._write_log()
         return edit
 
     def undo(self, name: str) -> Edit | None:
-        return self.open_variable(name).log.undo()
+        return self._logged(self.open_variable(name).log.undo())
 
     def remove_edit(self, name: str, position: int) -> Edit | None:
-        return self.open_variable(name).log.remove(position)
+        return self._logged(self.open_variable(name).log.remove(position))
 
     def restore_edit(self, name: str) -> Edit | None:
-        return self.open_variable(name).log.restore()
+        return self._logged(self.open_variable(name).log.restore())
 
     def reset(self, name: str) -> None:
         self.open_variable(name).log.reset()
+        self._write_log()
 
     def history(self, name: str) -> list[Edit]:
         return list(self.open_variable(name).log.edits)

@@ -145,3 +145,35 @@ def test_times_are_read_by_one_layout(spark, tmp_path):
         assert bench.unread_times() == 1
         read = {r.raw: r._time for r in bench.readings("v").collect()}
         assert (read[1.0].month, read[1.0].day, read[2.0].month) == (1, 2, 12) and read[3.0] is None
+
+
+@pytest.mark.parametrize("suffix", ["parquet", "csv"])
+def test_a_session_goes_on_from_its_folder(spark, tmp_path, suffix):
+    path = table(spark, tmp_path / f"t.{suffix}")
+    lost = Workbench(spark, path)
+    lost.apply("air", "offset", {"amount": 10}, F.col("raw") > 3, "up")
+    lost.apply("air", "delete", {}, F.col("raw") == 1)
+    lost.apply("water", "multiply", {"factor": 2}, F.col("raw") > 30)
+    lost.apply("air", "multiply", {"factor": 3}, F.col("raw") == 5)
+    lost.remove_edit("air", 0)
+    lost.undo("air")
+    want = {n: sorted(map(str, lost.readings(n).collect())) for n in ("air", "water")}
+    found = Workbench(spark, path, session=lost.session_folder)
+    assert {n: sorted(map(str, found.readings(n).collect())) for n in ("air", "water")} == want
+    assert found.history("air") == lost.history("air") and found.dirty_variables == ["air", "water"]
+    assert found.deleted("air").count() == lost.deleted("air").count() == 1
+    assert found.restore_edit("air") == lost.restore_edit("air")
+    found.close()
+    assert not path_exists(spark, lost.session_folder)
+
+
+def test_views_of_a_session(spark, tmp_path):
+    with Workbench(spark, table(spark, tmp_path / "t.parquet"), row_id=("id",)) as bench:
+        bench.apply("air", "offset", {"amount": 10}, F.col("raw") == 5)
+        rows = bench.select_range("air", x0=2, y1=4)
+        assert bench.selection_count(rows) == 3
+        assert bench.selection_count(bench.select_range("air", y0=14)) == 1
+        assert tuple(bench.extent("air").first()) == (0, 5, 0, 15)
+        assert bench.display("air").count() == 12 and bench.display("air", "raw").count() == 6
+        assert bench.thin_peaks("air", 3.0).count() == 4
+        assert bench.thin_selection("air", rows, 1).count() == 1
