@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seriesmend.llm import cuckoo, minhash, mixing, pieces, quality
+from seriesmend.llm.common import fresh
 from seriesmend.plans.staging import shared_folder
 
 
@@ -28,10 +29,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; one cut per source ends its budget."""
-    keyed = docs.withColumn("mix_tie", F.xxhash64("text"))
-    mixed = mixing.mix(keyed, "mix", mixing.words_in(), ties=("mix_tie",))
-    taken = mixing.copies(mixed, "mix")
-    return taken.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    tie, mix = fresh(docs, "tie"), fresh(docs, "mix")
+    mixed = mixing.mix(docs.withColumn(tie, F.xxhash64("text")), mix, mixing.words_in(), ties=(tie,))
+    taken = mixing.copies(mixed, mix).withColumn("n_chars", F.length("text").cast("long"))
+    return taken.select(*docs.columns)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
