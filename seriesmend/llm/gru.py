@@ -35,12 +35,12 @@ from seriesmend.plans.staging import stage
 CLASSES, PER_CLASS = 32, 32           # classes of frequent words, and words in each
 FREQUENT = CLASSES * PER_CLASS        # the end of a document is the first of them
 HIDDEN = 16
-LANES, WINDOW = 512, 16               # documents read side by side, steps of backpropagation
-STEPS = 48                            # windows that a batch of documents should have at least
+LANES, WINDOW = 512, 32               # documents read side by side, steps of backpropagation
+STEPS = 24                            # windows that a batch of documents should have at least
 ROUNDS = 2
 RATE = 0.05
 CHUNK_BYTES = 16 << 20                # text that shares one table of counts
-TOKENS_AT_ONCE = 400_000
+TOKENS_AT_ONCE = 4_000_000            # read in one batch; 20 bytes each
 COUNTED_AT_ONCE = 300_000             # distinct words counted before they go out
 END, RARE = 0, FREQUENT               # ids
 
@@ -110,7 +110,9 @@ class Lanes:
     """Documents laid end to end in lanes that are read side by side."""
 
     def __init__(self, docs: list[np.ndarray], most: int = LANES):
-        lanes = [(0, i, []) for i in range(max(1, min(most, len(docs))))]
+        # no more lanes than the longest document leaves full
+        full = sum(map(len, docs)) // max(map(len, docs), default=1)
+        lanes = [(0, i, []) for i in range(max(1, min(most, LANES, len(docs), max(full, 8))))]
         for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
             size, i, held = heapq.heappop(lanes)   # the shortest lane
             held.append(d)
@@ -215,7 +217,7 @@ def gradients(p, lanes: Lanes, first: int, last: int, state: np.ndarray):
 def learn(p: dict, docs: list[np.ndarray], squares: dict) -> None:
     """One pass over the documents, a step per window; changes ``p`` and ``squares``."""
     # few tokens are read in fewer lanes, so that there are steps to learn from
-    lanes = Lanes(docs, min(LANES, max(16, sum(map(len, docs)) // (STEPS * WINDOW))))
+    lanes = Lanes(docs, max(16, sum(map(len, docs)) // (STEPS * WINDOW)))
     state = np.zeros((lanes.targets.shape[1], HIDDEN), np.float32)
     for first in range(0, lanes.steps, WINDOW):
         last = min(first + WINDOW, lanes.steps)
