@@ -38,7 +38,7 @@ LENGTH, ANCHOR = 200, 32
 SPREAD = LENGTH - ANCHOR + 1          # anchor places in a window
 SHALLOW = 32                          # bytes sorted before blind tries take over
 PIECE = 1 << 20                       # window starts of a text looked at together
-MOST_SORTED = 2_000                   # contexts of an anchor that one task sorts
+MOST_SORTED = 100_000                 # contexts of an anchor that one task sorts (some 400 bytes each)
 BATCH = 20_000                        # contexts sorted at a time
 
 _BASE = 0x9E3779B97F4A7C15

@@ -48,12 +48,12 @@ def corpus(seed):
     return texts + [texts[30], texts[31], texts[31], texts[40] * 3]
 
 
-@pytest.mark.parametrize("most,piece,batch", [(2000, 1 << 20, 20000), (1, 1 << 20, 20000), (6, 97, 10)])
+@pytest.mark.parametrize("most,piece,batch", [(100_000, 1 << 20, 20000), (1, 1 << 20, 20000), (6, 97, 10)])
 def test_removed_bytes_equal_brute_force(spark, docs_of, monkeypatch, most, piece, batch):
     monkeypatch.setattr(substrings, "MOST_SORTED", most)
     monkeypatch.setattr(substrings, "PIECE", piece)
     monkeypatch.setattr(substrings, "BATCH", batch)
-    texts = corpus(most)
+    texts = corpus(min(most, 7))
     docs = docs_of(list(enumerate(texts))).withColumns({"key": F.lit(1), "spans": F.lit("s")})
     got = substrings.remove(docs, digests=True).collect()
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got}
