@@ -17,22 +17,19 @@ def components(links: DataFrame) -> DataFrame:
     side has one row per node.  Nodes without links are not in the result.
     """
     links = stage(_downward(links).distinct())
-    seen = None
     while True:
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _star(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = _downward(large).distinct()
-        small = _star(down, own=False)
-        links = stage(_downward(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionAll(small.select("a", F.col("m").alias("b")))
-        ).distinct())
-        row = links.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if (row.n, row.h) == seen:
+        small = _star(_downward(large).distinct(), own=False)
+        links = stage(
+            small.select("a", F.col("m").alias("b"))
+            .unionAll(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+        )
+        # done when every node has one link, to a node that has none downwards
+        ends = links.select(F.col("b").alias("a")).distinct()
+        if links.groupBy("a").count().filter("count > 1").select("a").unionAll(
+                links.select("a").join(ends, "a", "left_semi")).isEmpty():
             break
-        seen = (row.n, row.h)
     roots = links.select(F.col("b").alias("node")).distinct()
     return (
         links.select(F.col("a").alias("node"), F.col("b").alias("component"))

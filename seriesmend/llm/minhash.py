@@ -4,14 +4,17 @@
    shingles, a digest of the set, 32 band keys of four minima each, and the low four
    bits of all 128 minima packed into eight longs.
 2. Documents with equal sets are one class; only classes go on.
-3. In every band bucket, each class is paired with the bucket's leader.  Pairs pass
-   if the sizes allow the similarity and if the bit count of the packed signatures,
-   corrected for chance agreement, doesn't rule it out (six standard deviations).
-4. What passes is confirmed on the sets.  Classes of one component need no further
-   pairs, so a large group of near copies costs one pair per member.
-5. Buckets that still hold several components compare the members outside the
-   bucket's largest component with all others, block by block, and confirm again:
-   a link between two members that the leader misses is found there.
+3. In every band bucket, each class is paired with the bucket's leader, which is
+   another one in every bucket.  Pairs pass if the sizes allow the similarity and if
+   the bit count of the packed signatures, corrected for chance agreement, doesn't
+   rule it out (six standard deviations).
+4. What passes is confirmed on the sets: first each class with its likeliest leader,
+   then the likeliest pair of every two components.  A large group of near copies
+   costs about one pair per member.
+5. In buckets that still hold several components, the members outside the largest
+   one are compared with all members of that component, and with each other, in
+   blocks of bounded size that hold the sets themselves: no pairs are written, only
+   confirmed links, and one at most per member, component and block.
 
 Two sets of similarity 0.75 share no band with probability (1 - 0.75^4)^32 < 6e-6.
 Shingles are compared by 64-bit hashes.
@@ -36,7 +39,7 @@ WORDS, BANDS, PER_BAND, BITS = 5, 32, 4, 4
 HASHES = BANDS * PER_BAND
 SIMILAR = (75, 100)      # intersection * 100 >= union * 75
 SLACK = 6.0              # standard deviations below the bound
-BLOCK_ROWS = 1000        # members compared at a time
+BLOCK_ROWS = 500         # members of either side compared at a time
 PIECE = 1 << 20          # bytes of a text hashed at a time
 
 _SPACE = np.zeros(256, bool)
@@ -167,15 +170,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    part, whole = SIMILAR
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return whole * common >= part * (len(x) + len(y) - common)
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the pairs whose sets are similar."""
-    part, whole = SIMILAR
     for batch in batches:
         linked = []
         for left, right in zip(batch.column("set_a"), batch.column("set_b")):
             x, y = np.frombuffer(left.as_py(), np.uint64), np.frombuffer(right.as_py(), np.uint64)
-            common = len(x) + len(y) - len(np.union1d(x, y))
-            linked.append(whole * common >= part * (len(x) + len(y) - common))
+            linked.append(_similar(x, y))
         yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
@@ -192,19 +199,23 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return stage(rows.mapInArrow(_sketches, SKETCH))
 
 
-def _estimate_allows(sig_a: Column, sig_b: Column) -> Column:
-    """Whether the signatures leave the similarity possible, chance agreement taken off."""
-    chance = 2.0 ** -BITS
-    bound = SIMILAR[0] / SIMILAR[1]
+def _most_differing() -> int:
+    """Minima in which similar sets can differ, chance agreement counted in."""
+    bound, chance = SIMILAR[0] / SIMILAR[1], 2.0 ** -BITS
     agree = bound + (1 - bound) * chance
     fewest = agree - SLACK * math.sqrt(agree * (1 - agree) / HASHES)
-    differing = F.lit(0)
+    return math.floor(HASHES * (1 - fewest))
+
+
+def _differing(sig_a: Column, sig_b: Column) -> Column:
+    """In how many of the packed minima two signatures differ."""
+    total = F.lit(0)
     for i in range(HASHES * BITS // 64):
         x = sig_a[i].bitwiseXOR(sig_b[i])
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        differing = differing + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return differing <= math.floor(HASHES * (1 - fewest))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
 
 
 def _sizes_allow(n_a: Column, n_b: Column) -> Column:
@@ -219,7 +230,7 @@ class Classes:
     docs: DataFrame
 
     def sets_of(self, members: DataFrame) -> DataFrame:
-        """The sets of the classes in ``members`` (cls), written once.
+        """The sets of the classes in ``members`` (cls).
 
         The texts meet the wanted rows by row key, so that only those are parsed.
         """
@@ -230,123 +241,126 @@ class Classes:
         found = self.docs.select(*key, "text").join(wanted.select(*key).distinct(), ["id_", "no_id", "text_hash"], "left_semi")
         sets = found.select("text").mapInArrow(_sets, SETS)
         # repeated rows give their set twice
-        return stage(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")))
+        return sets.groupBy("cls").agg(F.first("shingles").alias("shingles"))
 
 
-def _pairs_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block: minor members against all members of the block.
+def _links_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block: minor members against the other members of the block.
 
-    A block has at most a few thousand rows, whatever the size of its bucket.
+    A block has at most about ``BLOCK_ROWS`` of either, whatever the size of its
+    bucket or component.
     """
     part, whole = SIMILAR
-    chance = 2.0 ** -BITS
-    agree = part / whole + (1 - part / whole) * chance
-    fewest = agree - SLACK * math.sqrt(agree * (1 - agree) / HASHES)
-    most = math.floor(HASHES * (1 - fewest))
+    most = _most_differing()
 
-    def compared(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        minor = [r for r in rows if r[1]]
-        major = [r for r in rows if not r[1]]
+    def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        minor, major = [r for r in rows if r[1]], [r for r in rows if not r[1]]
         if not minor or not major:
             return
         sig_a, sig_b = (np.array([r[4] for r in side], np.int64).view(np.uint64) for side in (minor, major))
-        n_a, n_b = (np.array([r[5] for r in side], np.float64) for side in (minor, major))
-        comps = {c: i for i, c in enumerate({r[3] for r in rows})}
-        c_a, c_b = (np.array([comps[r[3]] for r in side]) for side in (minor, major))
-        for i in range(len(minor)):
-            x = sig_b ^ sig_a[i]
+        sets = [np.frombuffer(r[5], np.uint64) for r in major]
+        n_b = np.array([len(x) for x in sets], np.float64)
+        found = []
+        for row, sig in zip(minor, sig_a):
+            own = np.frombuffer(row[5], np.uint64)
+            x = sig_b ^ sig
             x |= x >> np.uint64(1)
             x |= x >> np.uint64(2)
             differing = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1)
-            fit = (differing <= most) & (c_b != c_a[i])
-            fit &= whole * np.minimum(n_b, n_a[i]) >= part * np.maximum(n_b, n_a[i])
-            hits = np.flatnonzero(fit)
-            if len(hits):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([minor[i][2]] * len(hits), pa.binary()),
-                     pa.array([major[j][2] for j in hits], pa.binary())], names=["x", "y"])
+            fit = (differing <= most) & (whole * np.minimum(n_b, len(own)) >= part * np.maximum(n_b, len(own)))
+            done = {row[3]}   # one link with a component is enough
+            for j in np.flatnonzero(fit)[np.argsort(differing[fit], kind="stable")].tolist():
+                other = major[j]
+                if other[3] not in done and _similar(own, sets[j]):
+                    done.add(other[3])
+                    found.append((row[2], other[2]))
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["x", "y"])
 
     block, rows = None, []
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("block", "minor", "cls", "component", "sig", "n")]):
+        for row in zip(*[batch.column(c).to_pylist() for c in ("block", "minor", "cls", "component", "sig", "shingles")]):
             if row[0] != block:
-                yield from compared(rows)
+                yield from links(rows)
                 block, rows = row[0], []
             rows.append(row)
-    yield from compared(rows)
+    yield from links(rows)
+
+
+def _dealt(members: DataFrame, minors: DataFrame, group: str) -> DataFrame:
+    """Blocks (block, minor, cls, component) of the two sides of each ``group``.
+
+    Every member goes to one block for each block of minors, and the other way round.
+    """
+    def blocks_of(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+
+    shape = blocks_of(members, "of_members").join(blocks_of(minors, "of_minors"), group)
+    place = F.xxhash64("cls", F.lit(7))
+    rows = lambda side: side.join(shape, group)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows(members).select(group, F.lit(False).alias("minor"), "cls", "component",
+                                F.pmod(place, "of_members").cast("int").alias("i"), every("of_minors").alias("j"))
+    right = rows(minors).select(group, F.lit(True).alias("minor"), "cls", "component",
+                                every("of_members").alias("i"), F.pmod(place, "of_minors").cast("int").alias("j"))
+    return left.unionAll(right).select(
+        F.xxhash64(F.col(group), "i", "j").alias("block"), "minor", "cls", "component")
 
 
-def _open_pairs(buckets: DataFrame, members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) that may be similar, of different components, in shared buckets.
+def _open_links(buckets: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between different components that share a bucket.
 
-    ``buckets`` (key, cls) are those with several classes.  Per bucket, the members
-    outside its largest component are compared with all its members: both sides are
-    dealt into blocks, every member once per block of the other side.
+    ``buckets`` (key, cls), ``sets`` (cls, sig, shingles), ``found`` (node, component).
     """
-    labelled = buckets.join(members, "cls")
-    if found is None:
-        labelled = labelled.withColumn("component", F.col("cls"))
-    else:
-        labelled = labelled.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
-            "component", F.coalesce("component", "cls"))
-    labelled = stage(labelled)
+    labelled = stage(buckets.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+        "component", F.coalesce("component", "cls")))
     per = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
     shape = per.groupBy("key").agg(
-        F.max(F.struct("rows", "component")).alias("top"), F.sum("rows").alias("rows"),
-        F.count(F.lit(1)).alias("parts"),
-    ).filter("parts > 1").select(
-        "key", F.col("top.component").alias("largest"),
-        F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("all_blocks"),
-        F.ceil((F.col("rows") - F.col("top.rows")) / BLOCK_ROWS).cast("int").alias("minor_blocks"),
-    )
-    rows = labelled.join(shape, "key")
-    place = F.xxhash64("cls", F.lit(7))
-    as_any = rows.select(
-        "key", F.lit(False).alias("minor"), "cls", "component", "sig", "n",
-        F.pmod(place, "all_blocks").alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)).alias("j"),
-    )
-    as_minor = rows.filter("component <> largest").select(
-        "key", F.lit(True).alias("minor"), "cls", "component", "sig", "n",
-        F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("i"),
-        F.pmod(place, "minor_blocks").alias("j"),
-    )
-    blocks = as_any.unionByName(as_minor.select(*as_any.columns)).select(
-        F.concat_ws(":", "key", "i", "j").alias("block"), "minor", "cls", "component", "sig", "n")
-    pairs = (
-        blocks.repartition("block").sortWithinPartitions("block")
-        .mapInArrow(_pairs_in_blocks, "x binary, y binary")
+        F.max(F.struct("rows", "component")).alias("top"), F.count(F.lit(1)).alias("parts")
+    ).filter("parts > 1").select("key", F.col("top.component").alias("largest"), "parts")
+    minors = stage(labelled.join(shape, "key").filter("component <> largest"))
+    # with the largest component of the bucket, as a whole
+    asks = minors.select("cls", "component", "largest").distinct()
+    members = labelled.select("cls", "component").distinct().join(
+        asks.select(F.col("largest").alias("component")).distinct(), "component").withColumn("largest", F.col("component"))
+    with_largest = _dealt(members, asks, "largest")
+    # and with each other; a bucket of two components has no others
+    others = minors.filter("parts > 2").select("key", "cls", "component")
+    blocks = with_largest.unionAll(_dealt(others, others, "key"))
+    links = (
+        blocks.join(sets, "cls").repartition("block").sortWithinPartitions("block")
+        .mapInArrow(_links_in_blocks, "x binary, y binary")
     )
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(
         _overlaps, "a binary, b binary")
 
 
-def _confirm_all(classes: Classes, pairs: DataFrame, known: DataFrame | None) -> DataFrame | None:
-    """The links among ``pairs`` that matter, confirmed, with the ``known`` ones.
-
-    First one pair per class; then the pairs that still join different components.
-    """
-    pairs = stage(pairs)
-    members = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls")))
-    sets = classes.sets_of(members)
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stage(_confirmed(first, sets))
-    if known is not None:
-        links = known.unionAll(links)
+def _across(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components, with both components."""
     found = components(links)
-    side_a, side_b = (found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
-    rest = (
-        pairs.join(first, ["a", "b"], "left_anti")
-        .join(side_a, "a", "left").join(side_b, "b", "left")
-        .filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    )
-    return links.unionAll(stage(_confirmed(rest, sets)))
+    ends = [found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab"]
+    joined = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").withColumns(
+        {f"of_{c}": F.coalesce(f"of_{c}", c) for c in "ab"})
+    return joined.filter("of_a <> of_b")
+
+
+def _star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links among ``pairs`` (a, b, differing): the likeliest pair of each
+    class, then of every two components.  What these leave apart is for the blocks."""
+    def best(some: DataFrame, *by) -> DataFrame:
+        return some.groupBy(*by).agg(F.min(F.struct("differing", "a", "b")).alias("p")).select("p.a", "p.b")
+
+    links = stage(_confirmed(best(pairs, "b"), sets))
+    across = _across(pairs, links)
+    between = best(across, F.least("of_a", "of_b"), F.greatest("of_a", "of_b"))
+    return stage(links.unionAll(_confirmed(between, sets)))
 
 
 def near_links(classes: Classes) -> DataFrame:
@@ -355,16 +369,19 @@ def near_links(classes: Classes) -> DataFrame:
     members = table.select("cls", "sig", "n")
     banded = table.select("cls", F.explode("bands").alias("key"))
     leaders = banded.groupBy("key").agg(
-        F.min("cls").alias("leader"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+        F.min_by("cls", F.xxhash64("cls", "key")).alias("leader"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     buckets = stage(banded.join(leaders.select("key", "leader"), "key"))
-    star = buckets.filter("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
-    star = (
+    sets = stage(classes.sets_of(buckets.select("cls")).join(members.select("cls", "sig"), "cls"))
+    star = buckets.filter("cls <> leader").select(
+        F.least("leader", "cls").alias("a"), F.greatest("leader", "cls").alias("b")).distinct()
+    pairs = stage(
         star.join(members.toDF("a", "sig_a", "n_a"), "a").join(members.toDF("b", "sig_b", "n_b"), "b")
-        .filter(_sizes_allow(F.col("n_a"), F.col("n_b")) & _estimate_allows(F.col("sig_a"), F.col("sig_b")))
-        .select("a", "b")
+        .filter(_sizes_allow(F.col("n_a"), F.col("n_b")))
+        .select("a", "b", _differing(F.col("sig_a"), F.col("sig_b")).alias("differing"))
+        .filter(F.col("differing") <= _most_differing())
     )
-    links = _confirm_all(classes, star, None)
-    return _confirm_all(classes, _open_pairs(buckets.select("key", "cls"), members, components(links)), links)
+    links = _star_links(pairs, sets)
+    return links.unionAll(stage(_open_links(buckets.select("key", "cls"), sets, components(links))))
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
