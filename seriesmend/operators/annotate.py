@@ -21,7 +21,7 @@ from seriesmend.sources.timeaxis import epoch_micros
 FEW_STRETCHES = 100_000    # stretches that may be broadcast
 FEW_BYTES = 64 * 2**20     # and the size of what they carry
 FEW_PIECES = 1_000         # pieces of a level that may be broadcast
-SEGMENTS = 256             # parts of the time axis with equally many stretches
+SEGMENTS = 16              # parts of the time axis with equally many stretches
 
 
 def _shift(value: Column, level: Column) -> Column:
@@ -120,7 +120,7 @@ def annotate_first(
     timed = readings.select(*shown, epoch_micros(F.col(x)).alias("_at"))
     if size["n"] <= few and size["bytes"] <= FEW_BYTES:
         slot = _slots(stretches, size["n"])
-        matched = timed.withColumn("_slot", slot(F.col("_at"))).join(
+        matched = timed.withColumn("_slot", slot("_at")).join(
             F.broadcast(_by_slot(stretches, slot)),
             (F.col("_slot") == F.col("_s"))
             & (F.col("_at") >= F.col("at"))
@@ -148,16 +148,15 @@ def _slots(stretches: DataFrame, count: int):
         segments.append((low, width, slots, first))
         first += slots
 
-    def slot(at: Column) -> Column:
-        def within(some: list) -> Column:   # a balanced tree of comparisons
+    def slot(at: str) -> Column:
+        def within(some: list) -> str:   # a balanced tree of comparisons
             if len(some) == 1:
                 low, width, slots, begin = some[0]
-                place = F.floor((at - F.lit(low)) / F.lit(width))
-                return F.least(F.greatest(place, F.lit(0)), F.lit(slots - 1)) + F.lit(begin)
+                return f"least(greatest(floor(({at} - {low}L) / {width}L), 0), {slots - 1}) + {begin}"
             middle = len(some) // 2
-            return F.when(at < F.lit(some[middle][0]), within(some[:middle])).otherwise(within(some[middle:]))
+            return f"CASE WHEN {at} < {some[middle][0]}L THEN {within(some[:middle])} ELSE {within(some[middle:])} END"
 
-        return within(segments).cast("long")
+        return F.expr(within(segments)).cast("long")
 
     return slot
 
@@ -169,7 +168,7 @@ def _by_slot(stretches: DataFrame, slot) -> DataFrame:
     """
     bounded = stretches.withColumn("_until", F.lead("at").over(Window.orderBy("at")))
     return bounded.filter(F.col("hit").isNotNull()).withColumn(
-        "_s", F.explode(F.sequence(slot(F.col("at")), slot(F.col("_until") - 1)))
+        "_s", F.explode(F.sequence(slot("at"), slot("(_until - 1)")))
     )
 
 

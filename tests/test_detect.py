@@ -20,6 +20,7 @@ from seriesmend.operators.detectors import (
     detect_and_correct,
     register_detector,
 )
+from seriesmend.plans import blocks
 from seriesmend.plans.blocks import Layout, as_blocks
 from pyspark.sql import functions as F
 
@@ -93,6 +94,8 @@ def many(spark):
 
 
 LAYOUTS = [Layout("plain")] + [Layout("blocked", block_rows=b) for b in (1, 3, 7, 40, 10_000)]
+# only series of more than 30 rows are cut
+LAYOUTS.append(Layout(largest_plain=30, block_rows=4))
 
 
 @pytest.mark.parametrize("layout", LAYOUTS, ids=str)
@@ -147,6 +150,20 @@ def test_blocks_give_the_plain_result(many, layout):
         assert rows(build(layout)) == rows(build(Layout("plain")))
 
 
+def test_summaries_in_two_levels(many, monkeypatch):
+    """Groups of two blocks: what is carried crosses groups, not only blocks."""
+    monkeypatch.setattr(blocks, "BLOCKS_PER_GROUP", 2)
+    test_blocks_give_the_plain_result(many, Layout("blocked", block_rows=3))
+    test_blocks_give_the_plain_result(many, LAYOUTS[-1])
+
+
+def test_short_series_are_not_sorted_by_range(spark):
+    df = frame(spark, range(100)).unionAll(frame(spark, range(5), "b"))
+    cut = as_blocks(df, SPEC, layout=Layout(largest_plain=50, block_rows=30))
+    sizes = {(r["s"], r["_block"]): r["count"] for r in cut.df.groupBy("s", "_block").count().collect()}
+    assert sizes == {("a", 0): 30, ("a", 1): 30, ("a", 2): 30, ("a", 3): 10, ("b", blocks.WHOLE): 5}
+
+
 def test_null_times_come_last_in_both_layouts(spark):
     data = [("a", None, 1, 5.0), ("a", 2, 2, 1.0), ("a", 1, 3, 3.0), (None, 1, 4, 9.0)]
     df = spark.createDataFrame(data, "s string, t long, i long, v double")

@@ -35,3 +35,23 @@ def test_narrowed_medians_are_exact(spark, monkeypatch, grid, accuracy):
     whole = medians.exact_median(df, (), "v", profile(df, ()), largest_plain=1000)
     every = [v for values in groups.values() for v in values]
     assert [r["v"] for r in whole.collect()] == [pytest.approx(statistics.median(every))]
+
+
+def test_narrowing_goes_on_until_little_is_left(spark, monkeypatch):
+    """A coarse grid needs several passes; equal values end them at once."""
+    monkeypatch.setattr(medians, "GRID", 8)
+    passes = []
+    staged = medians.stage
+    monkeypatch.setattr(medians, "stage", lambda df: passes.append(1) or staged(df))
+    values = [float(i) for i in range(4001)]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 5.0)] * 4000, "k string, v double")
+    found = medians.exact_median(df, ("k",), "v", profile(df, ("k",)), largest_plain=40)
+    assert {r["k"]: r["v"] for r in found.collect()} == {"a": 2000.0, "b": 5.0}
+    assert len(passes) >= 1 + 2 * 3
+
+
+def test_huge_values_have_one_formula(spark):
+    df = spark.createDataFrame([("a", v) for v in (1e308, 1.2e308)] * 3, "k string, v double")
+    sizes = profile(df, ("k",))
+    short, long = (medians.exact_median(df, ("k",), "v", sizes, largest_plain=n).first()["v"] for n in (100, 2))
+    assert short == long == 1.1e308

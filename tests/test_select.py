@@ -11,7 +11,7 @@ from seriesmend.plans.blocks import Layout
 
 SPEC = SeriesSpec(("s",), ("x",), ("i",), "v")
 ONE = SeriesSpec((), ("x",), ("i",), "v")
-LAYOUTS = [Layout("plain"), *(Layout("blocked", block_rows=b) for b in (1, 3, 50))]
+LAYOUTS = [Layout("plain"), *(Layout("blocked", block_rows=b) for b in (1, 3, 50)), Layout(largest_plain=25, block_rows=4)]
 
 
 @pytest.mark.parametrize(
