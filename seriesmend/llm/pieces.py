@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ MARK = "▁"   # stands for a space in pieces
 # fixed values of the model format
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+UNKNOWN_COST = 1e3   # of a character that is no piece, in a unigram model
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -94,7 +96,7 @@ class PieceModel:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = i
-        self._joins: dict[tuple[int, int], bool] = {}
+        self._joins: dict[int, bool] = {}   # of two pieces, by one number
         self._paths: dict[str, bytes] = {}
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         ends = any("\n" in p for p in self.ids)
@@ -121,56 +123,85 @@ class PieceModel:
         """The shortest path through a cut, remembered."""
         if len(self._paths) >= REMEMBERED:
             self._paths.clear()
-        path = np.array(self.shortest_path(cut), np.int32).tobytes()
+        path = array("i", self.shortest_path(cut)).tobytes()
         self._paths[cut] = path
         return path
 
     def shortest_path(self, text: str) -> list[int]:
+        """Ids along the cheapest path through a text."""
+        last, start = (self._merging_arcs if self.merging else self._scored_arcs)(text)
+        path, at = [], len(text)
+        while at:
+            if last[at] >= 0:
+                path.append(last[at])
+            else:
+                raw = text[start[at]: at].encode("utf-8", "surrogatepass")
+                path.extend(self.bytes[b] for b in reversed(raw)) if self.bytes else path.append(self.unknown)
+            at = start[at]
+        return path[::-1]
+
+    def _merging_arcs(self, text: str) -> tuple[list, list]:
+        """The last arc (piece, start) of the path to each place that has a finite one.
+
+        An arc costs 0 or infinity, so the first finite path to a place is its cheapest,
+        and there is no other.
+        """
         n = len(text)
-        cost, last, start = [math.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
-        cost[0] = 0.0
+        last, start = [None] * (n + 1), [0] * (n + 1)
+        last[0] = -1
+        trie, joins, size = self.trie, self._joins, len(self.pieces)
         for i in range(n):
-            if cost[i] == math.inf:
+            before = last[i]
+            if before is None:
                 continue
-            node, before, any_piece = self.trie, last[i], False
-            for j in range(i, n):
+            node, j = trie, i
+            key = before * size if before >= 0 else -1
+            while j < n:
                 node = node.get(text[j])
                 if node is None:
                     break
+                j += 1
                 piece = node.get("")
-                if piece is None:
+                if piece is None or last[j] is not None:
                     continue
-                any_piece = any_piece or j == i
-                if self.merging:
-                    # the number of pieces only separates paths that cost nothing
-                    arc = 1e-9 if before < 0 or self._join(before, piece) else math.inf
-                else:
-                    arc = -self.pieces[piece][1]
-                if cost[i] + arc < cost[j + 1]:
-                    cost[j + 1], last[j + 1], start[j + 1] = cost[i] + arc, piece, i
-            if not any_piece and cost[i + 1] == math.inf:
-                # byte fallback: nothing merges with such a character
-                cost[i + 1], last[i + 1], start[i + 1] = cost[i] + (0.0 if self.merging else 1e3), -2, i
-        if cost[n] == math.inf:
+                if key >= 0:
+                    fits = joins.get(key + piece)
+                    if not (self._join(before, piece) if fits is None else fits):
+                        continue
+                last[j], start[j] = piece, i
+            if last[i + 1] is None and "" not in trie.get(text[i], ()):
+                last[i + 1], start[i + 1] = -2, i   # byte fallback: nothing merges with it
+        if last[n] is None:
             raise ValueError("no path through the text")
-        path, at = [], n
-        while at:
-            if last[at] >= 0:
-                path.append(last[at])
-            else:
-                raw = text[start[at]: at].encode("utf-8", "surrogatepass")
-                path.extend(self.bytes[b] for b in reversed(raw)) if self.bytes else path.append(self.unknown)
-            at = start[at]
-        return path[::-1]
+        return last, start
+
+    def _scored_arcs(self, text: str) -> tuple[list, list]:
+        """The same where an arc costs the negated score of its piece."""
+        n = len(text)
+        cost, last, start = [math.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        cost[0] = 0.0
+        for i in range(n):
+            node, known = self.trie, False
+            for j in range(i, n):
+                node = node.get(text[j])
+                if node is None:
+                    break
+                piece = node.get("")
+                if piece is not None:
+                    known = known or j == i
+                    arc = cost[i] - self.pieces[piece][1]
+                    if arc < cost[j + 1]:
+                        cost[j + 1], last[j + 1], start[j + 1] = arc, piece, i
+            if not known and cost[i] + UNKNOWN_COST < cost[i + 1]:
+                cost[i + 1], last[i + 1], start[i + 1] = cost[i] + UNKNOWN_COST, -2, i
+        return last, start
 
     def _join(self, a: int, b: int) -> bool:
         """Whether merging the text of two pieces stops at exactly these two."""
-        known = self._joins.get((a, b))
-        if known is None:
-            if len(self._joins) >= REMEMBERED:
-                self._joins.clear()
-            first, second = self.pieces[a][0], self.pieces[b][0]
-            known = self._joins[a, b] = self.merged(first + second) == [first, second]
+        if len(self._joins) >= REMEMBERED:
+            self._joins.clear()
+        first, second = self.pieces[a][0], self.pieces[b][0]
+        known = self._joins[a * len(self.pieces) + b] = self.merged(first + second) == [first, second]
         return known
 
     def merged(self, text: str) -> list[str]:
