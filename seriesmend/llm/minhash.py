@@ -414,17 +414,24 @@ def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     labelled alike; a null doc_id never names a component, and is kept only where
     its component has no other.
     """
+    return _labelled(docs, doc_id, text).drop("text_hash")
+
+
+def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     sketched, groups = near_groups(docs, doc_id, text)
-    joined = sketched.select("doc_id", "n", "cls").join(groups, "cls", "left")
+    joined = sketched.select("doc_id", "text_hash", "n", "cls").join(groups, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The kept documents, with their own columns."""
-    named = label(docs, doc_id, text).filter("kept").select(
-        F.col("doc_id").alias(key := fresh(docs, "kept_id"))).distinct()
-    return docs.join(named, quoted(doc_id).cast("long").eqNullSafe(quoted(key)), "left_semi")
+    # a null doc_id names no row: the text tells it from others
+    key, of = fresh(docs, "kept_id"), fresh(docs, "kept_text")
+    named = _labelled(docs, doc_id, text).filter("kept").select(
+        F.col("doc_id").alias(key), F.col("text_hash").alias(of)).distinct()
+    same = quoted(doc_id).cast("long").eqNullSafe(quoted(key)) & (text_hash(text_of(text)) == quoted(of))
+    return docs.join(named, same, "left_semi")
