@@ -62,11 +62,15 @@ class Windows:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: n - 1], out=sums[1:])
         return sums
 
-    def anchors(self, text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
-        """(hash, context hash, anchor place, first and last window start), piece by piece."""
+    def anchors(self, text: bytes, piece: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(hash, context hash, anchor place, first and last window start), piece by piece.
+
+        An anchor whose windows lie on both sides of a piece's end comes in both pieces,
+        with the windows of each.
+        """
         whole = np.frombuffer(text, np.uint8)
-        for start in range(0, len(whole) - LENGTH + 1, PIECE):
-            data = whole[start: start + PIECE + LENGTH - 1]
+        for start in range(0, len(whole) - LENGTH + 1, piece):
+            data = whole[start: start + piece + LENGTH - 1]
             sums, inverse = self._prefix_sums(data), self.inverse
             n = len(data) - ANCHOR + 1
             hashes = mixed((sums[ANCHOR:] - sums[:n]) * inverse[:n])
@@ -236,12 +240,12 @@ SPANS = "key binary, start int, stop int"
 WINDOWS = "one long, two long, key binary, start int, n long"
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
     windows = Windows()
     for batch in batches:
         parts, keys, counts = [], [], []
         for key, text in zip(batch.column("key"), batch.column("text")):
-            for found in windows.anchors(text.as_py().encode()):
+            for found in windows.anchors(text.as_py().encode(), piece):
                 parts.append(found)
                 keys.append(key.as_py())
                 counts.append(len(found[0]))
@@ -286,7 +290,7 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
         names=[name for name, _ in fields])
 
 
-def _sorted_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted_contexts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Contexts in the order of their anchors -> the spans whose windows repeat."""
     rows: list[tuple] = []
 
@@ -303,7 +307,7 @@ def _sorted_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
     for batch in batches:
         for row in zip(*[batch.column(c).to_pylist() for c in ("hash", "key", "place", "first", "last", "before", "after")]):
-            if len(rows) >= BATCH and row[0] != rows[-1][0]:
+            if len(rows) >= most and row[0] != rows[-1][0]:
                 yield from settled(rows)
                 rows = []
             rows.append(row)
@@ -343,10 +347,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Ranges may overlap.  Texts that occur in several rows are not in it as copies;
     see ``remove``.
     """
+    piece, batch = PIECE, BATCH   # workers get the values of now
     whole = text_of(text)
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), key_of(whole).alias("key"), whole.alias("text"))
     long_enough = rows.filter(F.octet_length("text") >= LENGTH)
-    anchors = long_enough.select("key", "text").mapInArrow(_anchors, ANCHORS)
+    anchors = long_enough.select("key", "text").mapInArrow(lambda rows: _anchors(rows, piece), ANCHORS)
     # most anchors occur once; only the others are kept
     often = anchors.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
     repeated = stage(anchors.join(often, "hash"))
@@ -367,11 +372,13 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "key", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("some_id"), "text"
     ).join(wanted, ["key", "no_id", "some_id"])
     found = held.select("key", "text", "wanted").mapInArrow(_contexts, CONTEXTS)
-    found = stage(found.join(compared.select(
-        "hash", F.col("at.key").alias("key"), F.col("at.place").alias("place"), "n", "kinds"), ["hash", "key", "place"]
-    ).dropDuplicates(["hash", "key", "place"]))   # repeated rows hold a text twice
+    # an anchor at the end of a piece has two contexts at its place, told apart by first and last
+    one = ["hash", "key", "place", "first", "last"]
+    found = stage(found.join(compared.select("hash", "at.key", "at.place", "at.first", "at.last", "n", "kinds"), one)
+                  .dropDuplicates(one))   # repeated rows hold a text twice
     few = found.filter(F.col("kinds") <= MOST_SORTED).select(*[c.split()[0] for c in CONTEXTS.split(", ")])
-    by_sorting = few.repartition("hash").sortWithinPartitions("hash").mapInArrow(_sorted_contexts, SPANS)
+    by_sorting = few.repartition("hash").sortWithinPartitions("hash").mapInArrow(
+        lambda rows: _sorted_contexts(rows, batch), SPANS)
     many = found.filter(F.col("kinds") > MOST_SORTED).select("key", "first", "before", "after", "n")
     windows = many.mapInArrow(_single_windows, WINDOWS)
     twice = windows.groupBy("one", "two").agg(F.sum("n").alias("n")).filter("n > 1").select("one", "two")

@@ -61,6 +61,44 @@ def test_removed_bytes_equal_brute_force(spark, docs_of, monkeypatch, most, piec
     assert found == dict(enumerate(brute(texts)))
 
 
+def around(edges, seed):
+    """A text that spans pieces with the given ends, and texts that repeat passages of it
+    which begin, end and lie at the ends."""
+    rng = random.Random(seed)
+    fill = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    long, others = fill(edges[-1] + 700), []
+    for edge in edges:
+        for before, after in ((0, 260), (260, 0), (199, 1), (1, 199), (130, 150), (400, 500), (-150, 420), (420, -150)):
+            others.append(fill(90) + long[edge - before: edge + after] + fill(90))
+    return long, others
+
+
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_passages_at_the_ends_of_small_pieces(spark, docs_of, monkeypatch, most):
+    monkeypatch.setattr(substrings, "MOST_SORTED", most)
+    monkeypatch.setattr(substrings, "PIECE", 1000)
+    texts = []
+    for kind in range(8):   # each kind of passage in a text of its own, so that none hides another
+        long, others = around((1000, 2000, 3000), kind)
+        texts += [long, *others[kind::8]]
+    got = substrings.remove(docs_of(list(enumerate(texts))), digests=True).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == dict(enumerate(brute(texts)))
+
+
+def test_passages_at_the_ends_of_whole_pieces(spark, docs_of):
+    end = substrings.PIECE
+    for n, (before, after) in enumerate(((0, 260), (260, 0), (130, 150))):
+        rng = random.Random(n)
+        fill = lambda k: "".join(rng.choices("abcdefgh", k=k))
+        long = fill(end + 900)
+        a, b = end - before, end + after
+        # bytes beside the passage differ
+        other = "0" * 90 + long[a:b] + "1" * 90
+        got = {r.doc_id: r for r in substrings.remove(docs_of([(1, long), (2, other)])).collect()}
+        assert [(got[i].n_removed, got[i].n_spans) for i in (1, 2)] == [(b - a, 1)] * 2
+        assert bytes(got[1].kept).decode() == long[:a] + long[b:] and bytes(got[2].kept) == b"0" * 90 + b"1" * 90
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark, docs_of, folder_of):
     text = " ".join(f"w{i}" for i in range(100))
     rows = [(1, text), (1, text), (None, text + " tail of its own"), (4, "u" * 10 + text[50:])]
