@@ -30,6 +30,7 @@ BREAKING = frozenset(
     "nav ol p pre section table td th title tr ul".split()
 )
 HIDDEN = ("script", "style", "noscript", "template")
+_ENDS = {name: re.compile(f"</{name}", re.I | re.A) for name in (*HIDDEN, "title")}
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
 _HREF = re.compile(r"""\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
@@ -58,7 +59,11 @@ def page_text(page: str) -> tuple[str, str, list[str]]:
     What never ends (a comment, a script, a tag) hides the rest of the page.
     """
     out, links, title, at = [], [], "", 0
-    lower = page.lower() if len(page.lower()) == len(page) else page
+    def ending(name: str, at: int) -> int:
+        """The place of a closing tag, in any case of A-Z."""
+        found = _ENDS[name].search(page, at)
+        return found.start() if found else -1
+
     while True:
         start = page.find("<", at)
         if start < 0:
@@ -79,10 +84,10 @@ def page_text(page: str) -> tuple[str, str, list[str]]:
             name = named[1].lower() if named else ""
             if end >= 0 and page[start + 1] != "/":
                 if name in HIDDEN:
-                    end = lower.find(f"</{name}", at)
+                    end = ending(name, at)
                     at = end
                 elif name == "title" and not title:
-                    stop = lower.find("</title", at)
+                    stop = ending(name, at)
                     title = page[at:stop] if stop >= 0 else ""
                 elif name == "a" and (href := _HREF.search(page, start, end)):
                     links.append(html.unescape(href[1].strip("\"'")))

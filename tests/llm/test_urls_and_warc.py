@@ -68,6 +68,17 @@ def test_page_text():
     assert warc.page_text("a<b")[1] == "a" and warc.page_text("İ<P>x</P>İ<script>y</script>z")[1].split("\n") == ["İ", "x", "İz"]
 
 
+def test_closing_tags_in_any_case():
+    page = ("{0}<TITLE>Son {0}</TITLE><Script>x</SCRIPT>one<style>p</Style><NOSCRIPT>n</NoScript>"
+            "<template>t</TEMPLATE> two <a href='/l'>three</A>")
+    for letter in "iİKſ\u1e9e":
+        title, text, links = warc.page_text(page.format(letter))
+        assert title == f"Son {letter}" and links == ["/l"]
+        assert text == f"{letter}\nSon {letter}\none two three"
+    # only A-Z have another case here
+    assert warc.page_text("a<script>b</ſcript>c</SCRIPT>d")[1] == "ad" and warc.page_text("a<script>b</scrİpt>c")[1] == "a"
+
+
 def test_records_are_linked_and_whole(spark, folder_of):
     rows = [(1, "http://a/b", PAGE), (1, "http://a/b", PAGE), (None, None, None), (3, "u\r\nX: y", "<p>" * 2000 + "ü")]
     folder = folder_of(pages=spark.createDataFrame(rows, PAGES).withColumn("record", F.lit(1)))
