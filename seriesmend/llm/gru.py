@@ -1,10 +1,11 @@
 """Log-likelihood of whole documents under a gated recurrent language model.
 
 Words are counted over all training documents.  The most frequent ones (and the end
-of a document) are grouped into classes of equal size; all others form one more
-class, in which a word has its smoothed share of the counts.  A gated recurrent unit
-reads a document word by word; its state predicts the class of the next word and the
-word in its class (class-factored softmax).
+of a document) have an id each; all others are dealt by a hash to buckets, whose
+number grows with the square root of the vocabulary.  Ids of words and buckets are
+grouped into classes of equal size.  A gated recurrent unit reads a document id by id;
+its state predicts the class of the next word and the word or bucket in its class
+(class-factored softmax).  In a bucket, a word has its smoothed share of the counts.
 
 The model learns from every training document: each task runs truncated
 backpropagation over its own documents, and the parameters of all tasks are averaged
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from seriesmend.llm.common import partitions_for, quoted, text_of
 from seriesmend.plans.staging import stage
 
-CLASSES, PER_CLASS = 32, 32           # classes of frequent words, and words in each
+CLASSES, PER_CLASS = 32, 32           # classes of frequent words, and ids in each class
 FREQUENT = CLASSES * PER_CLASS        # the end of a document is the first of them
 HIDDEN = 16
 LANES, WINDOW = 512, 32               # documents read side by side, steps of backpropagation
@@ -42,26 +44,35 @@ RATE = 0.05
 CHUNK_BYTES = 16 << 20                # text that shares one table of counts
 TOKENS_AT_ONCE = 4_000_000            # read in one batch; 20 bytes each
 COUNTED_AT_ONCE = 300_000             # distinct words counted before they go out
-END, RARE = 0, FREQUENT               # ids
-
-SHAPES = {
-    "embed": (FREQUENT + 1, HIDDEN), "into": (HIDDEN, 3 * HIDDEN), "bias": (3 * HIDDEN,),
-    "again": (HIDDEN, 3 * HIDDEN), "to_class": (HIDDEN, CLASSES + 1), "class_bias": (CLASSES + 1,),
-    "to_word": (CLASSES, HIDDEN, PER_CLASS), "word_bias": (CLASSES, PER_CLASS),
+END, RARE = 0, FREQUENT               # ids; those of buckets begin at RARE
+BUCKETS_PER_ROOT = 2                  # buckets of other words, by the square root of the vocabulary
+AVERAGED_BYTES = 64 << 20             # of models that one task averages, if these are more than two
+UNSEEN = b""                          # stands for all words that no training document has
+
+SHAPES = {   # by the number of classes
+    "embed": lambda n: (n * PER_CLASS, HIDDEN), "into": lambda n: (HIDDEN, 3 * HIDDEN), "bias": lambda n: (3 * HIDDEN,),
+    "again": lambda n: (HIDDEN, 3 * HIDDEN), "to_class": lambda n: (HIDDEN, n), "class_bias": lambda n: (n,),
+    "to_word": lambda n: (n, HIDDEN, PER_CLASS), "word_bias": lambda n: (n, PER_CLASS),
 }
 
 
+def buckets_for(distinct: int) -> int:
+    """The number of buckets, whole classes of them."""
+    return PER_CLASS * math.ceil(max(BUCKETS_PER_ROOT * math.sqrt(distinct), 1) / PER_CLASS)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    """The frequent words with their counts, and totals of the training tokens."""
+    """The frequent words with their counts, and totals of the training tokens and buckets."""
 
     words: tuple[bytes, ...]      # ids 1, 2, ...
     counts: tuple[int, ...]       # of ids 0 (end), 1, 2, ...
     tokens: int                   # N
     distinct: int                 # V
+    buckets: tuple[float, ...] = ()   # what the shares of each bucket add up to; empty: all in the first
 
-    def ids(self) -> dict[bytes, int]:
-        return {w: i + 1 for i, w in enumerate(self.words)}
+    def ids(self) -> Ids:
+        return Ids({w: i + 1 for i, w in enumerate(self.words)}, len(self.totals))
 
     @property
     def rare_total(self) -> float:
@@ -69,28 +80,49 @@ class Vocabulary:
         known = sum(1 for c in self.counts if c)
         return self.tokens - sum(self.counts) + 0.5 * (self.distinct - known + 1)
 
+    @property
+    def totals(self) -> tuple[float, ...]:
+        return self.buckets or (self.rare_total, *[0.0] * (PER_CLASS - 1))
+
     def start(self) -> dict[str, np.ndarray]:
         """Parameters before learning: the shares of classes and words, and no memory."""
         rng = np.random.Generator(np.random.PCG64(7))
-        p = {n: np.zeros(s, np.float32) for n, s in SHAPES.items()}
-        for name in ("embed", "into", "again"):
-            p[name] = rng.normal(0, 0.3, SHAPES[name]).astype(np.float32)
         shares = np.full(FREQUENT, 1e-9)
         shares[: len(self.counts)] = np.array(self.counts) + 0.5
-        shares = shares.reshape(CLASSES, PER_CLASS)
-        totals = np.append(shares.sum(axis=1), self.rare_total)
+        shares = np.append(shares, np.maximum(self.totals, 1e-9)).reshape(-1, PER_CLASS)
+        p = {n: np.zeros(s(len(shares)), np.float32) for n, s in SHAPES.items()}
+        for name in ("embed", "into", "again"):
+            p[name] = rng.normal(0, 0.3, p[name].shape).astype(np.float32)
+        totals = shares.sum(axis=1)
         p["class_bias"] = np.log(totals / totals.sum()).astype(np.float32)
         p["word_bias"] = np.log(shares / shares.sum(axis=1, keepdims=True)).astype(np.float32)
         return p
 
 
+class Ids(dict):
+    """Ids of frequent words; of any other, that of its bucket (not stored)."""
+
+    def __init__(self, words: dict[bytes, int], buckets: int):
+        super().__init__(words)
+        self.buckets = buckets
+
+    def __missing__(self, word: bytes) -> int:
+        return RARE + zlib.crc32(word) % self.buckets
+
+    def __reduce__(self):
+        return Ids, (dict(self), self.buckets)
+
+
 def packed(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[n].ravel() for n in SHAPES])
 
 
 def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
+    one, two = (sum(math.prod(s(n)) for s in SHAPES.values()) for n in (1, 2))
+    classes = 1 + (len(flat) - one) // (two - one)   # sizes are linear in it
     out, at = {}, 0
-    for name, shape in SHAPES.items():
+    for name, of in SHAPES.items():
+        shape = of(classes)
         size = math.prod(shape)
         out[name] = flat[at: at + size].reshape(shape).astype(np.float32)
         at += size
@@ -156,9 +188,9 @@ def _read(p, lanes: Lanes, first: int, last: int, state: np.ndarray, trace: list
 
 
 def _predict(p, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
-    """Log-probabilities (base e) of the targets, rare words up to their class; with
+    """Log-probabilities (base e) of the targets, rare words up to their bucket; with
     ``grads``, also the gradient of their negated sum by the states."""
-    classes = targets // PER_CLASS   # the rare id falls in the last class
+    classes = targets // PER_CLASS   # those of buckets come after those of words
     rows = np.arange(len(targets))
     scores = log_softmax(states @ p["to_class"] + p["class_bias"])
     out = scores[rows, classes].astype(np.float64)
@@ -169,8 +201,8 @@ def _predict(p, states: np.ndarray, targets: np.ndarray, grads: dict | None = No
         grads["class_bias"] += err.sum(axis=0)
         back = err @ p["to_class"].T
     order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
+    cuts = np.searchsorted(classes[order], np.arange(len(p["to_word"]) + 1))
+    for c in range(len(p["to_word"])):
         at = order[cuts[c]: cuts[c + 1]]
         if not len(at):
             continue
@@ -189,7 +221,7 @@ def _predict(p, states: np.ndarray, targets: np.ndarray, grads: dict | None = No
 
 def gradients(p, lanes: Lanes, first: int, last: int, state: np.ndarray):
     """Loss, gradients and state of one window (backpropagation stops at its start)."""
-    grads = {n: np.zeros(s, np.float32) for n, s in SHAPES.items()}
+    grads = {n: np.zeros(v.shape, np.float32) for n, v in p.items()}
     trace: list = []
     states, state = _read(p, lanes, first, last, state, trace)
     targets = np.concatenate([lanes.targets[t, : lanes.active[t]] for t in range(first, last)])
@@ -230,7 +262,7 @@ def learn(p: dict, docs: list[np.ndarray], squares: dict) -> None:
 
 
 def likelihoods(p: dict, docs: list[np.ndarray]) -> np.ndarray:
-    """Per document, the sum of its log-probabilities (base 10), rare words by class."""
+    """Per document, the sum of its log-probabilities (base 10), rare words by bucket."""
     lanes = Lanes(docs, LANES)
     state = np.zeros((lanes.targets.shape[1], HIDDEN), np.float32)
     total = np.zeros(len(docs))
@@ -248,9 +280,8 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _ids(words: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
-    get = ids.get
-    return np.array([*[get(w, RARE) for w in words], END], np.int32)
+def _ids(words: list[bytes], ids: Ids) -> np.ndarray:
+    return np.array([*map(ids.__getitem__, words), END], np.int32)
 
 
 CHUNKED = "chunk long, doc_id long, held_out boolean, text string"
@@ -322,17 +353,25 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def vocabulary(rows: DataFrame, counted: DataFrame) -> Vocabulary:
-    """Totals and the most frequent words (a fixed number of them) on the driver."""
+    """Totals, the most frequent words (a fixed number of them) and the shares of each
+    bucket (about the square root of the vocabulary) on the driver."""
     trained = rows.filter("NOT held_out").count()
     once = counted.filter("one AND c > 0")
     totals = once.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = once.orderBy(F.desc("c"), "word").limit(FREQUENT - 1).select("word", "c").collect()
+    count = buckets_for(totals.v)
+    shares = [0.0] * count
+    for r in once.groupBy((F.crc32("word") % count).alias("bucket")).agg((F.sum("c") + 0.5 * F.count(F.lit(1))).alias("share")).collect():
+        shares[r.bucket] = r.share
+    for r in top:   # these have ids of their own
+        shares[zlib.crc32(r.word) % count] -= r.c + 0.5
+    shares[zlib.crc32(UNSEEN) % count] += 0.5
     return Vocabulary(
         tuple(bytes(r.word) for r in top), (trained, *[r.c for r in top]),
-        totals.n + trained, totals.v + (trained > 0))
+        totals.n + trained, totals.v + (trained > 0), tuple(shares))
 
 
-def _packs(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int]) -> Iterator[list[np.ndarray]]:
+def _packs(batches: Iterator[pa.RecordBatch], ids: Ids) -> Iterator[list[np.ndarray]]:
     """The documents' ids, so many documents at a time that their tokens stay few."""
     docs, held = [], 0
     for batch in batches:
@@ -367,7 +406,7 @@ MODEL_ROW = "flat binary, weight double"
 
 
 def train(rows: DataFrame, words: Vocabulary) -> dict[str, np.ndarray]:
-    """Learn from all rows that are not held out; the parameters have a fixed size."""
+    """Learn from all rows that are not held out; the parameters grow with the buckets."""
     spark, p = rows.sparkSession, words.start()
     for n in range(ROUNDS):
         shared = spark.sparkContext.broadcast((packed(p), words.ids()))
@@ -375,7 +414,7 @@ def train(rows: DataFrame, words: Vocabulary) -> dict[str, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat, ids = shared.value
             own = unpacked(flat)
-            squares = {name: np.full(shape, 1e-4, np.float32) for name, shape in SHAPES.items()}
+            squares = {name: np.full(v.shape, 1e-4, np.float32) for name, v in own.items()}
             seen = 0
             for docs in _packs(batches, ids):
                 learn(own, docs, squares)
@@ -386,8 +425,9 @@ def train(rows: DataFrame, words: Vocabulary) -> dict[str, np.ndarray]:
         part = rows.filter(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == n))
         models = stage(part.select("text").mapInArrow(run, MODEL_ROW))
         count = models.count()
+        most = min(256, max(2, AVERAGED_BYTES // packed(p).nbytes))
         while count > 1:   # a tree: no task averages more than a few hundred models
-            models = stage(models.repartition(math.ceil(count / 256)).mapInArrow(_averaged, MODEL_ROW))
+            models = stage(models.repartition(math.ceil(count / most)).mapInArrow(_averaged, MODEL_ROW))
             count = models.count()
         row = models.first()
         if row is not None:
@@ -418,7 +458,8 @@ def score(rows: DataFrame, counted: DataFrame, words: Vocabulary, p: dict[str, n
         flat, vocab = shared.value
         model, ids = unpacked(flat), vocab.ids()
         base_total = math.log10(vocab.tokens + 0.5 * (vocab.distinct + 1))
-        rare_total = math.log10(vocab.rare_total)
+        rare_totals = np.log10(np.maximum(vocab.totals, 1e-9))
+        unseen = ids[UNSEEN]
         end_count = vocab.counts[0]
         chunk, logs, pending, held = None, {}, [], 0
 
@@ -439,10 +480,12 @@ def score(rows: DataFrame, counted: DataFrame, words: Vocabulary, p: dict[str, n
                 found = tokens(text)
                 doc = _ids(found, ids)
                 shares = np.fromiter(map(logs.__getitem__, found), np.float64, len(found))   # all were asked for
-                rare = doc[:-1] == RARE
-                known = int((shares > -0.25).sum()) + (end_count > 0)   # log10(0.5) is -0.3
+                seen = shares > -0.25   # log10(0.5) is -0.3
+                doc[:-1][~seen] = unseen
+                rare = doc[:-1] >= RARE
+                known = int(seen.sum()) + (end_count > 0)
                 base = float(shares.sum()) + math.log10(end_count + 0.5) - base_total * len(doc)
-                inside = float(shares[rare].sum()) - rare_total * int(rare.sum())
+                inside = float((shares[rare] - rare_totals[doc[:-1][rare] - RARE]).sum())
                 pending.append((doc_id, held_out, len(doc), known, doc, base, inside))
                 held += len(doc)
                 if held >= TOKENS_AT_ONCE:

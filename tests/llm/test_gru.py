@@ -106,6 +106,49 @@ def test_scores(spark, docs_of, monkeypatch, limit):
     assert model > base * 0.8   # both negative: the model is far ahead on what it has not seen
 
 
+def test_buckets_grow_and_hold_every_word(spark, docs_of):
+    sizes = []
+    for words in (1100, 6000):
+        rows = gru.chunked(docs_of([(i, " ".join(f"w{j}" for j in range(i, words, 10))) for i in range(10)]))
+        counted = gru.word_counts(rows)
+        vocab = gru.vocabulary(rows, counted)
+        sizes.append(len(vocab.buckets))
+        ids, shares = vocab.ids(), [0.0] * len(vocab.buckets)
+        for r in counted.filter("one AND c > 0").collect():
+            if ids[bytes(r.word)] >= gru.RARE:
+                shares[ids[bytes(r.word)] - gru.RARE] += r.c + 0.5
+        shares[ids[gru.UNSEEN] - gru.RARE] += 0.5
+        assert shares == pytest.approx(vocab.buckets) and sum(shares) == pytest.approx(vocab.rare_total)
+        # before learning, every word and the unseen one has its share of the counts
+        p = vocab.start()
+        every = np.arange(gru.RARE + len(shares))
+        found = np.exp(gru._predict(p, np.zeros((len(every), gru.HIDDEN), np.float32), every))
+        assert found.sum() == pytest.approx(1, rel=1e-4)
+        total = vocab.tokens + 0.5 * (vocab.distinct + 1)
+        assert found[gru.RARE:] == pytest.approx(np.array(shares) / total, rel=1e-3, abs=1e-8)
+        assert {n: v.shape for n, v in gru.unpacked(gru.packed(p)).items()} == {n: v.shape for n, v in p.items()}
+    assert sizes[0] < sizes[1]
+
+
+def test_state_tells_words_outside_the_frequent_ones_apart(spark, docs_of):
+    # every id of a frequent word is taken by words that the other documents don't have
+    rng, buckets = random.Random(6), 96
+    groups = [[] for _ in range(8)]   # words in eight buckets; a group says which one follows
+    for i in range(100_000):
+        at = zlib.crc32(b"w%d" % i) % buckets
+        if at % 12 == 0 and len(groups[at // 12]) < 50:
+            groups[at // 12].append(f"w{i}")
+    rows = [(i, " ".join(rng.choice(groups[(i + k) % 8]) for k in range(40))) for i in range(1000)]
+    common = " ".join(f"common{i}" for i in range(gru.FREQUENT - 1))
+    rows += [(i, common) for i in range(10_000, 10_200) if zlib.crc32(str(i).encode()) % 5 != 1]
+    top = vocabulary_of(rows).most_common(gru.FREQUENT)
+    assert all(w is None or w.startswith(b"common") for w, _ in top) and gru.buckets_for(1023 + 400) == buckets
+    held = [r for r in gru.log_likelihoods(docs_of(rows).repartition(2)).collect() if r.held_out and r.doc_id < 10_000]
+    tokens = sum(r.n_tokens for r in held)
+    # 400 words as frequent as each other: knowing only that none is frequent gives 1 / 400
+    assert sum(r.score for r in held) > -0.85 * math.log10(400) * tokens
+
+
 def test_empty_and_untrained(spark, docs_of):
     assert gru.log_likelihoods(docs_of([])).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
