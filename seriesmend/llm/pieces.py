@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding as shortest paths of a weighted transducer.
 
-The model is compiled to three transducers: the normaliser (white space to its mark,
-a mark in front), the pieces (a trie whose final states emit a piece) and the byte
-fallback (a character that starts no piece emits its bytes).  A text, composed with
-them, is a lattice of pieces, and its encoding the shortest path in the tropical
-semiring.  For unigram models an arc costs the negated score of its piece.  For
+Only the pieces are compiled to a transducer (a trie whose final states emit a piece).
+The normaliser (white space to its mark, a mark in front) is string replacement before
+it, and the byte fallback (a character that starts no piece emits its bytes) a branch
+of the search.  A normalised text, composed with the pieces, is a lattice, and its
+encoding the shortest path in the tropical semiring.  For unigram models an arc costs the negated score of its piece.  For
 merge (BPE) models the scores only rank merges; there an arc after another costs
 nothing if merging their joined text gives back the two pieces, and infinity
 otherwise: a sequence whose neighbours all pass is the one that merging the whole
