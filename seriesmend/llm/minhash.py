@@ -385,9 +385,10 @@ def near_links(classes: Classes) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The sketches, and (cls, component_id) of every class that has a doc_id.
+    """The sketches, and (cls, component_id, sole_text) of every class.
 
-    ``component_id`` is the smallest doc_id reachable over links.
+    ``component_id`` is the smallest doc_id reachable over links.  ``sole_text`` is
+    the text_hash that stands for a component without any doc_id, else null.
     """
     sketched = sketches(docs, doc_id, text)
     table = stage(
@@ -400,11 +401,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = docs.select(
         quoted(doc_id).cast("long").alias("doc_id"), text_hash(whole).alias("text_hash"), whole.alias("text"))
     found = components(near_links(Classes(table, rows)))
-    labelled = table.select("cls", F.col("rep.doc_id").alias("doc_id")).join(
+    labelled = table.select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash")).join(
         found.withColumnRenamed("node", "cls"), "cls", "left"
     ).withColumn("component", F.coalesce("component", "cls"))
-    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return sketched, labelled.join(least, "component").select("cls", "component_id")
+    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("text_hash").alias("least_text"))
+    sole = F.when(F.col("component_id").isNull(), F.col("least_text")).alias("sole_text")
+    return sketched, labelled.join(least, "component").select("cls", "component_id", sole)
 
 
 def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -414,24 +416,32 @@ def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     labelled alike; a null doc_id never names a component, and is kept only where
     its component has no other.
     """
-    return _labelled(docs, doc_id, text).drop("text_hash")
+    return _labelled(*near_groups(docs, doc_id, text)).drop("text_hash", "sole_text")
 
 
-def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    sketched, groups = near_groups(docs, doc_id, text)
+def _labelled(sketched: DataFrame, groups: DataFrame) -> DataFrame:
     joined = sketched.select("doc_id", "text_hash", "n", "cls").join(groups, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), "sole_text",
     )
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The kept documents, with their own columns."""
+    """The kept documents, with their own columns.
+
+    Of a group whose doc_ids are all null, one row stays.
+    """
     # a null doc_id names no row: the text tells it from others
-    key, of = fresh(docs, "kept_id"), fresh(docs, "kept_text")
-    named = _labelled(docs, doc_id, text).filter("kept").select(
-        F.col("doc_id").alias(key), F.col("text_hash").alias(of)).distinct()
+    key, of, sole = fresh(docs, "kept_id"), fresh(docs, "kept_text"), fresh(docs, "sole_text")
+    sketched, groups = near_groups(docs, doc_id, text)
+    kept = _labelled(sketched, groups).filter("kept AND (sole_text IS NULL OR sole_text = text_hash)")
+    named = kept.select(F.col("doc_id").alias(key), F.col("text_hash").alias(of), F.col("sole_text").alias(sole)).distinct()
     same = quoted(doc_id).cast("long").eqNullSafe(quoted(key)) & (text_hash(text_of(text)) == quoted(of))
-    return docs.join(named, same, "left_semi")
+    if groups.filter("sole_text IS NOT NULL").isEmpty():
+        return docs.join(named, same, "left_semi")
+    others = docs.join(named.filter(quoted(sole).isNull()), same, "left_semi")
+    ones = docs.filter(quoted(doc_id).cast("long").isNull()).join(named.filter(quoted(sole).isNotNull()), same)
+    # copies of the text that stays
+    return others.unionAll(ones.dropDuplicates([of]).select(*[quoted(c) for c in docs.columns]))

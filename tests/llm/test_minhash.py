@@ -92,6 +92,15 @@ def test_repeated_rows_null_ids_and_empty_table(spark, docs_of, folder_of):
     assert QUERIES["op7_minhash_near_dedup"](spark, folder_of(documents=docs_of([]))).count() == 0
 
 
+def test_one_of_near_copies_without_ids_is_kept(spark, docs_of):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "wv")
+    rows = [(None, one), (None, one + " more"), (None, one + " more"), (None, two), (None, two),
+            (None, "alone in here with no id"), (None, ""), (None, ""), (7, "has an id of its own")]
+    kept = [r.text for r in minhash.keep_one(docs_of(rows)).collect()]
+    assert len([t for t in kept if t.startswith("w0")]) == 1 and kept.count(two) == 1
+    assert sorted(t for t in kept if t[:2] not in ("w0", "v0")) == ["", "", "alone in here with no id", "has an id of its own"]
+
+
 def test_estimate_keeps_what_is_similar():
     rng = np.random.default_rng(1)
     hasher = minhash.WordHasher()
