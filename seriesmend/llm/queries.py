@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seriesmend.llm import chat, cuckoo, gru, minhash, mixing, pieces, quality, substrings, urls, warc
+from seriesmend.llm import (
+    audit, chat, cuckoo, gru, minhash, mixing, negatives, pieces, quality, substrings, urls, warc,
+)
 from seriesmend.llm.common import read
 from seriesmend.plans.staging import stage
 
@@ -221,3 +223,85 @@ def op9_recurrent_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_suffix_dedup")
 def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove(documents(spark, folder, "doc_id", "text"), digests=True)
+
+
+NEGATIVES_SQL = """
+WITH valid AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM valid a JOIN valid b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)::INT AS rank
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT same
+  AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0, label=moved)
+
+
+AUDIT_SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS_SQL} AS words FROM documents
+), failing AS (
+  SELECT doc_id, part,
+    (CASE WHEN len(words) < 200 THEN 'A' ELSE '' END)
+    || (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails
+  FROM docs
+), known AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+  FROM labels GROUP BY doc_id
+), counted AS (
+  SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM failing f LEFT JOIN known k ON f.doc_id = k.doc_id GROUP BY ALL
+), names AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM names a, names b, names c, names d, names e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, s::INT AS step, filter_order[s:s] AS name, filter_order[1:s - 1] AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS s)
+), outcomes AS (
+  SELECT part, filter_order, step, name, n, good, toxic, fails,
+    contains(fails, name) AS failing,
+    length(translate(earlier, fails, '')) < length(earlier) AS gone
+  FROM counted, steps
+), summed AS (
+  SELECT part, filter_order, step, name,
+    sum(CASE WHEN NOT failing AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN failing AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN failing AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN fails = name THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN failing AND NOT gone AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN failing AND NOT gone AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM outcomes GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, name))::BIGINT AS shapley
+FROM summed
+"""
+
+
+@query("op13_filter_audit", AUDIT_SQL)
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    labels = read(spark, folder, "labels").select("doc_id", "quality", "toxic")
+    return audit.audit(documents(spark, folder, "doc_id", "text", "source"), labels)
