@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seriesmend.llm import (
-    audit, chat, cuckoo, gru, minhash, mixing, negatives, pieces, quality, substrings, urls, warc,
+    audit, chat, cuckoo, extraction, gru, minhash, mixing, negatives, pieces, quality, substrings, urls, warc,
 )
 from seriesmend.llm.common import read
 from seriesmend.plans.staging import stage
@@ -305,3 +305,8 @@ FROM summed
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     labels = read(spark, folder, "labels").select("doc_id", "quality", "toxic")
     return audit.audit(documents(spark, folder, "doc_id", "text", "source"), labels)
+
+
+@query("op11_html_extraction")
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract(read(spark, folder, "pages").select("page_id", "url", "html"))
