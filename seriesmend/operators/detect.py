@@ -8,12 +8,16 @@ runs as one window pass per series, or per block of a long series (see
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from seriesmend.functions import ieee
 from seriesmend.functions.binding import let, once
 from seriesmend.model import SeriesSpec, join_on_key
-from seriesmend.plans.blocks import ROW_NUMBER, Blocks, Layout, as_blocks, carried
+from seriesmend.operators.orderstats import moving_median_mad
+from seriesmend.plans.blocks import CORE, ROW_NUMBER, Blocks, Layout, as_blocks, carried
 
 # Fixed values of the score: consistency factor of the MAD and its floor.
 MAD_TO_SIGMA = 1.4826
@@ -46,8 +50,9 @@ def first_difference(
 # --- rolling median and median absolute deviation ---------------------------
 
 
-# Up to this half width the deviation of a full frame is written out term by term,
-# which stays in generated code; wider frames use array functions.
+# Up to this half width a frame is a sorted array, and the deviation of a full one is
+# written out term by term, which stays in generated code.  Wider frames are never
+# written: see ``orderstats``.
 WRITTEN_OUT = 40
 
 
@@ -96,12 +101,8 @@ def _with_deviation(frames: DataFrame, half: int) -> DataFrame:
     """Add ``_med`` and ``_mad`` of the sorted frame ``_s`` (NULL if it is empty)."""
     ordered, centre = F.col("_s"), F.col("_med")
     centred = once(frames, "_med", _middle(ordered))
-    if half <= WRITTEN_OUT:
-        full = (F.size(ordered) == 2 * half + 1) & ieee.is_finite(centre)
-        written = F.when(full, _full_frame_deviation(ordered, centre, half))
-        centred = once(centred, "_full", written)
-    else:
-        centred = centred.withColumn("_full", F.lit(None).cast("double"))
+    full = (F.size(ordered) == 2 * half + 1) & ieee.is_finite(centre)
+    centred = once(centred, "_full", F.when(full, _full_frame_deviation(ordered, centre, half)))
     # distances to an infinite centre may be undefined; those are left out
     defined = F.sort_array(
         F.filter(F.transform(ordered, lambda v: F.abs(v - centre)), lambda v: ~F.isnan(v))
@@ -164,16 +165,62 @@ def _difference_frames(
     return once(framed, "_s", F.sort_array("_padded")).drop("_padded")
 
 
+def _wide_frames(
+    df: DataFrame, spec: SeriesSpec, window: int, layout: Layout, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``_d``, ``_med``, ``_mad``, ``_place`` and ``_size`` of every row, for any width.
+
+    A series, or a block of a long one with ``half + 1`` rows on either side, is one group
+    of Arrow columns; it holds one running count per row and bit, and no frames.
+    """
+    half = _half(window)
+    blocks = as_blocks(_readings(df, spec, keep), spec, halo=half + 1, layout=layout)
+    carry, blocked = [*spec.row_key, *keep], blocks.blocked
+    kinds = blocks.df.select(*carry).schema.fields
+    found = [StructField(n, DoubleType()) for n in ("_d", "_med", "_mad")]
+    found += [StructField(n, LongType()) for n in ("_place", "_size")]
+
+    def measure(block: pa.Table) -> pa.Table:
+        block = block.sort_by(ROW_NUMBER)
+        n = block.num_rows
+        v = block.column("_v").to_numpy()   # missing readings become NaN
+        with np.errstate(invalid="ignore"):
+            steps = np.diff(v)
+        columns = {"_d": steps}
+        columns["_med"], columns["_mad"] = moving_median_mad(steps, half)
+        out = block.select(carry)
+        for name, values in columns.items():
+            first = np.full(min(n, 1), np.nan)   # the first row has no difference
+            both = np.concatenate([first, values])
+            out = out.append_column(name, pa.array(both, pa.float64(), mask=np.isnan(both)))
+        out = out.append_column("_place", pa.array(np.arange(1, n + 1)))
+        out = out.append_column("_size", pa.array(np.full(n, n)))
+        return out.filter(block.column(CORE)) if blocked else out
+
+    return blocks.df.groupBy(*blocks.parts).applyInArrow(measure, StructType([*kinds, *found]))
+
+
 # the first row of a series has no difference, and two rows are no series
 _SCORABLE = "_place > 1 AND _size >= 3"
 
 
+def _measured(
+    df: DataFrame, spec: SeriesSpec, window: int, layout: Layout, keep: tuple[str, ...], kernel: str
+) -> DataFrame:
+    """Differences with the median and MAD around them: ``kernel`` "arrays", "counts", or
+    "auto", which takes arrays for narrow frames only.  All give the same values."""
+    if kernel == "auto":
+        kernel = "arrays" if _half(window) <= WRITTEN_OUT else "counts"
+    if kernel == "counts":
+        return _wide_frames(df, spec, window, layout, keep)
+    return _with_deviation(_difference_frames(df, spec, window, layout, keep), _half(window))
+
+
 def rolling_median_mad(
-    df: DataFrame, spec: SeriesSpec, window: int = 24, layout: Layout = Layout()
+    df: DataFrame, spec: SeriesSpec, window: int = 24, layout: Layout = Layout(), kernel: str = "auto"
 ) -> DataFrame:
     """Row key, ``diff``, and the median and MAD of the differences around it."""
-    frames = _difference_frames(df, spec, window, layout).filter(_SCORABLE)
-    return _with_deviation(frames, _half(window)).select(
+    return _measured(df, spec, window, layout, (), kernel).filter(_SCORABLE).select(
         *spec.row_key,
         F.col("_d").alias("diff"),
         F.col("_med").alias("med"),
@@ -188,14 +235,15 @@ def score_spikes(
     layout: Layout = Layout(),
     keep: tuple[str, ...] = (),
     name: str = "score",
+    kernel: str = "auto",
 ) -> DataFrame:
     """Every row with the score (column ``name``) of its step from the previous reading.
 
     score = |d - median| / (1.4826 * MAD + 1e-9) over the differences around it;
     an undefined or infinite score counts as 0.  NULL on the first row of a series
-    and in series of fewer than three rows.
+    and in series of fewer than three rows.  Any ``window`` is taken.
     """
-    frames = _with_deviation(_difference_frames(df, spec, window, layout, keep), _half(window))
+    frames = _measured(df, spec, window, layout, keep, kernel)
     ratio = F.abs(F.col("_d") - F.col("_med")) / (F.col("_mad") * MAD_TO_SIGMA + MAD_FLOOR)
     # undefined and infinite ratios, and missing differences, count as 0
     score = F.when(F.expr(_SCORABLE), F.when(ratio < ieee.INF, ratio).otherwise(F.lit(0.0)))

@@ -107,6 +107,23 @@ def q_spikes_gaps(spark, folder):
     return detect_spikes(gapped(spark, folder), READINGS).select(*CANDIDATE)
 
 
+# wider than any series of the small tables
+WIDE = 5001
+
+
+@query("detect_spikes_wide", spikes_sql(GAPPED_SOURCE, WIDE, 4.0))
+def q_spikes_wide(spark, folder):
+    return detect_spikes(gapped(spark, folder), READINGS, WIDE).select(*CANDIDATE)
+
+
+@query(
+    "rolling_median_mad_wide",
+    f"WITH {frames_sql(PLAIN_SOURCE, 301)} SELECT event_id, d AS diff, med, mad FROM scored",
+)
+def q_rolling_wide(spark, folder):
+    return rolling_median_mad(readings(spark, folder), READINGS, 301).select("event_id", "diff", "med", "mad")
+
+
 @query(
     "find_runs",
     f"""WITH steps AS (
