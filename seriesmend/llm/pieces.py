@@ -11,7 +11,7 @@ otherwise: a sequence whose neighbours all pass is the one that merging the whol
 text gives, so the one finite path is the encoding.
 
 Where no piece can cross (before a white space mark, around a line end), the text
-is cut, and the path of a cut is remembered up to ``REMEMBERED`` cuts per worker.
+is cut, and the paths of short cuts are remembered, up to ``REMEMBERED`` bytes per worker.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ from pyspark.sql.types import StructType
 from seriesmend.llm.common import fresh, quoted, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 300_000
+REMEMBERED = 24 << 20    # bytes a worker keeps of cuts and their paths, about
+LONGEST_REMEMBERED = 100 # characters of such a cut
+JOINS = 100_000          # pairs of pieces a worker keeps
 MARK = "▁"   # stands for a space in pieces
 # fixed values of the model format
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -98,6 +100,7 @@ class PieceModel:
             node[""] = i
         self._joins: dict[int, bool] = {}   # of two pieces, by one number
         self._paths: dict[str, bytes] = {}
+        self._room = REMEMBERED
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         ends = any("\n" in p for p in self.ids)
         plain = rf"[^{MARK}]" if ends else rf"[^{MARK}\n]"
@@ -120,11 +123,14 @@ class PieceModel:
         return np.frombuffer(b"".join(found), np.int32)
 
     def _path(self, cut: str) -> bytes:
-        """The shortest path through a cut, remembered."""
-        if len(self._paths) >= REMEMBERED:
-            self._paths.clear()
+        """The shortest path through a cut, remembered if it is short."""
         path = array("i", self.shortest_path(cut)).tobytes()
-        self._paths[cut] = path
+        if len(cut) <= LONGEST_REMEMBERED:
+            self._room -= 4 * len(cut) + len(path) + 200   # with what Python adds
+            if self._room < 0:
+                self._paths.clear()
+                self._room = REMEMBERED
+            self._paths[cut] = path
         return path
 
     def shortest_path(self, text: str) -> list[int]:
@@ -198,7 +204,7 @@ class PieceModel:
 
     def _join(self, a: int, b: int) -> bool:
         """Whether merging the text of two pieces stops at exactly these two."""
-        if len(self._joins) >= REMEMBERED:
+        if len(self._joins) >= JOINS:
             self._joins.clear()
         first, second = self.pieces[a][0], self.pieces[b][0]
         known = self._joins[a * len(self.pieces) + b] = self.merged(first + second) == [first, second]
