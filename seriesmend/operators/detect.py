@@ -186,13 +186,11 @@ def _wide_frames(
         v = block.column("_v").to_numpy()   # missing readings become NaN
         with np.errstate(invalid="ignore"):
             steps = np.diff(v)
-        columns = {"_d": steps}
-        columns["_med"], columns["_mad"] = moving_median_mad(steps, half)
-        out = block.select(carry)
-        for name, values in columns.items():
-            first = np.full(min(n, 1), np.nan)   # the first row has no difference
-            both = np.concatenate([first, values])
-            out = out.append_column(name, pa.array(both, pa.float64(), mask=np.isnan(both)))
+        median, mad, known = moving_median_mad(steps, half)
+        out, first = block.select(carry), np.zeros(min(n, 1))   # which has no difference
+        for name, values, has in (("_d", steps, ~np.isnan(steps)), ("_med", median, known), ("_mad", mad, ~np.isnan(mad))):
+            empty = ~np.concatenate([first.astype(bool), has])
+            out = out.append_column(name, pa.array(np.concatenate([first, values]), pa.float64(), mask=empty))
         out = out.append_column("_place", pa.array(np.arange(1, n + 1)))
         out = out.append_column("_size", pa.array(np.full(n, n)))
         return out.filter(block.column(CORE)) if blocked else out

@@ -55,18 +55,19 @@ class RunningCounts:
         return rank
 
 
-def moving_median_mad(steps: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Median and MAD of the frames of ``2 * half + 1`` steps around each step.
+def moving_median_mad(steps: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Median and MAD of the frames of ``2 * half + 1`` steps around each step, and whether
+    the frame holds any value.
 
     Missing steps (NaN) are left out; beyond the ends the first and last step repeat.
-    NaN where a frame has no value.  A MAD is of the distances that are defined.
+    A MAD is of the distances that are defined, NaN if none is.
     """
     n = len(steps)
-    median, mad = np.full(n, np.nan), np.full(n, np.nan)
+    median, mad, known = np.full(n, np.nan), np.full(n, np.nan), np.zeros(n, bool)
     sound = ~np.isnan(steps)
     values, ranks = np.unique(steps[sound], return_inverse=True)
     if not len(values):
-        return median, mad
+        return median, mad, known
     counts = RunningCounts(ranks.reshape(-1), len(values))
     place = np.concatenate([[0], np.cumsum(sound)])     # of a step among the sound ones
     edges = [int(np.searchsorted(values, steps[i])) if sound[i] else None for i in (0, -1)]
@@ -76,11 +77,11 @@ def moving_median_mad(steps: np.ndarray, half: int) -> tuple[np.ndarray, np.ndar
         outside = (np.maximum(half - here, 0), np.maximum(here + half - (n - 1), 0))
         weights = [(edge, many) for edge, many in zip(edges, outside) if edge is not None and many.any()]
         size = end - start + sum(many for _, many in weights)
-        filled = size > 0
+        known[here] = filled = size > 0
         frames = _Frames(counts, values, start[filled], end[filled], [(r, m[filled]) for r, m in weights], size[filled])
         median[here[filled]] = centre = frames.median()
         mad[here[filled]] = frames.deviation(centre)
-    return median, mad
+    return median, mad, known
 
 
 class _Frames:
