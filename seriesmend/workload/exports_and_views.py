@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesmend.operators import select, view
+from seriesmend.operators import pyramid, select, view
 from seriesmend.operators.annotate import annotate_first
 from seriesmend.operators.correct import correct
 from seriesmend.sinks.exports import (
@@ -266,3 +266,38 @@ def q_downsample_stride(spark, folder):
 )
 def q_display_both(spark, folder):
     return view.display(shifted(spark, folder), "both", ("event_id",))
+
+
+# epoch seconds of 2024-01-01; a range of all readings, of eight days, and of six hours
+START = 1704067200.0
+ZOOMS = ((START, START + 40 * 86400.0, 100), (START + 3 * 86400.0, START + 11 * 86400.0, 800),
+         (START + 5 * 86400.0, START + 5 * 86400.0 + 21600.0, 400))
+BASE_SECONDS = 60.0
+
+
+GAPPED_SOURCE = f"SELECT event_id, event_type, ts, {GAPPED_SQL} AS value FROM events"
+
+
+def zoom_sql(x0: float, x1: float, points: int) -> str:
+    level = pyramid.level_for(x0, x1, points, BASE_SECONDS)
+    width = BASE_SECONDS * pyramid.FAN**level
+
+    def row(name: str, way: str) -> str:
+        return f"""
+          SELECT event_type, {level} AS level, bucket, '{name}' AS peak, event_id, ts, y FROM (
+            SELECT *, row_number() OVER (PARTITION BY event_type, bucket ORDER BY y {way}, ts, event_id) AS place FROM p)
+          WHERE place = 1"""
+
+    return f"""SELECT * FROM (WITH p AS (
+        SELECT event_type, event_id, ts, value AS y, floor(epoch_us(ts) / 1e6 / {width})::BIGINT AS bucket
+        FROM ({GAPPED_SOURCE}) WHERE value IS NOT NULL
+          AND floor(epoch_us(ts) / 1e6 / {width}) BETWEEN floor({x0} / {width}) AND floor({x1} / {width}))
+      {row('min', 'ASC')} UNION ALL {row('max', 'DESC')})"""
+
+
+@query("peak_pyramid_zoom", " UNION ALL ".join(f"SELECT {i} AS view, * FROM ({zoom_sql(*z)})" for i, z in enumerate(ZOOMS)))
+def peak_pyramid_zoom(spark, folder):
+    """Three ranges of one pyramid, each from the level that shows it in few points."""
+    peaks = pyramid.peak_pyramid(gapped(spark, folder), READINGS, "ts", BASE_SECONDS)
+    views = [peaks.view(*z).select(F.lit(i).alias("view"), "*") for i, z in enumerate(ZOOMS)]
+    return views[0].unionByName(views[1]).unionByName(views[2])

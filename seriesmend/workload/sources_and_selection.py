@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from seriesmend.operators import select
+from seriesmend.operators.bitmaps import RowIndex
 from seriesmend.operators.correct import correct
 from seriesmend.operators.detect import candidates_as_selection, detect_frozen
 from seriesmend.sources.annotations import (
@@ -353,3 +354,40 @@ def select_detected(spark, folder):
     events = readings(spark, folder)
     found = detect_frozen(events, READINGS, 3, 5.0)
     return candidates_as_selection(events, READINGS, found).select("event_id", "user_id", "value")
+
+
+# what is selected: high readings, two kinds of event, stuck readings
+HIGH, TWO_KINDS = "value > 50", "event_type IN ('click', 'view')"
+ALGEBRA_SQL = f"""
+  WITH steps AS (
+    SELECT *, CASE WHEN abs(value - lag(value) OVER w) <= 5 THEN 0 ELSE 1 END AS brk
+    FROM (SELECT event_id, event_type, ts, {GAPPED_SQL} AS value FROM events)
+    WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+  runs AS (SELECT *, sum(brk) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run FROM steps),
+  marked AS (SELECT event_id, coalesce({HIGH}, false) AS a, {TWO_KINDS} AS b,
+               count(*) OVER (PARTITION BY event_type, run) >= 3 AS c FROM runs)
+  SELECT 'union' AS op, event_id FROM marked WHERE a OR b
+  UNION ALL SELECT 'intersection', event_id FROM marked WHERE a AND b
+  UNION ALL SELECT 'difference', event_id FROM marked WHERE a AND NOT b
+  UNION ALL SELECT 'inverted', event_id FROM marked WHERE NOT a
+  UNION ALL SELECT 'stuck outside', event_id FROM marked WHERE c AND NOT (a OR b)
+  UNION ALL SELECT 'counted', count(*) FROM marked WHERE (a OR c) AND NOT (a AND c)
+"""
+
+
+@query("select_bitmap_algebra", ALGEBRA_SQL)
+def select_bitmap_algebra(spark, folder):
+    """Set operations on selections, back as rows; the last one is only counted."""
+    events = gapped(spark, folder)
+    index = RowIndex.build(events, READINGS, ("value",))
+    a, b = index.select(F.expr(HIGH)).frozen(), index.select(F.expr(TWO_KINDS)).frozen()
+    c = index.select_rows(detect_frozen(events, READINGS, 3, 5.0)).frozen()
+    sets = {
+        "union": a.union(b), "intersection": a.intersection(b), "difference": a.difference(b),
+        "inverted": a.inverted(), "stuck outside": c.difference(a.union(b)),
+    }
+    counted = a.union(c).difference(a.intersection(c)).counts()
+    out = counted.select(F.lit("counted").alias("op"), F.col("selected").alias("event_id"))
+    for op, chosen in sets.items():
+        out = out.unionByName(chosen.rows().select(F.lit(op).alias("op"), "event_id"))
+    return out
