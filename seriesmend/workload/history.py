@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from seriesmend.operators.correct import corrected_values
 from seriesmend.plans.history import EditLog, deleted_rows, history_listing, log_patch, replay
+from seriesmend.plans.patches import PatchStore, replay_stored
+from seriesmend.plans.staging import shared_folder
 from seriesmend.workload.registry import READINGS, query, readings
 
 EDITS = [
@@ -35,7 +38,7 @@ CHAIN_SQL = """
 def edited(spark, folder):
     """``(raw readings, patch rows, edit log)`` after the four edits.
 
-    Every patch is taken from the values its predecessors left, in one scan.
+    Every patch is taken from the values its predecessors left, in a scan of its own.
     """
     frame = readings(spark, folder).withColumn("raw", F.col("value"))
     log, patches = EditLog(), []
@@ -125,3 +128,31 @@ def deleted_mask(spark, folder):
     _, patches, log = edited(spark, folder)
     marks = log.deleting_layers({e.seq: e.op_id for e in log.edits})
     return deleted_rows(patches, marks, READINGS).select("event_id")
+
+
+# a long history: edit k adds k to the readings it touches, of which it is the (k div 100)-th edit
+MANY, STEP = 500, 100
+STORED_SQL = f"""
+  SELECT event_id, value + CASE WHEN event_id % {STEP} = 99 THEN 399
+                                WHEN event_id % {STEP} = 50 THEN 350
+                                ELSE 400 + event_id % {STEP} END AS corrected FROM events"""
+
+
+@query("log_compacted_replay", STORED_SQL)
+def log_compacted_replay(spark, folder):
+    """500 edits with snapshots in between; then one is removed, and the last one undone."""
+    raw = readings(spark, folder).select(*READINGS.row_key, F.col("value").alias("raw"))
+    store, log = PatchStore(spark, f"{shared_folder(spark)}/session-{uuid.uuid4().hex}", READINGS), EditLog()
+    edits = F.sequence(F.col("event_id") % STEP, F.lit(MANY - 1), F.lit(STEP).cast("long"))
+    touched = raw.select("*", F.explode(edits.cast("array<int>")).alias("_sm_seq"))
+    before = F.when(F.col("_sm_seq") < STEP, F.col("raw")).otherwise(F.col("raw") + (F.col("_sm_seq") - STEP))
+    points = store.write_all(touched.select(
+        *READINGS.row_key, "_sm_seq", before.alias("old_value"), (F.col("raw") + F.col("_sm_seq")).alias("new_value")))
+    for k in range(MANY):
+        log.apply("offset", f"edit {k}", points.get(k, 0))
+        if k in (249, 449):   # as a session does when they are due
+            store.compact(log.layers)
+    store.compact(log.layers)
+    log.remove(450)           # a snapshot before it still counts
+    log.undo()
+    return replay_stored(raw, READINGS, [(store, log.layers, "raw", "corrected")]).select("event_id", "corrected")
