@@ -39,7 +39,8 @@ WORDS, BANDS, PER_BAND, BITS = 5, 32, 4, 4
 HASHES = BANDS * PER_BAND
 SIMILAR = (75, 100)      # intersection * 100 >= union * 75
 SLACK = 6.0              # standard deviations below the bound
-BLOCK_ROWS = 500         # members of either side compared at a time
+BLOCK_ROWS = 500         # members of either side compared at a time, at most ...
+BLOCK_SHINGLES = 1 << 19 # ... and about so many shingles of theirs
 PIECE = 1 << 20          # bytes of a text hashed at a time
 
 _SPACE = np.zeros(256, bool)
@@ -247,8 +248,8 @@ class Classes:
 def _links_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block: minor members against the other members of the block.
 
-    A block has at most about ``BLOCK_ROWS`` of either, whatever the size of its
-    bucket or component.
+    A block has at most about ``BLOCK_ROWS`` of either and ``BLOCK_SHINGLES`` of theirs (or
+    a larger set alone), whatever the size of its bucket or component.
     """
     part, whole = SIMILAR
     most = _most_differing()
@@ -280,21 +281,25 @@ def _links_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
     block, rows = None, []
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("block", "minor", "cls", "component", "sig", "shingles")]):
-            if row[0] != block:
-                yield from links(rows)
-                block, rows = row[0], []
-            rows.append(row)
+        for at in range(0, batch.num_rows, 100):   # few sets are held twice
+            some = batch.slice(at, 100)
+            for row in zip(*[some.column(c).to_pylist() for c in ("block", "minor", "cls", "component", "sig", "shingles")]):
+                if row[0] != block:
+                    yield from links(rows)
+                    block, rows = row[0], []
+                rows.append(row)
     yield from links(rows)
 
 
 def _dealt(members: DataFrame, minors: DataFrame, group: str) -> DataFrame:
-    """Blocks (block, minor, cls, component) of the two sides of each ``group``.
+    """Blocks (block, minor, cls, component) of the two sides of each ``group``, from rows
+    with ``n``, the size of their set.
 
     Every member goes to one block for each block of minors, and the other way round.
     """
     def blocks_of(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+        needed = F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)
+        return side.groupBy(group).agg(F.ceil(needed).cast("int").alias(name))
 
     shape = blocks_of(members, "of_members").join(blocks_of(minors, "of_minors"), group)
     place = F.xxhash64("cls", F.lit(7))
@@ -311,8 +316,11 @@ def _dealt(members: DataFrame, minors: DataFrame, group: str) -> DataFrame:
 def _open_links(buckets: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between different components that share a bucket.
 
-    ``buckets`` (key, cls), ``sets`` (cls, sig, shingles), ``found`` (node, component).
+    ``buckets`` (key, cls, and n if it is known), ``sets`` (cls, sig, shingles), ``found``
+    (node, component).
     """
+    if "n" not in buckets.columns:
+        buckets = buckets.join(sets.select("cls", (F.octet_length("shingles") / 8).alias("n")), "cls")
     labelled = stage(buckets.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "component", F.coalesce("component", "cls")))
     per = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
@@ -321,12 +329,12 @@ def _open_links(buckets: DataFrame, sets: DataFrame, found: DataFrame) -> DataFr
     ).filter("parts > 1").select("key", F.col("top.component").alias("largest"), "parts")
     minors = stage(labelled.join(shape, "key").filter("component <> largest"))
     # with the largest component of the bucket, as a whole
-    asks = minors.select("cls", "component", "largest").distinct()
-    members = labelled.select("cls", "component").distinct().join(
+    asks = minors.select("cls", "component", "largest", "n").distinct()
+    members = labelled.select("cls", "component", "n").distinct().join(
         asks.select(F.col("largest").alias("component")).distinct(), "component").withColumn("largest", F.col("component"))
     with_largest = _dealt(members, asks, "largest")
     # and with each other; a bucket of two components has no others
-    others = minors.filter("parts > 2").select("key", "cls", "component")
+    others = minors.filter("parts > 2").select("key", "cls", "component", "n")
     blocks = with_largest.unionAll(_dealt(others, others, "key"))
     links = (
         blocks.join(sets, "cls").repartition("block").sortWithinPartitions("block")
@@ -367,7 +375,7 @@ def near_links(classes: Classes) -> DataFrame:
     """Confirmed links (a, b) between classes, enough of them for the components."""
     table = classes.table
     members = table.select("cls", "sig", "n")
-    banded = table.select("cls", F.explode("bands").alias("key"))
+    banded = table.select("cls", "n", F.explode("bands").alias("key"))
     leaders = banded.groupBy("key").agg(
         F.min_by("cls", F.xxhash64("cls", "key")).alias("leader"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     buckets = stage(banded.join(leaders.select("key", "leader"), "key"))
@@ -381,7 +389,7 @@ def near_links(classes: Classes) -> DataFrame:
         .filter(F.col("differing") <= _most_differing())
     )
     links = _star_links(pairs, sets)
-    return links.unionAll(stage(_open_links(buckets.select("key", "cls"), sets, components(links))))
+    return links.unionAll(stage(_open_links(buckets.select("key", "cls", "n"), sets, components(links))))
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

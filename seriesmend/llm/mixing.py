@@ -9,9 +9,11 @@ up to the word where the budget ends.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesmend.llm.common import WORD, fresh, quoted, text_of
+from seriesmend.plans.staging import stage
 
 ROWS_PER_RANGE = 4_000     # documents sorted by one task at a time
 RANGES_PER_GROUP = 10_000  # ranges summed by one task at a time
@@ -107,6 +109,31 @@ def mix(docs: DataFrame, into: str, size: Column, doc_id: str = "doc_id", source
     )).select(*[quoted(c) for c in docs.columns], quoted(into))
 
 
+def taken_documents(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
+    """The documents as often as the mix takes them (see ``copies``), with their own columns.
+
+    Only narrow rows are sorted and summed.  The texts meet them afterwards by their place
+    in the files that ``docs`` is read from; other frames are written first.
+    """
+    if not _has_places(docs):
+        docs = stage(docs)
+    place, tie, size, into = (fresh(docs, c) for c in ("place_", "tie_", "words_", "mix_"))
+    placed = docs.withColumn(place, F.struct("_metadata.file_path", "_metadata.row_index"))
+    keys = [c for c in (settings.get("doc_id", "doc_id"), settings.get("source", "source"))]
+    narrow = placed.select(place, *[quoted(c) for c in keys], words_in(text).alias(size), F.xxhash64(quoted(text)).alias(tie))
+    mixed = mix(stage(narrow), into, quoted(size), ties=(tie,), **settings)
+    wanted = mixed.filter(quoted(into)["taken"] > 0).select(place, into)
+    return copies(placed.join(wanted, place).drop(place), into, text).select(*[quoted(c) for c in docs.columns])
+
+
+def _has_places(docs: DataFrame) -> bool:
+    try:
+        docs.select("_metadata.row_index").schema
+    except AnalysisException:
+        return False
+    return True
+
+
 def copies(mixed: DataFrame, into: str, text: str = "text") -> DataFrame:
     """One row per epoch in which a document is taken, without the struct ``into``.
 
