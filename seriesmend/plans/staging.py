@@ -26,6 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Staged tables hold whole texts and rows of few columns alike: a task buffers one row group.
+ROW_GROUP_BYTES = 32 << 20
+
 # folders written by this process and not dropped yet
 _written: list[str] = []
 
@@ -39,7 +42,7 @@ def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder or shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
