@@ -25,6 +25,7 @@ from seriesmend.plans.staging import delete_folder, shared_folder, stage
 from seriesmend.session import require_utc
 from seriesmend.sinks.exports import check_same_rows, diff_output, full_output, merged_output, series_output
 from seriesmend.sinks.files import SUFFIXES, output_path, path_exists, qualified, write_output
+from seriesmend.sinks.rewrite import finish_rewrite, rewrite_changed
 from seriesmend.sources.annotations import (
     FILE_ORDER,
     annotation_geometry,
@@ -399,9 +400,13 @@ class Workbench:
         if not earlier:
             return write_output(full_output(frame, self._columns, new), path, fmt)
         # an earlier full output is the source, so fixes of other variables stay
+        if fmt == "parquet":
+            finish_rewrite(self.spark, path)
         table = read_table(self.spark, path, self._output_schema(path, names))
         fixed = frame.select(*self.row_id, *[named(c).alias(n) for n, c in new.items()])
         check_same_rows(table, fixed, self.row_id)
+        if fmt == "parquet" and rewrite_changed(self.spark, path, fixed, self.row_id, names) is not None:
+            return path
         return write_output(merged_output(table, fixed, self.row_id, names), path, fmt)
 
     def _output_schema(self, path: str, names: list[str]) -> T.StructType | None:

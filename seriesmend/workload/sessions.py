@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from seriesmend.model import SeriesSpec
 from seriesmend.operators.detect import detect_frozen
 from seriesmend.plans.staging import shared_folder
+from seriesmend.sinks.files import output_path
 from seriesmend.sources.tables import read_table
 from seriesmend.sources.variables import unpivot_variables
 from seriesmend.workbench import Workbench
@@ -45,6 +46,24 @@ def session_full_merge(spark, folder):
     return spark.read.parquet(path)
 
 
+@query(
+    "save_full_changed_files",
+    """SELECT event_id, event_type, user_id, ts, props,
+         CASE WHEN event_id BETWEEN 500 AND 620 THEN value - 3 ELSE value END AS value
+       FROM events""",
+)
+def save_full_changed_files(spark, folder):
+    """Eight output files; a second session's edit lies in some of them, the others stay."""
+    output = _output_folder(spark)
+    whole = table(spark, folder, "events")
+    path = output_path(f"{folder}/events.parquet", "full", folder=output)
+    whole.repartitionByRange(8, "event_id").write.parquet(path)
+    with _session(spark, folder, output) as bench:
+        bench.apply("value", "offset", {"amount": -3}, F.col("event_id").between(500, 620))
+        bench.save("full")
+    return spark.read.parquet(path)
+
+
 @query(
     "session_edit_replay",
     """SELECT event_id, CASE WHEN event_type = 'error' AND value > 300 THEN NULL
