@@ -78,6 +78,7 @@ def _restored(s: LogState, _: int) -> LogState:
 STEPS = {
     "apply": _applied, "undo": _undone, "remove": _removed, "restore": _restored,
     "reset": lambda s, _: LogState(),
+    "save": lambda s, _: s,
 }
 
 
@@ -119,7 +120,7 @@ class EditLog:
 
     def act(self, action: Action) -> None:
         self.actions = (*self.actions, action)
-        self.dirty = True
+        self.dirty = action.kind != "save"
 
     def _add(self, kind: str, target: int = -1) -> None:
         self.act(Action(kind, target))
@@ -156,6 +157,11 @@ class EditLog:
         """Forget all edits."""
         self._add("reset")
 
+    def saved(self) -> None:
+        """An output has been written: nothing is dirty until the next change."""
+        if self.dirty:
+            self._add("save")
+
     def deleting_layers(self, ops: dict[int, str]) -> list[tuple[int, bool]]:
         """``(seq, was a delete)`` in layer order; undo leaves the mark alone."""
         return [(seq, ops[seq] == "delete") for seq, side in self.layers if side == NEW]

@@ -85,13 +85,20 @@ class PatchStore:
         return {int(r["_sm_seq"]): r["count"] for r in counted}
 
     def patches(self, seqs) -> DataFrame | None:
-        """The stored rows of some edits, with ``_sm_seq``."""
-        seqs = sorted(set(seqs))
+        """The stored rows of some edits, with ``_sm_seq``; an edit without rows has no folder."""
+        there = self._edits_there() if seqs else set()
+        seqs = sorted(set(seqs) & there)
         if not seqs:
             return None
         stored = self.spark.read.option("basePath", self.folder).parquet(*[self.path(n) for n in seqs])
         return stored.withColumn("_sm_seq", F.col("_sm_seq").cast("int"))
 
+    def _edits_there(self) -> set[int]:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        system = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
+        return {int(n.rpartition("=")[2]) for n in names if n.startswith("_sm_seq=")}
+
     # --- snapshots ---------------------------------------------------------------
 
     @property
@@ -160,7 +167,7 @@ class PatchStore:
     def tail(self, layers: list[tuple[int, str]], first: int) -> DataFrame | None:
         """Rows (key, layer, value) of the layers from the ``first`` one on, not yet reduced."""
         numbered = [(i, seq, side == NEW) for i, (seq, side) in enumerate(layers) if i >= first]
-        stored = self.patches(seq for _, seq, _ in numbered)
+        stored = self.patches([seq for _, seq, _ in numbered])
         if stored is None:
             return None
         # as long as the list of edits on the driver
@@ -195,13 +202,14 @@ def replay_stored(frame: DataFrame, spec: SeriesSpec, stores: list[tuple[PatchSt
     all variables are one grouped table and one join; a snapshot is joined bucket by bucket,
     on the key the frame is then already dealt by.
     """
-    columns, tails, bases = frame.columns, [], []
+    columns, tails, tailed, bases = frame.columns, [], [], []
     for i, (store, layers, _, _) in enumerate(stores):
         base = store.best(layers)
         bases.append(base)
         tail = store.tail(layers, len(base.layers) if base else 0)
         if tail is not None:
             tails.append(tail.withColumn("_sm_of", F.lit(i)))
+            tailed.append(i)
     value = {i: named(raw) for i, (_, _, raw, _) in enumerate(stores)}
     if any(bases) or tails:
         frame = frame.withColumn(KEY, row_text(spec))
@@ -215,7 +223,7 @@ def replay_stored(frame: DataFrame, spec: SeriesSpec, stores: list[tuple[PatchSt
         rows = tails[0]
         for other in tails[1:]:
             rows = rows.unionAll(other)
-        wanted = sorted({i for i, (s, layers, _, _) in enumerate(stores) if len(layers) > (len(bases[i].layers) if bases[i] else 0)})
+        wanted = sorted(tailed)
         last = []
         for i in wanted:
             own = F.col("_sm_of") == i

@@ -20,7 +20,8 @@ from seriesmend.operators.detectors import detect
 from seriesmend.operators.select import freeze_selection, nearest_point, x_range, y_range
 from seriesmend.operators.view import SHOWN_POINTS, display, downsample_peak, downsample_stride, series_extent
 from seriesmend.plans.blocks import Layout
-from seriesmend.plans.history import Action, Edit, EditLog, deleted_rows, latest_patch, patched_values
+from seriesmend.plans.history import Action, Edit, EditLog, deleted_rows
+from seriesmend.plans.patches import PatchStore, replay_stored
 from seriesmend.plans.staging import delete_folder, shared_folder, stage
 from seriesmend.session import require_utc
 from seriesmend.sinks.exports import check_same_rows, diff_output, full_output, merged_output, series_output
@@ -45,6 +46,8 @@ from seriesmend.sources.variables import reading
 TIME, EPOCH = "_time", "_x"
 FAR = 1.7e308   # an open end of a range
 
+TIME_SWITCH = "time column"   # a stored action that isn't a variable's: its name is the column
+
 # a stored action; the last four belong to an applied edit
 LOG = (
     "variable string, folder string, number int, kind string, target int, "
@@ -52,10 +55,15 @@ LOG = (
 )
 
 
+class SessionConflict(RuntimeError):
+    """Another driver has changed the session; open it again to go on from there."""
+
+
 @dataclass
 class Variable:
     name: str
     folder: str
+    store: PatchStore
     log: EditLog = field(default_factory=EditLog)
     ops: dict[int, str] = field(default_factory=dict)
 
@@ -67,8 +75,10 @@ class Workbench:
     a row; without it the position in the source does.  Outputs go beside the source
     or to ``output_folder``.  ``close`` (or leaving a ``with`` block) deletes what the
     session has written for itself.  Until then ``session_folder`` holds the patches
-    and the log of actions: a new Workbench with ``session=`` that folder goes on
-    where a lost driver left off.
+    and the log of actions, saves and switches of the time column included: a new
+    Workbench with ``session=`` that folder goes on where a lost driver left off.  With
+    ``guarded``, of two drivers that change one session one wins and the other gets
+    ``SessionConflict``, before anything of its change is written; without, the last wins.
     """
 
     def __init__(
@@ -80,6 +90,7 @@ class Workbench:
         schema=None,
         output_folder: str | None = None,
         session: str | None = None,
+        guarded: bool = False,
     ):
         require_utc(spark)
         self.spark = spark
@@ -105,6 +116,7 @@ class Workbench:
         self.has_row_id = bool(row_id)
         self.variables: dict[str, Variable] = {}
         self.events: DataFrame | None = None
+        self._version, self._switched, self._guarded = 0, False, guarded
         if session:
             self._read_log()
 
@@ -120,6 +132,8 @@ class Workbench:
 
     def close(self) -> None:
         """Delete the session's patches and numbered rows; its frames are then void."""
+        for variable in self.variables.values():
+            variable.store.drop()
         delete_folder(self.spark, self._folder)
 
     def _with_positions(self, table: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
@@ -175,8 +189,10 @@ class Workbench:
             return
         if name not in self._columns:
             raise ValueError(f"no column {name}")
-        self.time_column = name
+        self._claim()
+        self.time_column, self._switched = name, True
         self.variables.clear()
+        self._write_log()
 
     def load_events(self, path: str) -> None:
         self.events = load_annotations(self.spark, path)
@@ -190,37 +206,66 @@ class Workbench:
             raise ValueError(f"no column {name}")
         if name not in self.variables:
             folder = f"{self._folder}/{len(self.variables)}-{uuid.uuid4().hex[:8]}"
-            self.variables[name] = Variable(name, folder)
+            self.variables[name] = Variable(name, folder, PatchStore(self.spark, folder, self.spec))
         return self.variables[name]
 
     # --- the stored log ----------------------------------------------------------
 
+    def _claim(self) -> None:
+        """Take the next version of the log, before anything of it is written."""
+        if not self._guarded:
+            self._version += 1
+            return
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._folder}/claims/{self._version + 1}")
+        system = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            system.create(where, False).close()   # fails if it is there
+        except Exception as e:
+            if not system.exists(where):
+                raise
+            raise SessionConflict(f"another driver has changed {self._folder}; open it again") from e
+        self._version += 1
+
     def _write_log(self) -> None:
-        """All actions of all variables, one small table per version."""
-        rows = []
+        """All actions of all variables, one small table per claimed version."""
+        rows = [(self.time_column, None, -1, TIME_SWITCH, -1, None, None, None, None)] if self._switched else []
         for v in self.variables.values():
             for n, action in enumerate(v.log.actions):
                 edit = v.log.known[action.target] if action.kind == "apply" else None
                 told = (edit.op_id, edit.label, edit.applied_at, edit.points) if edit else (None,) * 4
                 rows.append((v.name, v.folder, n, action.kind, action.target, *told))
         log = self.spark.createDataFrame(rows, LOG).coalesce(1)
-        log.write.mode("overwrite").parquet(f"{self._folder}/log/version={len(rows)}")
+        log.write.mode("overwrite").parquet(f"{self._folder}/log/version={self._version}")
 
     def _read_log(self) -> None:
         path = f"{self._folder}/log"
+        # a version that was claimed and not written belongs to a lost driver
+        self._version = max((int(n) for n in self._listed("claims")), default=0)
         if not path_exists(self.spark, path):
             return
-        stored = self.spark.read.parquet(path)
+        stored = self.spark.read.schema(f"{LOG}, version int").parquet(path)
         last = stored.agg(F.max("version")).first()[0]
+        self._version = max(self._version, last or 0)
         # as many rows as there were actions
-        for r in stored.filter(F.col("version") == last).orderBy("variable", "number").collect():
-            variable = self.variables.setdefault(r.variable, Variable(r.variable, r.folder))
+        for r in stored.filter(F.col("version") == last).orderBy("number", "variable").collect():
+            if r.kind == TIME_SWITCH:
+                self.time_column, self._switched = r.variable, True
+                continue
+            store = PatchStore(self.spark, r.folder, self.spec)
+            variable = self.variables.setdefault(r.variable, Variable(r.variable, r.folder, store))
             if r.kind == "apply":
                 variable.log.apply(r.op_id, r.label, r.points, r.applied_at)
                 variable.ops[r.target] = r.op_id
             else:
                 variable.log.act(Action(r.kind, r.target))
 
+    def _listed(self, name: str) -> list[str]:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._folder}/{name}")
+        system = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(where):
+            return []
+        return [n for n in (s.getPath().getName() for s in system.listStatus(where)) if n.isdigit()]
+
     # --- frames ----------------------------------------------------------------
 
     def _base(self, names: list[str]) -> DataFrame:
@@ -235,27 +280,13 @@ class Workbench:
             *[reading(named(n), kinds[n].dataType).alias(f"_sm_raw_{i}") for i, n in enumerate(names)],
         )
 
-    def _patches(self, variable: Variable) -> DataFrame | None:
-        numbers = sorted({seq for seq, _ in variable.log.layers})
-        if not numbers:
-            return None
-        stored = self.spark.read.option("basePath", variable.folder).parquet(
-            *[f"{variable.folder}/_sm_seq={n}" for n in numbers]
-        )
-        return stored.withColumn("_sm_seq", F.col("_sm_seq").cast("int"))
-
     def _frame(self, names: list[str]) -> DataFrame:
         """``_base`` plus ``_sm_new_<i>``, the corrected value of each variable."""
-        frame = self._base(names)
-        for i, n in enumerate(names):
-            variable = self.variables[n]
-            patches = self._patches(variable)
-            if patches is None:
-                frame = frame.withColumn(f"_sm_new_{i}", F.col(f"_sm_raw_{i}"))
-                continue
-            latest = latest_patch(patches, variable.log.layers, self.spec)
-            frame = patched_values(frame, latest, self.spec, f"_sm_raw_{i}", f"_sm_new_{i}")
-        return frame
+        stores = [
+            (self.variables[n].store, self.variables[n].log.layers, f"_sm_raw_{i}", f"_sm_new_{i}")
+            for i, n in enumerate(names)
+        ]
+        return replay_stored(self._base(names), self.spec, stores)
 
     def readings(self, name: str) -> DataFrame:
         """Row key, ``_x`` (epoch seconds), ``raw`` and ``corrected`` of one variable."""
@@ -268,7 +299,7 @@ class Workbench:
     def deleted(self, name: str) -> DataFrame:
         """Row keys that were deleted on purpose (not missing from the start)."""
         variable = self.open_variable(name)
-        patches = self._patches(variable)
+        patches = variable.store.patches([seq for seq, _ in variable.log.layers])
         marks = variable.log.deleting_layers(variable.ops)
         if patches is None or not marks:
             return self._base([]).select(*self.spec.row_key).limit(0)
@@ -348,33 +379,35 @@ class Workbench:
             frame = mark_rows(frame, self.spec, where)
             where = F.col("_picked")
         patch = correction_patch(frame, self.spec, op, params, where, costly=True)
-        path = f"{variable.folder}/_sm_seq={variable.log.next_seq}"
-        patch.write.mode("overwrite").parquet(path)
-        points = self.spark.read.parquet(path).count()
+        self._claim()
+        points = variable.store.write(patch, variable.log.next_seq)
         if points == 0:
             return None
         edit = variable.log.apply(op, label or op, points, datetime.datetime.now())
         variable.ops[edit.seq] = op
         self._write_log()
+        if variable.store.due(variable.log.layers, {e.seq: e.points for e in variable.log.known.values()}):
+            variable.store.compact(variable.log.layers)
         return edit
 
-    def _logged(self, edit: Edit | None) -> Edit | None:
-        if edit is not None:
-            self._write_log()
+    def _change(self, name: str, action: str, *args) -> Edit | None:
+        variable = self.open_variable(name)
+        self._claim()
+        edit = getattr(variable.log, action)(*args)
+        self._write_log()
         return edit
 
     def undo(self, name: str) -> Edit | None:
-        return self._logged(self.open_variable(name).log.undo())
+        return self._change(name, "undo")
 
     def remove_edit(self, name: str, position: int) -> Edit | None:
-        return self._logged(self.open_variable(name).log.remove(position))
+        return self._change(name, "remove", position)
 
     def restore_edit(self, name: str) -> Edit | None:
-        return self._logged(self.open_variable(name).log.restore())
+        return self._change(name, "restore")
 
     def reset(self, name: str) -> None:
-        self.open_variable(name).log.reset()
-        self._write_log()
+        self._change(name, "reset")
 
     def history(self, name: str) -> list[Edit]:
         return list(self.open_variable(name).log.edits)
@@ -468,5 +501,8 @@ class Workbench:
         return paths
 
     def _mark_clean(self) -> None:
+        """Any save clears all variables, also for whoever opens the session again."""
+        self._claim()
         for variable in self.variables.values():
-            variable.log.dirty = False
+            variable.log.saved()
+        self._write_log()

@@ -6,9 +6,10 @@ import shutil
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from seriesmend.plans import patches
 from seriesmend.plans.staging import drop_staged, shared_folder, stage, staging_scope
 from seriesmend.sinks.files import path_exists, write_output
-from seriesmend.workbench import Workbench
+from seriesmend.workbench import SessionConflict, Workbench
 
 
 def table(spark, path, rows=6, **columns):
@@ -177,3 +178,69 @@ def test_views_of_a_session(spark, tmp_path):
         assert bench.display("air").count() == 12 and bench.display("air", "raw").count() == 6
         assert bench.thin_peaks("air", 3.0).count() == 4
         assert bench.thin_selection("air", rows, 1).count() == 1
+
+
+def test_of_two_drivers_one_wins_and_one_is_told(spark, tmp_path):
+    path = table(spark, tmp_path / "t.parquet")
+    first = Workbench(spark, path, row_id=("id",), guarded=True)
+    first.apply("air", "offset", {"amount": 10}, F.col("raw") > 3)
+    second = Workbench(spark, path, row_id=("id",), session=first.session_folder, guarded=True)
+    second.apply("air", "delete", {}, F.col("raw") == 1)
+    with pytest.raises(SessionConflict):
+        first.apply("air", "replace", {"value": 7}, F.col("raw") == 2)
+    with pytest.raises(SessionConflict):
+        first.undo("air")
+    again = Workbench(spark, path, row_id=("id",), session=first.session_folder, guarded=True)
+    assert [e.op_id for e in again.history("air")] == ["offset", "delete"]
+    assert [r.corrected for r in again.readings("air").orderBy("id").collect()] == [0, None, 2, 3, 14, 15]
+    again.undo("air")
+    assert [r.corrected for r in again.readings("air").orderBy("id").collect()] == [0, 1, 2, 3, 14, 15]
+    again.close()
+
+
+def test_a_saved_session_is_clean_when_it_is_opened_again(spark, tmp_path):
+    path = table(spark, tmp_path / "t.parquet")
+    bench = Workbench(spark, path, row_id=("id",))
+    bench.apply("air", "offset", {"amount": 10}, F.col("raw") > 3)
+    bench.apply("water", "offset", {"amount": 1}, F.col("raw") > 3)
+    bench.save("diff")
+    again = Workbench(spark, path, row_id=("id",), session=bench.session_folder)
+    assert again.dirty_variables == [] and again.save("full") is None
+    again.undo("water")
+    assert Workbench(spark, path, row_id=("id",), session=bench.session_folder).dirty_variables == ["water"]
+    again.close()
+
+
+def test_the_time_column_is_remembered(spark, tmp_path):
+    path = table(spark, tmp_path / "t.parquet")
+    bench = Workbench(spark, path, row_id=("id",))
+    bench.apply("air", "offset", {"amount": 10}, F.col("raw") > 3)
+    bench.set_time_column("water")
+    again = Workbench(spark, path, row_id=("id",), session=bench.session_folder)
+    assert again.time_column == "water" and again.variables == {}
+    again.apply("air", "offset", {"amount": 1}, F.col("raw") > 3)
+    third = Workbench(spark, path, row_id=("id",), session=bench.session_folder)
+    assert third.time_column == "water" and [e.op_id for e in third.history("air")] == ["offset"]
+    assert [r._x for r in third.readings("air").orderBy("id").collect()] == [0, 10, 20, 30, 40, 50]
+    third.close()
+
+
+def test_many_edits_are_compacted_in_a_session(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(patches, "LEAST_TAIL", 3)
+    path = table(spark, tmp_path / "t.parquet", rows=20)
+    bench = Workbench(spark, path, row_id=("id",))
+    want = {i: float(i) for i in range(20)}
+    for k in range(8):
+        bench.apply("air", "offset", {"amount": k}, F.col("id") % 4 == k % 4)
+        want = {i: v + k * (i % 4 == k % 4) for i, v in want.items()}
+    store = bench.variables["air"].store
+    assert len(store.snapshots) >= 2
+    read = lambda b: {r.id: r.corrected for r in b.readings("air").collect()}
+    assert read(bench) == want
+    bench.remove_edit("air", 7)
+    bench.undo("air")
+    again = Workbench(spark, path, row_id=("id",), session=bench.session_folder)
+    assert len(again.variables["air"].store.snapshots) == len(store.snapshots)
+    # the edits 6 and 7 are gone
+    assert read(again) == read(bench) == {i: v - 6 * (i % 4 == 2) - 7 * (i % 4 == 3) for i, v in want.items()}
+    again.close()
