@@ -4,7 +4,12 @@ A response record (its bytes, in the WARC format) becomes two records.  The
 conversion record holds the page's text, the metadata record a JSON envelope with
 the source's WARC and HTTP headers, its digests, the page's title and its links.
 Both name the response in WARC-Refers-To and have identifiers that follow from it,
-so that a repeated run writes equal records.
+so that a repeated run writes equal records.  A response without a date gets that of
+``NO_DATE``, and so do its records, since the format asks for one and a run has none to give.
+
+Nulls: see ``responses`` and ``derivatives``.  Repeated rows give equal records, with equal
+identifiers; an empty table gives none.  A page of any length is read whole, in time that
+grows with its length, one page at a time.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ BREAKING = frozenset(
     "address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main "
     "nav ol p pre section table td th title tr ul".split()
 )
+NO_DATE = "1970-01-01T00:00:00Z"
 HIDDEN = ("script", "style", "noscript", "template")
 _ENDS = {name: re.compile(f"</{name}", re.I | re.A) for name in (*HIDDEN, "title")}
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
@@ -47,10 +53,20 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 def parsed(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
     """Headers in order, and the block, of a record's bytes."""
+    headers, block, _ = parsed_with_length(data)
+    return headers, block
+
+
+def parsed_with_length(data: bytes) -> tuple[list[tuple[str, str]], bytes, bool]:
+    """The same, and whether Content-Length told the block's size.
+
+    Where it is missing, no number, negative or beyond the end, the block is the rest.
+    """
     head, _, rest = data.partition(END)
     headers = [tuple(line.split(": ", 1)) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line]
-    size = next((int(v) for k, v in headers if k.lower() == "content-length"), len(rest))
-    return headers, rest[:size]
+    told = next((v.strip() for k, v in headers if k.lower() == "content-length"), "")
+    sound = told.isascii() and told.isdigit() and len(told) < 19 and int(told) <= len(rest)
+    return headers, rest[: int(told)] if sound else rest, sound
 
 
 def page_text(page: str) -> tuple[str, str, list[str]]:
@@ -59,9 +75,13 @@ def page_text(page: str) -> tuple[str, str, list[str]]:
     What never ends (a comment, a script, a tag) hides the rest of the page.
     """
     out, links, title, at = [], [], "", 0
+    missing = set()   # closing tags that don't come any more
+
     def ending(name: str, at: int) -> int:
         """The place of a closing tag, in any case of A-Z."""
-        found = _ENDS[name].search(page, at)
+        found = None if name in missing else _ENDS[name].search(page, at)
+        if found is None:
+            missing.add(name)
         return found.start() if found else -1
 
     while True:
@@ -112,7 +132,7 @@ def _derived_id(kind: str, source: str) -> str:
 
 def derive(response: bytes) -> list[tuple[str, str, str, str, str, str, int, bytes]]:
     """(kind, id, refers to, target, source payload digest, block digest, length, bytes), twice."""
-    headers, block = parsed(response)
+    headers, block, sound = parsed_with_length(response)
     known = {k.lower(): v for k, v in headers}
     status, http, payload = http_parts(block)
     source = known.get("warc-record-id", "")
@@ -120,7 +140,8 @@ def derive(response: bytes) -> list[tuple[str, str, str, str, str, str, int, byt
     title, text, links = page_text(payload.decode("utf-8", "replace"))
     envelope = {
         "source": {"warc_headers": headers, "status": status, "http_headers": http,
-                   "block_digest": digest(block), "payload_digest": payload_digest, "payload_length": len(payload)},
+                   "block_digest": digest(block), "payload_digest": payload_digest, "payload_length": len(payload),
+                   "length_known": sound},
         "page": {"title": title, "links": links, "text_length": len(text)},
     }
     blocks = (("conversion", "text/plain", text.encode()),
@@ -129,7 +150,8 @@ def derive(response: bytes) -> list[tuple[str, str, str, str, str, str, int, byt
     for kind, mime, body in blocks:
         own = _derived_id(kind, source)
         fields = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", source)]
-        fields += [(k, known[k.lower()]) for k in ("WARC-Target-URI", "WARC-Date", "WARC-Warcinfo-ID") if k.lower() in known]
+        fields += [("WARC-Date", known.get("warc-date") or NO_DATE)]
+        fields += [(k, known[k.lower()]) for k in ("WARC-Target-URI", "WARC-Warcinfo-ID") if k.lower() in known]
         fields += [("WARC-Source-Payload-Digest", payload_digest), ("WARC-Block-Digest", digest(body)), ("Content-Type", mime)]
         out.append((kind, own, source, known.get("warc-target-uri", ""), payload_digest, digest(body), len(body),
                     record(fields, body)))
@@ -160,7 +182,7 @@ def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
                 own = uuid.uuid5(uuid.NAMESPACE_URL, f"response:{key}:{uri}:{digest(payload)}")
                 made.append(record([
                     ("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{own}>"), ("WARC-Target-URI", uri),
-                    ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block)),
+                    ("WARC-Date", NO_DATE), ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block)),
                     ("Content-Type", "application/http; msgtype=response")], block))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=[page_id, into])
 

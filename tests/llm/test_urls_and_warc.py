@@ -1,4 +1,10 @@
+import base64
+import hashlib
 import json
+import time
+from html.parser import HTMLParser
+
+import pytest
 import random
 
 import duckdb
@@ -105,3 +111,81 @@ def test_odd_responses(spark):
     got = warc.derivatives(records).collect()
     assert sorted(r.page_id for r in got) == [2, 2, 3, 3] and {r.refers_to for r in got} == {""}
     assert warc.derivatives(records.limit(0)).count() == 0
+
+
+class PlainReader(HTMLParser):
+    """The same text and links by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.title, self.links, self.parts, self.hidden, self.titles = "", [], [], 0, 0
+        self.in_title = False
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in warc.BREAKING:
+            self.parts.append("\n")
+        self.hidden += tag in warc.HIDDEN
+        self.in_title = tag == "title"
+        if tag == "a" and dict(attrs).get("href") is not None:
+            self.links.append(dict(attrs)["href"])
+
+    def handle_endtag(self, tag):
+        if tag in warc.BREAKING:
+            self.parts.append("\n")
+        self.hidden -= tag in warc.HIDDEN
+        self.in_title = False
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title += data
+        if not self.hidden:
+            self.parts.append(data)
+
+    def text(self):
+        lines = (" ".join(line.split()) for line in "".join(self.parts).split("\n"))
+        return "\n".join(line for line in lines if line)
+
+
+def test_every_page_against_the_standard_parser(spark, small):
+    """Texts, titles, links, identifiers, digests and lengths of the whole query."""
+    pages = {r.page_id: r for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    got = QUERIES["op10_warc_derivatives"](spark, small).collect()
+    assert len(got) == 2 * len(pages) and len({r.record_id for r in got}) == len(got)
+    for r in got:
+        page = pages[r.page_id]
+        payload = page.html.encode()
+        plain = PlainReader(page.html)
+        head, _, body = bytes(r.record).partition(b"\r\n\r\n")
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        sha1 = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        assert r.target_uri == page.url == fields["WARC-Target-URI"] and r.payload_digest == sha1
+        assert fields["WARC-Date"] == warc.NO_DATE and body[int(fields["Content-Length"]):] == b"\r\n\r\n"
+        block = body[:-4]
+        if r.record_type == "conversion":
+            assert block.decode() == plain.text()
+        else:
+            meta = json.loads(block)
+            assert meta["page"]["links"] == plain.links and meta["page"]["title"] == " ".join(plain.title.split())
+            source = dict(meta["source"]["warc_headers"])
+            assert source["WARC-Record-ID"] == r.refers_to and meta["source"]["payload_length"] == len(payload)
+            assert meta["source"]["length_known"] is True
+
+
+@pytest.mark.parametrize("told", ["abc", "-5", "", "1e3", "9" * 30, "١٢"])
+def test_a_length_that_is_none_takes_the_rest(spark, told):
+    response = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<x>")], b"HTTP/1.1 200 OK\r\n\r\n<p>text").replace(
+        b"Content-Length: 26", f"Content-Length: {told}".encode())
+    got = warc.derivatives(spark.createDataFrame([(1, response)], "page_id long, response binary")).collect()
+    by_kind = {r.record_type: warc.parsed(bytes(r.record)) for r in got}
+    assert by_kind["conversion"][1] == b"text"
+    assert json.loads(by_kind["metadata"][1])["source"]["length_known"] is False
+    assert dict(by_kind["conversion"][0])["WARC-Date"] == warc.NO_DATE
+
+
+@pytest.mark.parametrize("page", ["<title>" * 150_000, "<title>a" * 100_000 + "</title>", "<a href=" * 120_000, "<script>" * 100_000, "<" * 500_000, "<p " * 300_000])
+def test_a_hostile_page_takes_linear_time(page):
+    started = time.time()
+    warc.page_text(page)
+    assert time.time() - started < 5
