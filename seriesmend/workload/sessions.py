@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from seriesmend.model import SeriesSpec
+from seriesmend.operators.coincide import coincident_runs
 from seriesmend.operators.detect import detect_frozen
 from seriesmend.plans.staging import shared_folder
 from seriesmend.sinks.files import output_path
@@ -119,3 +120,31 @@ def detect_frozen_variables(spark, folder):
     long = unpivot_variables(table(spark, folder, "lineitem"), LINE_VARIABLES, LINE_KEY)
     found = detect_frozen(long, LINE_SERIES, 3, 0.0)
     return found.select("variable", "l_orderkey", "l_linenumber", F.col("score").cast("long").alias("length"))
+
+
+def coincident_sql(k: int) -> str:
+    order = f"l_shipdate, {', '.join(LINE_KEY[:-1])}"
+    flags = []
+    for v in LINE_VARIABLES:
+        flags.append(f"""SELECT *, count(*) OVER (PARTITION BY run) >= 2 AS stuck FROM (
+          SELECT *, sum(brk) OVER (ORDER BY {order}) AS run FROM (
+            SELECT {', '.join(LINE_KEY)}, CASE WHEN abs({v} - lag({v}) OVER w) <= 0.03 THEN 0 ELSE 1 END AS brk
+            FROM lineitem WINDOW w AS (ORDER BY {order})))""")
+    return f"""SELECT {k} AS variables, min(l_shipdate) AS start_l_shipdate, max(l_shipdate) AS end_l_shipdate,
+        arg_min(l_orderkey, place) AS start_l_orderkey, arg_max(l_orderkey, place) AS end_l_orderkey, count(*) AS points
+      FROM (SELECT *, place - row_number() OVER (ORDER BY place) AS island FROM (
+        SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM (
+          SELECT {', '.join(LINE_KEY)}, sum(stuck::INT) AS together FROM ({" UNION ALL ".join(f"({f})" for f in flags)})
+          GROUP BY {', '.join(LINE_KEY)})) WHERE together >= {k})
+      GROUP BY island"""
+
+
+@query("coincident_runs", " UNION ALL ".join(f"({coincident_sql(k)})" for k in (2, 3)))
+def q_coincident_runs(spark, folder):
+    """Where two or three of the variables of the lines hardly move at the same time."""
+    long = unpivot_variables(table(spark, folder, "lineitem"), LINE_VARIABLES, LINE_KEY)
+    shown = ("start_l_shipdate", "end_l_shipdate", "start_l_orderkey", "end_l_orderkey", "points")
+    found = [
+        coincident_runs(long, LINE_SERIES, k, 2, 0.03).select(F.lit(k).alias("variables"), *shown) for k in (2, 3)
+    ]
+    return found[0].unionByName(found[1])
