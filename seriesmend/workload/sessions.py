@@ -12,9 +12,10 @@ from seriesmend.operators.detect import detect_frozen
 from seriesmend.plans.staging import shared_folder
 from seriesmend.sinks.files import output_path
 from seriesmend.sources.tables import read_table
+from seriesmend.streaming.frozen import current_runs, run_stream, stream_runs
 from seriesmend.sources.variables import unpivot_variables
 from seriesmend.workbench import Workbench
-from seriesmend.workload.registry import LINE_KEY, query, table
+from seriesmend.workload.registry import GAPPED_SQL, LINE_KEY, READINGS, gapped, query, table
 from seriesmend.workload.sources_and_selection import LINE_VARIABLES
 
 
@@ -148,3 +149,32 @@ def q_coincident_runs(spark, folder):
         coincident_runs(long, LINE_SERIES, k, 2, 0.03).select(F.lit(k).alias("variables"), *shown) for k in (2, 3)
     ]
     return found[0].unionByName(found[1])
+
+
+STREAM_SQL = f"""
+  WITH steps AS (
+    SELECT *, CASE WHEN abs(value - lag(value) OVER w) <= 5 THEN 0 ELSE 1 END AS brk
+    FROM (SELECT event_id, event_type, ts, {GAPPED_SQL} AS value FROM events)
+    WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+  runs AS (SELECT *, sum(brk) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run FROM steps)
+  SELECT event_type, min(ts) AS start_ts, max(ts) AS end_ts, arg_min(event_id, (ts, event_id)) AS start_event_id,
+    arg_max(event_id, (ts, event_id)) AS end_event_id, count(*) AS points
+  FROM runs GROUP BY event_type, run HAVING count(*) >= 2
+"""
+
+
+@query("stream_frozen", STREAM_SQL)
+def stream_frozen(spark, folder):
+    """The readings arrive in four files, some up to an hour late; the stream is restarted once."""
+    root = _output_folder(spark)
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(3_600_000_000))
+    events = gapped(spark, folder).select("event_id", "event_type", "ts", "value", arrival.alias("arrival"))
+    ends = events.agg(F.min("arrival").alias("low"), F.max("arrival").alias("high")).first()
+    step = ((ends["high"] - ends["low"]) // 4 + 1) if ends["low"] is not None else 1
+    part = F.floor((F.col("arrival") - (ends["low"] or 0)) / step)
+    for n in range(4):
+        events.filter(part == n).drop("arrival").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        if n % 2:
+            stream = spark.readStream.schema(events.drop("arrival").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+            run_stream(stream_runs(stream, READINGS, "2 hours", 2, 5.0), f"{root}/out", f"{root}/state")
+    return current_runs(spark.read.parquet(f"{root}/out"), READINGS)
