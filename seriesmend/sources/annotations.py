@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seriesmend.sources.tables import TEMPORAL_TYPES, read_table
 from seriesmend.sources.timeaxis import parse_time_text
+from seriesmend.sources.timeshapes import TimeShapes, shapes_of, time_by_shapes
 
 EVERY_TABLE = "*"
 
@@ -20,19 +21,42 @@ def annotation_time(df: DataFrame, name: str) -> Column:
     return parse_time_text(F.col(name).cast("string"))
 
 
-def normalize_annotations(df: DataFrame) -> DataFrame:
-    """Add ``start_dt``, ``end_dt`` and ``is_punctual`` (no end, or end = start)."""
+def annotation_shapes(df: DataFrame) -> TimeShapes:
+    """The order of numeric dates in an annotation table, decided on all starts and ends."""
+    return shapes_of(df, *[c for c in ("start", "end") if c in df.columns])
+
+
+def unread_annotation_times(df: DataFrame) -> int:
+    """Starts and ends of a normalized table that hold a text and yet no time."""
+    counts = [
+        F.count_if((F.trim(F.col(c).cast("string")) != "") & F.col(f"{c}_dt").isNull())
+        for c in ("start", "end") if c in df.columns
+    ]
+    return sum(df.agg(*counts).first()) if counts else 0
+
+
+def normalize_annotations(df: DataFrame, shapes: TimeShapes | None = None) -> DataFrame:
+    """Add ``start_dt``, ``end_dt`` and ``is_punctual`` (no end, or end = start).
+
+    ``shapes`` (see ``annotation_shapes``) is how dates in texts are read; without it, ISO
+    layouts and those with the day first.
+    """
     if "start" not in df.columns:
         raise ValueError("an annotation table needs a column start")
-    end = annotation_time(df, "end") if "end" in df.columns else F.lit(None).cast("timestamp_ntz")
-    timed = df.withColumn("start_dt", annotation_time(df, "start")).withColumn("end_dt", end)
+    read = annotation_time if shapes is None else lambda df, name: time_by_shapes(df, name, shapes)
+    end = read(df, "end") if "end" in df.columns else F.lit(None).cast("timestamp_ntz")
+    timed = df.withColumn("start_dt", read(df, "start")).withColumn("end_dt", end)
     return timed.withColumn(
         "is_punctual", F.col("end_dt").isNull() | (F.col("end_dt") == F.col("start_dt"))
     )
 
 
 def load_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Read and normalize; ``FILE_ORDER`` columns keep the order of the file."""
+    """Read and normalize; ``FILE_ORDER`` columns keep the order of the file.
+
+    The layout of its times is found from all of them.  ``event_no`` orders the rows of a
+    part of a file and is no lasting identity: another split of the file numbers anew.
+    """
     read = read_table(spark, path, infer=False)
     placed = read.select(
         "*",
@@ -40,7 +64,7 @@ def load_annotations(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("event_block"),
         F.monotonically_increasing_id().alias("event_no"),
     )
-    return normalize_annotations(placed)
+    return normalize_annotations(placed, annotation_shapes(read))
 
 
 def annotations_for_table(df: DataFrame, table: str) -> DataFrame:

@@ -33,6 +33,7 @@ from seriesmend.sources.annotations import (
     annotation_text,
     annotations_for_table,
     load_annotations,
+    unread_annotation_times,
 )
 from seriesmend.sources.tables import (
     find_time_column,
@@ -197,6 +198,10 @@ class Workbench:
     def load_events(self, path: str) -> None:
         self.events = load_annotations(self.spark, path)
 
+    def unread_event_times(self) -> int:
+        """Starts and ends of the loaded events that are in no known layout."""
+        return 0 if self.events is None else unread_annotation_times(self.events)
+
     @property
     def events_for_table(self) -> DataFrame | None:
         return None if self.events is None else annotations_for_table(self.events, self.name)

@@ -11,13 +11,15 @@ from seriesmend.operators.bitmaps import RowIndex
 from seriesmend.operators.correct import correct
 from seriesmend.operators.detect import candidates_as_selection, detect_frozen
 from seriesmend.sources.annotations import (
+    annotation_shapes,
     annotation_geometry,
     annotation_text,
     annotations_for_table,
     normalize_annotations,
 )
 from seriesmend.sources.tables import find_time_column, table_summary
-from seriesmend.sources.timeaxis import epoch_micros, formats_for, unread_times, with_time_axis
+from seriesmend.sources.timeshapes import shapes_of, time_by_shapes
+from seriesmend.sources.timeaxis import epoch_micros, epoch_seconds, formats_for, unread_times, with_time_axis
 from seriesmend.sources.variables import open_variable, unpivot_variables
 from seriesmend.workload.registry import (
     GAPPED_SQL,
@@ -391,3 +393,43 @@ def select_bitmap_algebra(spark, folder):
     for op, chosen in sets.items():
         out = out.unionByName(chosen.rows().select(F.lit(op).alias("op"), "event_id"))
     return out
+
+
+# layouts a column may have, and how exact they are in seconds
+LAYOUTS = {
+    "MM/dd/yyyy hh:mm a": 60, "dd.MM.yy HH:mm:ss": 1, "MMM d, yyyy": 86400, "d MMMM yyyy h:mm:ss a": 1,
+    "yyyy/MM/dd HH:mm": 60, "EEE, dd-MMM-yy HH:mm": 60,
+}
+DAY_SECONDS = "(o_orderkey * 7919) % 86400"
+
+
+@query("time_axis_shapes", " UNION ALL ".join(
+    f"""SELECT {i} AS layout, o_orderkey, floor((epoch_us(o_orderdate) / 1000000 + {DAY_SECONDS}) / {exact}) * {exact}::DOUBLE AS x_epoch
+        FROM orders""" for i, exact in enumerate(LAYOUTS.values())))
+def time_axis_shapes(spark, folder):
+    """Dates of orders written in six layouts, each column read by what its fields tell."""
+    at = F.timestamp_seconds(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1_000_000 + F.expr(DAY_SECONDS))
+    orders = table(spark, folder, "orders").select("o_orderkey", *[
+        F.date_format(at, layout).alias(f"t{i}") for i, layout in enumerate(LAYOUTS)])
+    out = None
+    for i in range(len(LAYOUTS)):
+        x = epoch_seconds(time_by_shapes(orders, f"t{i}", shapes_of(orders, f"t{i}")))
+        part = orders.select(F.lit(i).alias("layout"), "o_orderkey", x.alias("x_epoch"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "events_month_first",
+    """SELECT o_orderkey, date_trunc('minute', o_orderdate) AS start_dt,
+         CASE WHEN o_orderkey % 3 > 0 THEN date_trunc('minute', o_orderdate + INTERVAL 1 DAY * (o_orderkey % 3 - 1)) END AS end_dt,
+         o_orderkey % 3 < 2 AS is_punctual
+       FROM orders""",
+)
+def events_month_first(spark, folder):
+    """Annotations whose times are texts with the month first, AM and PM."""
+    text = lambda c: F.date_format(c, "MM/dd/yyyy hh:mm a")
+    day = F.col("o_orderkey") % 3
+    end = F.when(day > 0, text(F.col("o_orderdate") + F.make_dt_interval(days=(day - 1).cast("int"))))
+    noted = table(spark, folder, "orders").select("o_orderkey", text(F.col("o_orderdate")).alias("start"), end.alias("end"))
+    return normalize_annotations(noted, annotation_shapes(noted)).select("o_orderkey", "start_dt", "end_dt", "is_punctual")
