@@ -11,6 +11,7 @@ from seriesmend.operators.coincide import coincident_runs
 from seriesmend.operators.detect import detect_frozen
 from seriesmend.plans.staging import shared_folder
 from seriesmend.sinks.files import output_path
+from seriesmend.sources.footers import ranges_from_footers, summary_from_footers
 from seriesmend.sources.tables import read_table
 from seriesmend.streaming.frozen import current_runs, run_stream, stream_runs
 from seriesmend.sources.variables import unpivot_variables
@@ -178,3 +179,17 @@ def stream_frozen(spark, folder):
             stream = spark.readStream.schema(events.drop("arrival").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
             run_stream(stream_runs(stream, READINGS, "2 hours", 2, 5.0), f"{root}/out", f"{root}/state")
     return current_runs(spark.read.parquet(f"{root}/out"), READINGS)
+
+
+@query("table_summary_metadata", "SELECT count(*) AS rows, (SELECT count(*) - 1 FROM (DESCRIBE SELECT * FROM lineitem))::INT AS variables FROM lineitem")
+def table_summary_metadata(spark, folder):
+    """Rows and variables of the lines, from footers."""
+    return summary_from_footers(spark, f"{folder}/lineitem.parquet")
+
+
+@query("series_extent_metadata", " UNION ALL ".join(
+    f"SELECT '{v}' AS variable, min({v})::DOUBLE AS y_min, max({v})::DOUBLE AS y_max, count({v}) AS present FROM lineitem"
+    for v in (*LINE_VARIABLES, "l_linenumber")))
+def series_extent_metadata(spark, folder):
+    """The ranges of five columns of the lines, from footers."""
+    return ranges_from_footers(spark, f"{folder}/lineitem.parquet", [*LINE_VARIABLES, "l_linenumber"])
