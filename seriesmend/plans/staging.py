@@ -31,6 +31,18 @@ ROW_GROUP_BYTES = 32 << 20
 
 # folders written by this process and not dropped yet
 _written: list[str] = []
+# where tables are staged at present, innermost last; else in the shared folder
+_homes: list[str] = []
+
+
+@contextlib.contextmanager
+def staged_in(folder: str):
+    """Stage tables under a folder that somebody else deletes."""
+    _homes.append(folder)
+    try:
+        yield
+    finally:
+        _homes.pop()
 
 
 def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
@@ -40,7 +52,8 @@ def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     until ``drop_staged``.
     """
     spark = df.sparkSession
-    path = f"{folder or shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    home = folder or (_homes[-1] if _homes else shared_folder(spark))
+    path = f"{home}/stage-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

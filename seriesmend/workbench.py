@@ -8,6 +8,7 @@ DataFrame computed from both.
 from __future__ import annotations
 
 import datetime
+import functools
 import uuid
 from dataclasses import dataclass, field
 
@@ -22,7 +23,7 @@ from seriesmend.operators.view import SHOWN_POINTS, display, downsample_peak, do
 from seriesmend.plans.blocks import Layout
 from seriesmend.plans.history import Action, Edit, EditLog, deleted_rows
 from seriesmend.plans.patches import PatchStore, replay_stored
-from seriesmend.plans.staging import delete_folder, shared_folder, stage
+from seriesmend.plans.staging import delete_folder, shared_folder, stage, staged_in
 from seriesmend.session import require_utc
 from seriesmend.sinks.exports import check_same_rows, diff_output, full_output, merged_output, series_output
 from seriesmend.sinks.files import SUFFIXES, output_path, path_exists, qualified, write_output
@@ -56,6 +57,17 @@ LOG = (
 )
 
 
+def _owned(method):
+    """What a method stages belongs to the session."""
+
+    @functools.wraps(method)
+    def run(self, *args, **more):
+        with staged_in(self.session_folder):
+            return method(self, *args, **more)
+
+    return run
+
+
 class SessionConflict(RuntimeError):
     """Another driver has changed the session; open it again to go on from there."""
 
@@ -312,6 +324,7 @@ class Workbench:
 
     # --- selecting, detecting, correcting ----------------------------------------
 
+    @_owned
     def select(self, name: str, where: Column) -> DataFrame:
         """Row keys selected by the values as they are now."""
         return freeze_selection(self.readings(name), where, self.spec)
@@ -329,6 +342,7 @@ class Workbench:
     def selection_count(self, rows: DataFrame) -> int:
         return rows.count()
 
+    @_owned
     def extent(self, name: str, mode: str = "both") -> DataFrame:
         """Per series: first and last time, and the range of the finite values shown."""
         return series_extent(self.readings(name), self.spec, EPOCH, mode)
@@ -337,19 +351,23 @@ class Workbench:
         """The curves to draw: raw, corrected or both, in long form."""
         return display(self.readings(name), mode, (*self.spec.row_key, EPOCH))
 
+    @_owned
     def thin_peaks(self, name: str, bucket_seconds: float) -> DataFrame:
         """The lowest and highest corrected reading of every time bucket."""
         return downsample_peak(self.readings(name), self.spec, TIME, bucket_seconds)
 
+    @_owned
     def thin_selection(self, name: str, rows: DataFrame, shown: int = SHOWN_POINTS) -> DataFrame:
         """Every k-th selected row, so that at most about ``shown`` of a series are drawn."""
         marked = mark_rows(self.readings(name), self.spec, rows)
         return downsample_stride(marked, self.spec, F.col("_picked"), shown)
 
+    @_owned
     def select_point(self, name: str, x: float) -> DataFrame:
         """The row nearest to ``x`` (epoch seconds) in every series, with its value."""
         return nearest_point(self.readings(name), self.spec, EPOCH, float(x))
 
+    @_owned
     def annotate(self, name: str, tolerance_s: float = 0.0) -> DataFrame:
         """Readings with the text of the first loaded event that covers them."""
         if self.events is None:
@@ -361,11 +379,13 @@ class Workbench:
             self.readings(name), shown, TIME, FILE_ORDER, ("event",), tolerance_s
         )
 
+    @_owned
     def detect(
         self, name: str, detector: str, params: dict | None = None, layout: Layout = Layout()
     ) -> DataFrame:
         return detect(self.readings(name), self.spec, detector, params, layout)
 
+    @_owned
     def apply(
         self,
         name: str,
@@ -481,6 +501,7 @@ class Workbench:
             write_output(frame.select(*key, *[named(c).cast("double").alias(v) for v, c in full.items()]), beside)
         return write_output(full_output(frame, self._columns, full), path, fmt)
 
+    @_owned
     def save(self, mode: str = "full", fmt: str = "parquet") -> str | None:
         """Write one output of all dirty variables; None if nothing is dirty."""
         output_path(self.source, mode, fmt, self.output_folder)
@@ -491,6 +512,7 @@ class Workbench:
         self._mark_clean()
         return path
 
+    @_owned
     def save_all(self, fmt: str = "parquet") -> dict[str, str]:
         """All three outputs from one snapshot of the corrected values."""
         names = self.dirty_variables

@@ -244,3 +244,17 @@ def test_many_edits_are_compacted_in_a_session(spark, tmp_path, monkeypatch):
     # the edits 6 and 7 are gone
     assert read(again) == read(bench) == {i: v - 6 * (i % 4 == 2) - 7 * (i % 4 == 3) for i, v in want.items()}
     again.close()
+
+
+def test_a_closed_session_leaves_only_its_outputs(spark, tmp_path):
+    folder = shared_folder(spark).removeprefix("file:")
+    path = table(spark, tmp_path / "t.parquet")
+    before = set(os.listdir(folder))
+    with Workbench(spark, path, row_id=("id",)) as bench:
+        rows = bench.select("air", F.col("raw") > 2)
+        bench.apply("air", "expression", {"expr": "x - np.median(x)"}, rows)
+        bench.apply("air", "delete", {}, bench.detect("air", "spike", {"z_thresh": 1.0}))
+        assert bench.select_point("air", 3.0).count() == 1
+        bench.save_all()
+        assert len(os.listdir(folder)) == len(before) + 1
+    assert set(os.listdir(folder)) == before
