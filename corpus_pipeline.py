@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seriesmend.llm import cuckoo, minhash, mixing, pieces, quality
-from seriesmend.plans.staging import shared_folder
+from seriesmend.plans.staging import delete_folder, shared_folder, staging_scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,10 +70,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again."""
+    """All stages over ``documents``; each stage's rows are written and read again.
+
+    What a stage has staged, and the stage before it, is deleted once it is written.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (_, step) in enumerate(STAGES):
-        step(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
+        with staging_scope(spark):
+            step(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
+        if n:
+            delete_folder(spark, f"{folder}/{n - 1}")
     return docs
