@@ -98,6 +98,7 @@ def _scaled(current: Column, factor: float) -> Column:
     return ieee.to_missing(current * float(factor))
 
 
+# Ids, parameter names, choices and defaults of the built-in corrections.
 register_correction(Correction("delete", lambda v, p: _missing(v)))
 register_correction(
     Correction("replace", lambda v, p: _constant(v, p["value"]), (Param("value", "float", 0.0),))
