@@ -28,6 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 # Staged tables hold whole texts and rows of few columns alike: a task buffers one row group.
 ROW_GROUP_BYTES = 32 << 20
+# Set while a table is staged: its shuffle files go when it is written, not at some later collection.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 # folders written by this process and not dropped yet
 _written: list[str] = []
@@ -55,7 +57,15 @@ def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     home = folder or (_homes[-1] if _homes else shared_folder(spark))
     path = f"{home}/stage-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,8 @@
 import hashlib
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesmend.llm import substrings
 from seriesmend.llm.queries import QUERIES
+from seriesmend.plans.staging import FREE_SHUFFLES
 
 L = substrings.LENGTH
 
@@ -146,3 +149,16 @@ def test_blind_trie_alone():
         order, shares = substrings.blind_trie(strings, 3)
         ordered = [strings[i] for i in order]
         assert ordered == sorted(strings) and shares[1:] == shares_of(ordered)
+
+
+def test_shuffles_of_staged_tables_are_freed(spark, docs_of):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    docs = docs_of(list(enumerate(corpus(3))))
+    before = files()
+    substrings.repeated_spans(docs)   # a plan over staged tables, not run
+    deadline = time.time() + 20
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(FREE_SHUFFLES, None) is None
