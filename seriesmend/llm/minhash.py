@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesmend.llm.common import fresh, quoted, text_of
-from seriesmend.llm.components import components
+from seriesmend.llm.components import between, components, joined
 from seriesmend.plans.staging import stage
 
 WORDS, BANDS, PER_BAND, BITS = 5, 32, 4, 4
@@ -350,29 +350,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         _overlaps, "a binary, b binary")
 
 
-def _across(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components, with both components."""
-    found = components(links)
-    ends = [found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab"]
-    joined = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").withColumns(
-        {f"of_{c}": F.coalesce(f"of_{c}", c) for c in "ab"})
-    return joined.filter("of_a <> of_b")
-
-
-def _star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links among ``pairs`` (a, b, differing): the likeliest pair of each
-    class, then of every two components.  What these leave apart is for the blocks."""
+def _star_components(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component) by confirmed links among ``pairs`` (a, b, differing): the
+    likeliest pair of each class, then of every two components.  What these leave apart
+    is for the blocks."""
     def best(some: DataFrame, *by) -> DataFrame:
         return some.groupBy(*by).agg(F.min(F.struct("differing", "a", "b")).alias("p")).select("p.a", "p.b")
 
-    links = stage(_confirmed(best(pairs, "b"), sets))
-    across = _across(pairs, links)
-    between = best(across, F.least("of_a", "of_b"), F.greatest("of_a", "of_b"))
-    return stage(links.unionAll(_confirmed(between, sets)))
+    found = components(_confirmed(best(pairs, "b"), sets))
+    across = between(found, pairs)
+    return joined(found, _confirmed(best(across, F.least("of_a", "of_b"), F.greatest("of_a", "of_b")), sets))
 
 
-def near_links(classes: Classes) -> DataFrame:
-    """Confirmed links (a, b) between classes, enough of them for the components."""
+def near_components(classes: Classes) -> DataFrame:
+    """(node, component) of the classes that confirmed links connect with others."""
     table = classes.table
     members = table.select("cls", "sig", "n")
     banded = table.select("cls", "n", F.explode("bands").alias("key"))
@@ -388,8 +379,8 @@ def near_links(classes: Classes) -> DataFrame:
         .select("a", "b", _differing(F.col("sig_a"), F.col("sig_b")).alias("differing"))
         .filter(F.col("differing") <= _most_differing())
     )
-    links = _star_links(pairs, sets)
-    return links.unionAll(stage(_open_links(buckets.select("key", "cls", "n"), sets, components(links))))
+    found = _star_components(pairs, sets)
+    return joined(found, _open_links(buckets.select("key", "cls", "n"), sets, found))
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -408,7 +399,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     whole = text_of(text)
     rows = docs.select(
         quoted(doc_id).cast("long").alias("doc_id"), text_hash(whole).alias("text_hash"), whole.alias("text"))
-    found = components(near_links(Classes(table, rows)))
+    found = near_components(Classes(table, rows))
     labelled = table.select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash")).join(
         found.withColumnRenamed("node", "cls"), "cls", "left"
     ).withColumn("component", F.coalesce("component", "cls"))

@@ -138,3 +138,27 @@ def test_components_of_random_graphs(spark, seed):
     nodes = {n for a, b in links if a != b for n in (a, b)}
     assert {r.node: r.component for r in got.collect()} == roots(nodes, [x for x in links if x[0] != x[1]])
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_grow_by_links_between_them(spark):
+    rng = random.Random(5)
+    some, more = ([(rng.randrange(60), rng.randrange(60)) for _ in range(n)] for n in (25, 20))
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    want = {(r.node, r.component) for r in components.components(frame(some + more)).collect()}
+    got = components.joined(components.components(frame(some)), frame(more)).collect()
+    assert len(got) == len(want) and {(r.node, r.component) for r in got} == want
+
+
+def test_near_copies_need_few_stages(spark, docs_of):
+    # with hundreds of partitions, the time of small tables is that of their stages' tasks
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(words[:40] + [f"x{i}"] + words[40:])) for i in range(12)]
+    spark.sparkContext.setJobGroup("near copies", "")
+    try:
+        got = minhash.label(docs_of(rows)).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.component_id for r in got} == {0}
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("near copies") for s in tracker.getJobInfo(j).stageIds}
+    assert len(stages) < 120
