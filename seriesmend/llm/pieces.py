@@ -92,14 +92,18 @@ class PieceModel:
         self.dummy_prefix = bool(normaliser.get(3, 1))
         self.squeeze = bool(normaliser.get(4, 1))
         self.ids = {p: i for i, (p, _, t) in enumerate(self.pieces) if t in (NORMAL, USER_DEFINED)}
+        self.scores = {p: self.pieces[i][1] for p, i in self.ids.items()}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.unknown = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
-        self.trie: dict = {}
+        # a branch is its final piece, if any, and the node behind it
+        self.trie: dict[str, list] = {}
         for piece, i in self.ids.items():
-            node = self.trie
+            node, branch = self.trie, [None, {}]
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
+                branch = node.setdefault(c, [None, {}])
+                node = branch[1]
+            branch[0] = i
+        self.single = {c for c, (piece, _) in self.trie.items() if piece is not None}
         self._joins: dict[int, bool] = {}   # of two pieces, by one number
         self._older_joins: dict[int, bool] = {}
         self._paths: dict[str, bytes] = {}
@@ -156,32 +160,38 @@ class PieceModel:
         """The last arc (piece, start) of the path to each place that has a finite one.
 
         An arc costs 0 or infinity, so the first finite path to a place is its cheapest,
-        and there is no other.
+        and there is no other: the search may go on from the furthest place, and ends
+        with a path through the text.  Where characters can fall back to bytes, it goes
+        from place to place, as those arcs stand back behind all others.
         """
         n = len(text)
         last, start = [None] * (n + 1), [0] * (n + 1)
         last[0] = -1
         trie, joins, size = self.trie, self._joins, len(self.pieces)
-        for i in range(n):
+        plain = self.single.issuperset(text)
+        waiting = [0] if plain else list(range(n - 1, -1, -1))
+        while waiting and last[n] is None:
+            i = waiting.pop()
             before = last[i]
             if before is None:
                 continue
-            node, j = trie, i
+            node = trie
             key = before * size if before >= 0 else -1
-            while j < n:
-                node = node.get(text[j])
-                if node is None:
+            for j in range(i, n):
+                branch = node.get(text[j])
+                if branch is None:
                     break
-                j += 1
-                piece = node.get("")
-                if piece is None or last[j] is not None:
+                piece, node = branch
+                if piece is None or last[j + 1] is not None:
                     continue
                 if key >= 0:
                     fits = joins.get(key + piece)
                     if not (self._join(before, piece) if fits is None else fits):
                         continue
-                last[j], start[j] = piece, i
-            if last[i + 1] is None and "" not in trie.get(text[i], ()):
+                last[j + 1], start[j + 1] = piece, i
+                if plain:
+                    waiting.append(j + 1)
+            if last[i + 1] is None and text[i] not in self.single:
                 last[i + 1], start[i + 1] = -2, i   # byte fallback: nothing merges with it
         if last[n] is None:
             raise ValueError("no path through the text")
@@ -195,10 +205,10 @@ class PieceModel:
         for i in range(n):
             node, known = self.trie, False
             for j in range(i, n):
-                node = node.get(text[j])
-                if node is None:
+                branch = node.get(text[j])
+                if branch is None:
                     break
-                piece = node.get("")
+                piece, node = branch
                 if piece is not None:
                     known = known or j == i
                     arc = cost[i] - self.pieces[piece][1]
@@ -214,7 +224,8 @@ class PieceModel:
         known = self._older_joins.get(key)
         if known is None:
             first, second = self.pieces[a][0], self.pieces[b][0]
-            known = self.merged(first + second) == [first, second]
+            # a piece of both would be merged too
+            known = first + second not in self.ids and self.merged(first + second) == [first, second]
         if len(self._joins) >= JOINS // 2:
             self._older_joins, self._joins = self._joins, {}
         self._joins[key] = known
@@ -222,16 +233,20 @@ class PieceModel:
 
     def merged(self, text: str) -> list[str]:
         """Highest score first, leftmost of equals: what a merge model defines."""
-        parts = list(text)
-        while True:
-            best, at = -math.inf, -1
-            for i in range(len(parts) - 1):
-                piece = self.ids.get(parts[i] + parts[i + 1])
-                if piece is not None and self.pieces[piece][1] > best:
-                    best, at = self.pieces[piece][1], i
-            if at < 0:
-                return parts
+        parts, score, none = list(text), self.scores.get, -math.inf
+        pairs = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == none:
+                break
+            at = pairs.index(best)
             parts[at: at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1], none)
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at], none)
+        return parts
 
     # the decoder
     def _compile_decoder(self) -> None:

@@ -145,3 +145,19 @@ def test_frames_round_trip(spark, docs_of):
     assert back == {i: t or "" for i, t in enumerate(texts)}
     assert all(r.round_trip for r in pieces.encode_checked(docs).collect())
     assert pieces.encode(docs_of([])).count() == 0
+
+
+def test_search_ends_with_a_path_through_the_text():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    with open(pieces.MODEL, "rb") as file:
+        model = pieces.PieceModel(file.read())
+    word = pieces.MARK + "the"
+    model.trie = Counted(model.trie)
+    assert model.shortest_path(word) == [model.ids[word]]
+    assert model.trie.asked == 1   # a search begins at the text's start alone
