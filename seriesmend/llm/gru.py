@@ -12,38 +12,40 @@ backpropagation over its own documents, and the parameters of all tasks are aver
 in a tree after each of ``ROUNDS`` disjoint parts of the corpus.  Scoring carries the
 state across windows, so that a document is scored as a whole however long it is.
 
-Counts come to the documents in chunks of bounded size: a chunk asks for the words
-it has, and gets them with their counts.  The vocabulary is never held in one place.
+Texts are split into words once, in chunks of bounded size that number the words they
+have.  A chunk asks for its words and gets their counts and ids; its documents are then
+written as ids, which learning and scoring read.  The vocabulary is never held in one place.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from seriesmend.llm.common import partitions_for, quoted, text_of
-from seriesmend.plans.staging import stage
+from seriesmend.plans.staging import drop_staged, stage, staged_tables
 
 CLASSES, PER_CLASS = 32, 32           # classes of frequent words, and ids in each class
 FREQUENT = CLASSES * PER_CLASS        # the end of a document is the first of them
 HIDDEN = 16
 LANES, WINDOW = 512, 32               # documents read side by side, steps of backpropagation
 STEPS = 24                            # windows that a batch of documents should have at least
+AT_ONCE = 2048                        # places whose classes are scored at once: stays in a processor's cache
+KEPT_BYTES = 30 << 20                 # see keep_freed_memory; the C library's limit is 32 MB
 ROUNDS = 2
 RATE = 0.05
 CHUNK_BYTES = 16 << 20                # text that shares one table of counts
+ROWS_AT_ONCE = 500                    # documents split into words at once
 TOKENS_AT_ONCE = 4_000_000            # read in one batch; 20 bytes each
-COUNTED_AT_ONCE = 300_000             # distinct words counted before they go out
 END, RARE = 0, FREQUENT               # ids; those of buckets begin at RARE
 BUCKETS_PER_ROOT = 2                  # buckets of other words, by the square root of the vocabulary
 AVERAGED_BYTES = 64 << 20             # of models that one task averages, if these are more than two
@@ -84,6 +86,10 @@ class Vocabulary:
     def totals(self) -> tuple[float, ...]:
         return self.buckets or (self.rare_total, *[0.0] * (PER_CLASS - 1))
 
+    @property
+    def id_type(self) -> type:
+        return np.uint16 if RARE + len(self.totals) <= 1 << 16 else np.int32
+
     def start(self) -> dict[str, np.ndarray]:
         """Parameters before learning: the shares of classes and words, and no memory."""
         rng = np.random.Generator(np.random.PCG64(7))
@@ -124,18 +130,23 @@ def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
     for name, of in SHAPES.items():
         shape = of(classes)
         size = math.prod(shape)
-        out[name] = flat[at: at + size].reshape(shape).astype(np.float32)
+        out[name] = flat[at: at + size].reshape(shape).astype(np.float32, copy=False)
         at += size
     return out
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exps(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """e to the scores, and its sums by row; rows are moved to a maximum of 0 (in place) only
+    where e to them would leave the floats' range."""
+    ones = np.ones(scores.shape[1], scores.dtype)
+    with np.errstate(over="ignore"):
+        found = np.exp(scores)
+        sums = found @ ones
+    if not (sums.min() > 1e-30 and sums.max() < 1e30):
+        scores -= scores.max(axis=1, keepdims=True)
+        found = np.exp(scores)
+        sums = found @ ones
+    return found, sums
 
 
 class Lanes:
@@ -164,192 +175,307 @@ class Lanes:
                 self.starts[at, lane] = True
                 at = end
         self.active = (self.doc >= 0).sum(axis=1)   # lanes are sorted, so these are the first
-
-
-def _read(p, lanes: Lanes, first: int, last: int, state: np.ndarray, trace: list | None) -> tuple:
-    """States after each step of a window, and the places (step, lane) they belong to."""
-    table = p["embed"] @ p["into"] + p["bias"]
-    again, n = p["again"], HIDDEN
-    states = []
-    for t in range(first, last):
+        self.begins = self.starts.any(axis=1)
+
+    def flat(self, what: np.ndarray, first: int, last: int) -> np.ndarray:
+        """The places of a window (step, lane) that belong to documents, step by step."""
+        width = self.targets.shape[1]
+        if self.active[last - 1] == width:   # never more than before
+            return what.reshape(-1, *what.shape[2:])
+        return what[np.arange(width) < self.active[first:last, None]]
+
+
+def _read(p, lanes: Lanes, first: int, last: int, state: np.ndarray, traced: bool = False) -> tuple:
+    """States (step, hidden, lane) in a window, and after it; with ``traced`` also what the
+    steps made: embeddings of the inputs, states before, gates and new states, and the
+    memory that the second gate lets through.  Lanes lie side by side in memory."""
+    n, width, kind = HIDDEN, lanes.targets.shape[1], p["embed"].dtype
+    embedded = p["embed"][lanes.inputs[first:last]]
+    read = p["into"].T @ embedded.swapaxes(1, 2)
+    read += p["bias"][:, None]
+    read[:, : 2 * n] *= 0.5   # sigmoid(x) is 0.5 * tanh(0.5 * x) + 0.5
+    again = p["again"].T.copy()
+    again[: 2 * n] *= 0.5
+    # places without a document stay 0
+    afters, befores, memories = (np.zeros((last - first, n, width), kind) if x else None for x in (True, traced, traced))
+    state = np.array(state.T, kind, order="C")
+    for i, t in enumerate(range(first, last)):
         k = lanes.active[t]
-        before = state[:k] * ~lanes.starts[t, :k, None]
-        a, u = table[lanes.inputs[t, :k]], before @ again
-        gates = sigmoid(a[:, : 2 * n] + u[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(a[:, 2 * n:] + r * u[:, 2 * n:])
-        after = new + z * (before - new)
-        state = state.copy()
-        state[:k] = after
-        states.append(after)
-        if trace is not None:
-            trace.append((before, z, r, new, u[:, 2 * n:], lanes.inputs[t, :k], lanes.starts[t, :k]))
-    return np.concatenate(states), state
+        before, own, after = state[:, :k], read[i, :, :k], afters[i, :, :k]
+        if lanes.begins[t]:
+            before[:, lanes.starts[t, :k]] = 0
+        u = again @ before
+        gates, new, memory = own[: 2 * n], own[2 * n:], u[2 * n:]
+        gates += u[: 2 * n]
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        if traced:
+            befores[i, :, :k], memories[i, :, :k] = before, memory
+        new += gates[n:] * memory
+        np.tanh(new, out=new)
+        np.subtract(before, new, out=after)
+        after *= gates[:n]
+        after += new
+        before[...] = after
+    return afters, state.T, (embedded, befores, read, memories)
+
+
+class _Grouped:
+    """Places sorted by class.  Classes with few of them are multiplied at once, each
+    filled up to as many rows; the others one by one."""
+
+    def __init__(self, classes: np.ndarray, sizes: np.ndarray):
+        most = max(8, 2 * len(classes) // len(sizes))
+        ends = np.cumsum(sizes)
+        self.few = np.flatnonzero((sizes > 0) & (sizes <= most))
+        self.many = [(c, slice(ends[c] - sizes[c], ends[c])) for c in np.flatnonzero(sizes > most).tolist()]
+        self.shape = len(self.few), int(sizes[self.few].max(initial=1))
+        begins = np.full(len(sizes), -1)
+        begins[self.few] = np.arange(len(self.few)) * self.shape[1] - (ends - sizes)[self.few]
+        self.places = np.flatnonzero((sizes <= most)[classes])
+        self.at = begins[classes[self.places]] + self.places
+
+    def filled(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[0] * self.shape[1], rows.shape[1]), rows.dtype)
+        out[self.at] = rows[self.places]
+        return out.reshape(*self.shape, rows.shape[1])
+
+    def times(self, rows: np.ndarray, filled: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """Each row times the matrix of its class."""
+        out = np.empty((len(rows), by.shape[2]), rows.dtype)
+        out[self.places] = (filled @ by[self.few]).reshape(-1, by.shape[2])[self.at]
+        for c, at in self.many:
+            np.matmul(rows[at], by[c], out=out[at])
+        return out
 
 
 def _predict(p, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
     """Log-probabilities (base e) of the targets, rare words up to their bucket; with
     ``grads``, also the gradient of their negated sum by the states."""
     classes = targets // PER_CLASS   # those of buckets come after those of words
-    rows = np.arange(len(targets))
-    scores = log_softmax(states @ p["to_class"] + p["class_bias"])
-    out = scores[rows, classes].astype(np.float64)
+    sizes = np.bincount(classes, minlength=len(p["to_word"]))
+    order = np.argsort(classes.astype(np.uint16) if len(sizes) < 1 << 16 else classes, kind="stable")
+    own, words, classes = np.ones((len(order), HIDDEN + 1), states.dtype), targets[order] % PER_CLASS, classes[order]
+    own[:, :HIDDEN] = states[order]   # and 1 for the biases of classes
+    rows, grouped = np.arange(len(order)), _Grouped(classes, sizes)
+    filled = grouped.filled(own[:, :HIDDEN])
+    scores = grouped.times(own[:, :HIDDEN], filled, p["to_word"])
+    scores += np.repeat(p["word_bias"], sizes, axis=0)
+    err, sums = _exps(scores)
+    found = scores[rows, words] - np.log(sums)
     if grads is not None:
-        err = np.exp(scores)
-        err[rows, classes] -= 1
-        grads["to_class"] += states.T @ err
-        grads["class_bias"] += err.sum(axis=0)
-        back = err @ p["to_class"].T
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(len(p["to_word"]) + 1))
-    for c in range(len(p["to_word"])):
-        at = order[cuts[c]: cuts[c + 1]]
-        if not len(at):
-            continue
-        own = states[at]
-        scores = log_softmax(own @ p["to_word"][c] + p["word_bias"][c])
-        word = targets[at] % PER_CLASS
-        out[at] += scores[np.arange(len(at)), word]
+        present = np.flatnonzero(sizes)
+        firsts = (np.cumsum(sizes) - sizes)[present]
+        err *= (1 / sums)[:, None]
+        err[rows, words] -= 1
+        wrong = grouped.filled(err)
+        back = grouped.times(err, wrong, p["to_word"].swapaxes(1, 2))
+        grads["to_word"][grouped.few] += filled.swapaxes(1, 2) @ wrong
+        for c, at in grouped.many:
+            grads["to_word"][c] += own[at, :HIDDEN].T @ err[at]
+        grads["word_bias"][present] += np.add.reduceat(err, firsts, axis=0)
+        # the chosen classes; what is expected of all follows
+        chosen = np.add.reduceat(own, firsts, axis=0)
+        grads["to_class"][:, present] -= chosen[:, :HIDDEN].T
+        grads["class_bias"][present] -= chosen[:, HIDDEN]
+        back -= p["to_class"].T[classes]
+    to_class = np.append(p["to_class"], p["class_bias"][None], axis=0)
+    for first in range(0, len(order), AT_ONCE):   # classes are as many as the words of several
+        at = slice(first, first + AT_ONCE)
+        scores = own[at] @ to_class
+        shares, sums = _exps(scores)
+        found[at] += scores[rows[: len(scores)], classes[at]] - np.log(sums)
         if grads is not None:
-            err = np.exp(scores)
-            err[np.arange(len(at)), word] -= 1
-            grads["to_word"][c] += own.T @ err
-            grads["word_bias"][c] += err.sum(axis=0)
-            back[at] += err @ p["to_word"][c].T
-    return out if grads is None else (out, back)
-
-
-def gradients(p, lanes: Lanes, first: int, last: int, state: np.ndarray):
-    """Loss, gradients and state of one window (backpropagation stops at its start)."""
-    grads = {n: np.zeros(v.shape, np.float32) for n, v in p.items()}
-    trace: list = []
-    states, state = _read(p, lanes, first, last, state, trace)
-    targets = np.concatenate([lanes.targets[t, : lanes.active[t]] for t in range(first, last)])
-    found, back = _predict(p, states, targets, grads)
-    inputs, errors, ends = [], [], np.cumsum([len(x[5]) for x in trace])
-    later = np.zeros((0, HIDDEN), np.float32)
-    for i in range(len(trace) - 1, -1, -1):
-        before, z, r, new, u, words, starts = trace[i]
-        dh = back[ends[i] - len(words): ends[i]].copy()
-        dh[: len(later)] += later
-        dnew = dh * (1 - z) * (1 - new * new)
-        dz, dr = dh * (before - new) * z * (1 - z), dnew * u * r * (1 - r)
-        du = np.concatenate([dz, dr, dnew * r], axis=1)
-        grads["again"] += before.T @ du
-        later = (dh * z + du @ p["again"].T) * ~starts[:, None]
-        inputs.append(words)
-        errors.append(np.concatenate([dz, dr, dnew], axis=1))
-    inputs, errors = np.concatenate(inputs), np.concatenate(errors)
-    grads["bias"] += errors.sum(axis=0)
-    grads["into"] += p["embed"][inputs].T @ errors
-    np.add.at(grads["embed"], inputs, errors @ p["into"].T)
+            inverse = (1 / sums)[:, None]
+            expected = (own[at] * inverse).T @ shares
+            grads["to_class"] += expected[:HIDDEN]
+            grads["class_bias"] += expected[HIDDEN]
+            back[at] += (shares @ p["to_class"].T) * inverse
+    out = np.empty(len(order))
+    out[order] = found
+    if grads is None:
+        return out
+    unsorted = np.empty_like(back)
+    unsorted[order] = back
+    return out, unsorted
+
+
+def gradients(p, lanes: Lanes, first: int, last: int, state: np.ndarray, grads: dict | None = None):
+    """Loss, gradients and state of one window (backpropagation stops at its start);
+    ``grads``, if given, are zeros to add them to."""
+    if grads is None:
+        grads = {n: np.zeros(v.shape, v.dtype) for n, v in p.items()}
+    n, width = HIDDEN, lanes.targets.shape[1]
+    afters, state, (embedded, before, read, memory) = _read(p, lanes, first, last, state, True)
+    targets = lanes.flat(lanes.targets[first:last], first, last)
+    found, by_state = _predict(p, lanes.flat(afters.swapaxes(1, 2), first, last), targets, grads)
+    back = np.zeros_like(afters)
+    if len(by_state) == (last - first) * width:
+        back[...] = by_state.reshape(-1, width, n).swapaxes(1, 2)
+    else:
+        back.swapaxes(1, 2)[np.arange(width) < lanes.active[first:last, None]] = by_state
+    # what an error of the state becomes in the three parts of a step: both gates and the new state
+    z, r, new = read[:, :n], read[:, n: 2 * n], read[:, 2 * n:]
+    by_new = (1 - z) * (1 - new * new)
+    parts = np.empty((last - first, 3, n, width), back.dtype)
+    np.multiply((before - new) * z, 1 - z, out=parts[:, 0])
+    np.multiply(by_new * memory * r, 1 - r, out=parts[:, 1])
+    np.multiply(by_new, r, out=parts[:, 2])
+    errors, later = parts.reshape(-1, 3 * n, width), None
+    for i in range(last - first - 1, -1, -1):
+        k = lanes.active[first + i]
+        dh = back[i, :, :k]
+        if later is not None:
+            dh[:, : later.shape[1]] += later
+        parts[i, :, :, :k] *= dh
+        parts[i, :, :, k:] = 0
+        later = p["again"] @ errors[i, :, :k]
+        later += dh * z[i, :, :k]
+        if lanes.begins[first + i]:
+            later[:, lanes.starts[first + i, :k]] = 0
+    grads["again"] += (before @ errors.swapaxes(1, 2)).sum(axis=0)
+    np.multiply(back, by_new, out=parts[:, 2])
+    grads["bias"] += errors.sum(axis=(0, 2))
+    grads["into"] += (embedded.swapaxes(1, 2) @ errors.swapaxes(1, 2)).sum(axis=0)
+    words = lanes.flat(lanes.inputs[first:last], first, last)
+    by_word = lanes.flat(errors.swapaxes(1, 2) @ p["into"].T, first, last)
+    order = np.argsort(words.astype(np.uint16) if len(p["embed"]) < 1 << 16 else words, kind="stable")
+    words = words[order]
+    firsts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+    grads["embed"][words[firsts]] += np.add.reduceat(by_word[order], firsts, axis=0)
     return -found.sum(), grads, state
 
 
+def keep_freed_memory() -> None:
+    """Let the C library keep the memory of a window's arrays for the next window: it gives back
+    what exceeds twice the largest block freed so far, and taking it anew costs a quarter of the time."""
+    block = np.empty(KEPT_BYTES, np.uint8)
+    del block
+
+
 def learn(p: dict, docs: list[np.ndarray], squares: dict) -> None:
     """One pass over the documents, a step per window; changes ``p`` and ``squares``."""
+    keep_freed_memory()
     # few tokens are read in fewer lanes, so that there are steps to learn from
     lanes = Lanes(docs, max(16, sum(map(len, docs)) // (STEPS * WINDOW)))
     state = np.zeros((lanes.targets.shape[1], HIDDEN), np.float32)
+    flat = np.zeros(sum(v.size for v in p.values()), np.float32)
+    grads = unpacked(flat)   # parts of it
+    change, own, total = np.empty_like(flat), packed(p), packed(squares)
+    p.update(unpacked(own))
+    squares.update(unpacked(total))
     for first in range(0, lanes.steps, WINDOW):
         last = min(first + WINDOW, lanes.steps)
-        _, grads, state = gradients(p, lanes, first, last, state)
-        count = lanes.active[first:last].sum()
-        for name, g in grads.items():
-            g /= count
-            squares[name] += g * g
-            p[name] -= RATE * g / (np.sqrt(squares[name]) + 1e-6)
+        flat[:] = 0
+        _, _, state = gradients(p, lanes, first, last, state, grads)
+        flat *= np.float32(1 / lanes.active[first:last].sum())
+        np.multiply(flat, flat, out=change)
+        total += change
+        np.sqrt(total, out=change)
+        change += 1e-6
+        np.divide(flat, change, out=change)
+        change *= RATE
+        own -= change
 
 
 def likelihoods(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     """Per document, the sum of its log-probabilities (base 10), rare words by bucket."""
+    keep_freed_memory()
     lanes = Lanes(docs, LANES)
     state = np.zeros((lanes.targets.shape[1], HIDDEN), np.float32)
     total = np.zeros(len(docs))
     for first in range(0, lanes.steps, WINDOW):
         last = min(first + WINDOW, lanes.steps)
-        states, state = _read(p, lanes, first, last, state, None)
-        places = [(lanes.targets[t, : lanes.active[t]], lanes.doc[t, : lanes.active[t]]) for t in range(first, last)]
-        found = _predict(p, states, np.concatenate([x for x, _ in places]))
-        total += np.bincount(np.concatenate([d for _, d in places]), found, len(docs))
+        states, state, _ = _read(p, lanes, first, last, state)
+        states, targets, owners = (
+            lanes.flat(x, first, last) for x in (states.swapaxes(1, 2), lanes.targets[first:last], lanes.doc[first:last]))
+        total += np.bincount(owners, _predict(p, states, targets), len(docs))
     return total / math.log(10)
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words, lower-cased in A-Z: bytes know no other white space or case."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, first all lowest bytes, then the next: the high ones are mostly zeros."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _ids(words: list[bytes], ids: Ids) -> np.ndarray:
-    return np.array([*map(ids.__getitem__, words), END], np.int32)
+def from_planes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0]
 
 
-CHUNKED = "chunk long, doc_id long, held_out boolean, text string"
+CODED = "chunk long, doc_id long, held_out boolean, codes binary, code int, word binary, n long"
 
 
-def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the chunks of a task; a chunk ends when it has enough text."""
-    chunk = held = 0
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Rows whose texts, and a byte for each, are no more than ``most``; or a single row."""
+    held, size = [], 0
     for batch in batches:
-        sizes = pc.binary_length(batch.column("text")).to_pylist()
-        numbers = []
-        for size in sizes:
-            if held and held + size > CHUNK_BYTES:
-                chunk, held = chunk + 1, 0
-            held += size
-            numbers.append(chunk)
-        part = pa.array(numbers, pa.int64())
-        base = batch.column("part").cast(pa.int64())
+        ends, first = np.append(0, np.cumsum(pc.binary_length(batch.column("text")).to_numpy() + np.int64(1))), 0
+        while first < batch.num_rows:
+            last = int(np.searchsorted(ends, ends[first] + most - size, "right")) - 1
+            last = max(last, first if held else first + 1)
+            if last > first:
+                held.append(batch.slice(first, last - first))
+                size, first = size + int(ends[last] - ends[first]), last
+            if first < batch.num_rows:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _coded(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of documents; within a chunk, words are numbered as they come.  A chunk has a
+    row per document with its words' numbers, and one per word: its number, and its count
+    in training documents (0: only held out)."""
+    names = [c.split()[0] for c in CODED.split(", ")]
+    for number, held in enumerate(_chunks(batches, most)):
+        doc_id, held_out = (pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "held_out"))
+        chunk = (held[0].column("part")[0].as_py() << 32) + number
+        ends, found = [np.zeros(1, np.int64)], []
+        for text in (b.column("text").slice(i, ROWS_AT_ONCE) for b in held for i in range(0, len(b), ROWS_AT_ONCE)):
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(text))   # of ASCII only, as the rule has it
+            real = pc.not_equal(lists.flatten(), "")   # there are empty ones at the ends of texts
+            inner = lists.offsets.to_numpy()
+            ends.append(np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))[inner[1:] - inner[0]] + ends[-1][-1])
+            found.append(lists.flatten().filter(real).dictionary_encode())
+        found = pa.chunked_array(found).unify_dictionaries()
+        known = found.chunk(0).dictionary.cast(pa.binary())   # all share it
+        codes, ends = np.concatenate([x.indices.to_numpy() for x in found.chunks]), np.concatenate(ends)
+        trained = np.repeat(~held_out.to_numpy(zero_copy_only=False), np.diff(ends))
+        counts = np.bincount(codes[trained], minlength=len(known))
+        ends = ends.tolist()
         yield pa.RecordBatch.from_arrays(
-            [pc.add(pc.multiply(base, pa.scalar(1 << 32, pa.int64())), part),
-             batch.column("doc_id"), batch.column("held_out"), batch.column("text")],
-            names=["chunk", "doc_id", "held_out", "text"])
+            [pa.array(np.full(len(doc_id), chunk)), doc_id, held_out,
+             pa.array([planes(codes[i:j]) for i, j in itertools.pairwise(ends)], pa.binary()),
+             *[pa.nulls(len(doc_id), kind) for kind in (pa.int32(), pa.binary(), pa.int64())]], names=names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(known), chunk)),
+             *[pa.nulls(len(known), kind) for kind in (pa.int64(), pa.bool_(), pa.binary())],
+             pa.array(np.arange(len(known), dtype=np.int32)), known, pa.array(counts)], names=names)
+    pa.default_memory_pool().release_unused()   # the worker goes on to other tasks
 
 
 def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, text and a chunk, written once.
+    """The documents in chunks, their words as numbers, and the words of each chunk; written once.
 
     Held out is what crc32 of the doc_id as text puts in class 1 of 5; a null doc_id
-    counts as empty.  A null text is empty.
+    counts as empty.  A null text is empty.  Rows of words have no held_out.
     """
     named = F.coalesce(quoted(doc_id).cast("string"), F.lit(""))
     rows = docs.select(
         F.spark_partition_id().alias("part"), quoted(doc_id).cast("long").alias("doc_id"),
         (F.crc32(named.cast("binary")) % 5 == 1).alias("held_out"), text_of(text).alias("text"))
-    return stage(rows.mapInArrow(_chunk, CHUNKED))
-
-
-ASKED = "chunk long, word binary, n long"
-
-
-def _words_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every word of a chunk with its count in training documents (0: only held out)."""
-    chunk, counts, others = None, Counter(), set()
-
-    def out():
-        words = [*counts, *[w for w in others if w not in counts]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([chunk] * len(words), pa.int64()), pa.array(words, pa.binary()),
-             pa.array([counts.get(w, 0) for w in words], pa.int64())], names=["chunk", "word", "n"])
-
-    for batch in batches:
-        for own, held, text in zip(*[batch.column(c).to_pylist() for c in ("chunk", "held_out", "text")]):
-            if own != chunk or len(counts) + len(others) > COUNTED_AT_ONCE:
-                if chunk is not None:
-                    yield from out()
-                chunk, counts, others = own, Counter(), set()
-            (others if held else counts).update(tokens(text))
-    if chunk is not None:
-        yield from out()
+    most = CHUNK_BYTES
+    return stage(rows.mapInArrow(lambda batches: _coded(batches, most), CODED))
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """chunk, word, n, c (its count in all training documents), one (true once per word)."""
-    asked = rows.mapInArrow(_words_of_chunks, ASKED)
-    return stage(asked.withColumns({
-        "c": F.expr("sum(n) OVER (PARTITION BY word)"),
-        "one": F.expr("row_number() OVER (PARTITION BY word ORDER BY chunk, n) = 1"),
-    }))
+    """chunk, code, word, c (its count in all training documents), one (true once per word)."""
+    asked = rows.filter("code IS NOT NULL").select("chunk", "code", "word", "n")
+    return stage(asked.select(
+        "chunk", "code", "word", F.expr("sum(n) OVER (PARTITION BY word)").alias("c"),
+        F.expr("chunk = min(chunk) OVER (PARTITION BY word)").alias("one")))
 
 
 def vocabulary(rows: DataFrame, counted: DataFrame) -> Vocabulary:
@@ -371,19 +497,83 @@ def vocabulary(rows: DataFrame, counted: DataFrame) -> Vocabulary:
         totals.n + trained, totals.v + (trained > 0), tuple(shares))
 
 
-def _packs(batches: Iterator[pa.RecordBatch], ids: Ids) -> Iterator[list[np.ndarray]]:
-    """The documents' ids, so many documents at a time that their tokens stay few."""
-    docs, held = [], 0
+ENCODED = (
+    "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, ids binary"
+)
+
+
+def encoded(rows: DataFrame, counted: DataFrame, words: Vocabulary) -> DataFrame:
+    """Every document with its ids, its base score, and what its rare words have inside their
+    buckets; written once.
+
+    The base is the smoothed share of each token: log10((c + 0.5) / (N + 0.5 (V + 1))).
+    """
+    spark, kind = rows.sparkSession, words.id_type
+    ids = words.ids()
+    frequent = spark.createDataFrame([(w, ids[w]) for w in words.words], "word binary, id int")
+    rare = (F.lit(RARE) + F.crc32("word") % ids.buckets).cast("int")
+    counts = counted.join(F.broadcast(frequent), "word", "left").select(
+        (2 * F.col("chunk")).alias("key"), "code", "c",
+        F.when(F.col("c") == 0, ids[UNSEEN]).otherwise(F.coalesce("id", rare)).alias("id"),
+        *[F.lit(None).cast(k).alias(n) for n, k in (("doc_id", "long"), ("held_out", "boolean"), ("codes", "binary"))])
+    documents = rows.filter("codes IS NOT NULL").select(
+        (2 * F.col("chunk") + 1).alias("key"), F.lit(0).alias("code"), F.lit(0).cast("long").alias("c"),
+        F.lit(0).alias("id"), "doc_id", "held_out", "codes")
+    totals, end_count = words.totals, words.counts[0]
+    base_total = math.log10(words.tokens + 0.5 * (words.distinct + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_id = np.append(np.zeros(RARE), np.log10(np.maximum(totals, 1e-9)))
+        end_share = math.log10(end_count + 0.5)
+        chunk, parts, logs, inside, own_ids, seen = None, [], *[np.zeros(0)] * 4
+        for batch in batches:
+            keys, *columns = (batch.column(c).to_numpy() for c in ("key", "code", "c", "id"))
+            cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist()
+            for first, last in zip(cuts, [*cuts[1:], len(keys)]):
+                if keys[first] >> 1 != chunk:   # a chunk's words come before its documents
+                    chunk, parts, logs = keys[first] >> 1, [], np.zeros(0)
+                if keys[first] % 2 == 0:
+                    parts.append([x[first:last] for x in columns])
+                    continue
+                if parts:
+                    code, c, at = (np.concatenate(x) for x in zip(*parts))
+                    order, parts = np.argsort(code), []
+                    own_ids, seen, logs = at[order].astype(kind), c[order] > 0, np.log10(c[order] + 0.5)
+                    inside = np.where(own_ids >= RARE, logs - by_id[own_ids], 0)
+                docs = batch.slice(first, last - first)
+                found = []
+                for data in docs.column("codes"):
+                    codes = from_planes(data.as_py())
+                    base = float(logs[codes].sum()) + end_share - base_total * (len(codes) + 1)
+                    known = int(np.count_nonzero(seen[codes])) if len(codes) else 0
+                    within = float(inside[codes].sum()) if len(codes) else 0.0
+                    own = np.append(own_ids[codes], END) if len(codes) else np.array([END])
+                    found.append((len(codes) + 1, known + (end_count > 0), base, within, own.astype(kind).tobytes()))
+                yield pa.RecordBatch.from_arrays(
+                    [docs.column("doc_id"), docs.column("held_out"),
+                     *[pa.array(x, k) for x, k in zip(zip(*found), (
+                         pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))]],
+                    names=[c.split()[0] for c in ENCODED.split(", ")])
+
+    parts = max(partitions_for(rows), rows.select("chunk").distinct().count())
+    return stage(counts.unionAll(documents).repartition(parts, F.shiftright("key", 1))
+                 .sortWithinPartitions("key").mapInArrow(run, ENCODED))
+
+
+def _packs(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[list[np.ndarray], list[pa.RecordBatch]]]:
+    """The documents' ids and rows, so many documents at a time that their tokens stay few."""
+    docs, rows, held = [], [], 0
     for batch in batches:
-        for text in batch.column("text"):
-            doc = _ids(tokens(text.as_py()), ids)
-            docs.append(doc)
-            held += len(doc)
+        first = 0
+        for i, data in enumerate(batch.column("ids")):
+            docs.append(np.frombuffer(data.as_buffer(), kind))
+            held += len(docs[-1])
             if held >= TOKENS_AT_ONCE:
-                yield docs
-                docs, held = [], 0
+                yield docs, [*rows, batch.slice(first, i + 1 - first)]
+                docs, rows, held, first = [], [], 0, i + 1
+        rows.append(batch.slice(first))
     if docs:
-        yield docs
+        yield docs, rows
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,24 +596,23 @@ MODEL_ROW = "flat binary, weight double"
 
 
 def train(rows: DataFrame, words: Vocabulary) -> dict[str, np.ndarray]:
-    """Learn from all rows that are not held out; the parameters grow with the buckets."""
+    """Learn from all encoded rows that are not held out; the parameters grow with the buckets."""
     spark, p = rows.sparkSession, words.start()
     for n in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((packed(p), words.ids()))
+        shared, kind = spark.sparkContext.broadcast(packed(p)), words.id_type
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            flat, ids = shared.value
-            own = unpacked(flat)
+            own = unpacked(shared.value)
             squares = {name: np.full(v.shape, 1e-4, np.float32) for name, v in own.items()}
             seen = 0
-            for docs in _packs(batches, ids):
+            for docs, _ in _packs(batches, kind):
                 learn(own, docs, squares)
                 seen += sum(map(len, docs))
             if seen:
                 yield _model_row(packed(own), seen)
 
         part = rows.filter(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == n))
-        models = stage(part.select("text").mapInArrow(run, MODEL_ROW))
+        models = stage(part.select("ids").mapInArrow(run, MODEL_ROW))
         count = models.count()
         most = min(256, max(2, AVERAGED_BYTES // packed(p).nbytes))
         while count > 1:   # a tree: no task averages more than a few hundred models
@@ -441,61 +630,21 @@ SCORED = (
 )
 
 
-def score(rows: DataFrame, counted: DataFrame, words: Vocabulary, p: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base_score, score of every row.
-
-    The base is the smoothed share of each token: log10((c + 0.5) / (N + 0.5 (V + 1))).
-    """
-    shared = rows.sparkSession.sparkContext.broadcast((packed(p), words))
-    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    both = counted.groupBy("chunk", "word").agg(F.max("c").alias("c")).select(
-        "chunk", F.lit(0).alias("kind"), "word", "c", nothing("long", "doc_id"), nothing("boolean", "held_out"),
-        nothing("string", "text"),
-    ).unionAll(rows.select(
-        "chunk", F.lit(1).alias("kind"), nothing("binary", "word"), nothing("long", "c"), "doc_id", "held_out", "text"))
+def score(rows: DataFrame, words: Vocabulary, p: dict[str, np.ndarray]) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, score of every encoded row."""
+    shared, kind = rows.sparkSession.sparkContext.broadcast(packed(p)), words.id_type
+    names = [c.split()[0] for c in SCORED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, vocab = shared.value
-        model, ids = unpacked(flat), vocab.ids()
-        base_total = math.log10(vocab.tokens + 0.5 * (vocab.distinct + 1))
-        rare_totals = np.log10(np.maximum(vocab.totals, 1e-9))
-        unseen = ids[UNSEEN]
-        end_count = vocab.counts[0]
-        chunk, logs, pending, held = None, {}, [], 0
-
-        def out():
-            likely = likelihoods(model, [d[4] for d in pending])
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(
-                [(d[0], d[1], d[2], d[3], d[5], d[6] + x) for d, x in zip(pending, likely.tolist())],
-                columns=[c.split()[0] for c in SCORED.split(", ")]).astype({"doc_id": "Int64"}), preserve_index=False)
+        model = unpacked(shared.value)
+        for docs, own in _packs(batches, kind):
+            likely, at = likelihoods(model, docs), 0
+            for batch in own:
+                total = pc.add(batch.column("inside"), pa.array(likely[at: at + batch.num_rows]))
+                at += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names[:-1]], total], names=names)
 
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("chunk", "kind", "word", "c", "doc_id", "held_out", "text")]
-            for own, kind, word, c, doc_id, held_out, text in zip(*columns):
-                if own != chunk:
-                    chunk, logs = own, {}
-                if kind == 0:
-                    logs[word] = math.log10(c + 0.5)
-                    continue
-                found = tokens(text)
-                doc = _ids(found, ids)
-                shares = np.fromiter(map(logs.__getitem__, found), np.float64, len(found))   # all were asked for
-                seen = shares > -0.25   # log10(0.5) is -0.3
-                doc[:-1][~seen] = unseen
-                rare = doc[:-1] >= RARE
-                known = int(seen.sum()) + (end_count > 0)
-                base = float(shares.sum()) + math.log10(end_count + 0.5) - base_total * len(doc)
-                inside = float((shares[rare] - rare_totals[doc[:-1][rare] - RARE]).sum())
-                pending.append((doc_id, held_out, len(doc), known, doc, base, inside))
-                held += len(doc)
-                if held >= TOKENS_AT_ONCE:
-                    yield from out()
-                    pending, held = [], 0
-        if pending:
-            yield from out()
-
-    parts = max(partitions_for(rows), rows.select("chunk").distinct().count())
-    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, SCORED)
+    return rows.mapInArrow(run, SCORED)
 
 
 def log_likelihoods(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -506,8 +655,12 @@ def log_likelihoods(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     words.  Parameters are averages of floats over tasks: scores of two runs agree
     to about five digits.
     """
-    rows = chunked(docs, doc_id, text)
-    counted = word_counts(rows)
-    words = vocabulary(rows, counted)
-    scored = score(rows, counted, words, train(rows, words))
+    spark, first = docs.sparkSession, staged_tables()
+    coded = chunked(docs, doc_id, text)
+    counted = word_counts(coded)
+    words = vocabulary(coded, counted)
+    last = staged_tables()
+    rows = encoded(coded, counted, words)
+    drop_staged(spark, first, last)   # all that is needed of them is in the encoded rows
+    scored = score(rows, words, train(rows, words))
     return scored.withColumn("train_tokens", F.lit(words.tokens).cast("long"))

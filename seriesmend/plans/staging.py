@@ -74,11 +74,16 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def drop_staged(spark: SparkSession, since: int = 0) -> None:
+def staged_tables() -> int:
+    """How many tables this process has staged and not dropped."""
+    return len(_written)
+
+
+def drop_staged(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
     """Delete what this process has staged; frames that still read it are then void."""
-    for path in _written[since:]:
+    for path in _written[since:until]:
         delete_folder(spark, path)
-    del _written[since:]
+    del _written[since:until]
 
 
 @contextlib.contextmanager

@@ -1,9 +1,11 @@
 import math
 import random
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +156,103 @@ def test_empty_and_untrained(spark, docs_of):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = gru.log_likelihoods(docs_of([(only, "a b")])).first()
     assert r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.base_score == pytest.approx(0)
+
+
+def skewed_window(buckets, seed=4):
+    """Parameters, states and targets of which half are of one class."""
+    rng = np.random.default_rng(seed)
+    vocab = gru.Vocabulary(tuple(b"w%d" % i for i in range(1023)), (5,) * 1024, 9000, 5000, (3.0,) * buckets)
+    p = {n: rng.normal(0, 0.3, v.shape) for n, v in vocab.start().items()}
+    targets = rng.integers(0, gru.RARE + buckets, 2048).astype(np.int32)
+    targets[::2] %= gru.PER_CLASS
+    return p, np.tanh(rng.normal(0, 1, (len(targets), gru.HIDDEN))), targets
+
+
+@pytest.mark.parametrize("scale", [1, 400])   # e to the larger scores is beyond the floats' range
+def test_predictions_equal_the_plain_formula(scale):
+    p, states, targets = skewed_window(320)
+    p = {n: v * scale for n, v in p.items()}
+    grads = {n: np.zeros_like(v) for n, v in p.items()}
+    found, back = gru._predict(p, states, targets, grads)
+    log_softmax = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    want, errors = [], {n: np.zeros_like(v) for n, v in p.items()}
+    for h, target, own in zip(states, targets, back):
+        c, w = divmod(int(target), gru.PER_CLASS)
+        a, b = log_softmax(h @ p["to_class"] + p["class_bias"]), log_softmax(h @ p["to_word"][c] + p["word_bias"][c])
+        want.append(a[c] + b[w])
+        a, b = np.exp(a) - (np.arange(len(a)) == c), np.exp(b) - (np.arange(len(b)) == w)
+        assert own == pytest.approx(p["to_class"] @ a + p["to_word"][c] @ b, rel=1e-6, abs=1e-6)
+        errors["to_class"] += np.outer(h, a)
+        errors["class_bias"] += a
+        errors["to_word"][c] += np.outer(h, b)
+        errors["word_bias"][c] += b
+    assert found == pytest.approx(want, rel=1e-9)
+    assert gru._predict(p, states, targets) == pytest.approx(want, rel=1e-9)
+    for name in ("to_class", "class_bias", "to_word", "word_bias"):
+        assert grads[name] == pytest.approx(errors[name], rel=1e-6, abs=1e-6)
+
+
+def test_calls_do_not_grow_with_the_classes():
+    # small products class by class took most of the time
+    def calls(buckets):
+        p, states, targets = skewed_window(buckets)
+        grads, count = {n: np.zeros_like(v) for n, v in p.items()}, [0]
+
+        def note(frame, event, arg):
+            count[0] += event in ("call", "c_call")
+
+        sys.setprofile(note)
+        try:
+            gru._predict(p, states, targets, grads)
+        finally:
+            sys.setprofile(None)
+        return count[0]
+
+    assert calls(3200) < 1.5 * calls(320)
+
+
+def test_texts_are_split_once(spark, docs_of):
+    scored = gru.log_likelihoods(docs_of(grammar_docs(300)))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    # learning and scoring read written ids: no text goes to the counts of its words again
+    assert "Exchange" not in plan and "text" not in plan and "ids" in plan
+    assert scored.count() == 300
+
+
+@pytest.mark.parametrize("most", [1, 5, 30, 1000])
+def test_chunks_number_the_words_of_whole_texts(most, monkeypatch):
+    monkeypatch.setattr(gru, "ROWS_AT_ONCE", 7)
+    rng = random.Random(1)
+    signs = [*"aBz \n\t\x0b\x0c\r\x1c\x85\xa0\x00", "É", "ß", "\u2003", "İ", "😀"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(25))) for _ in range(300)] + ["", " "]
+    batches = []
+    for i in range(0, len(texts), 37):
+        own = texts[i: i + 37]
+        batches.append(pa.RecordBatch.from_arrays(
+            [pa.array([3] * len(own), pa.int32()), pa.array(range(i, i + len(own)), pa.int64()),
+             pa.array([(i + j) % 3 == 0 for j in range(len(own))]), pa.array(own)],
+            names=["part", "doc_id", "held_out", "text"]))
+    docs, words, got, want, sizes = {}, {}, Counter(), Counter(), Counter()
+    for r in (r for b in gru._coded(iter(batches), most) for r in b.to_pylist()):
+        if r["codes"] is not None:
+            docs[r["doc_id"]] = (r["chunk"], gru.from_planes(r["codes"]).tolist())
+        else:
+            words[r["chunk"], r["code"]] = r["word"]
+            got[r["chunk"], r["word"]] = r["n"]
+    assert len(docs) == len(texts)
+    for i, text in enumerate(texts):
+        chunk, codes = docs[i]
+        assert [words[chunk, c] for c in codes] == words_of(text)
+        for w in words_of(text):
+            want[chunk, w] += i % 3 != 0
+        sizes[chunk] += len(text.encode()) + 1
+    assert got == want and len(got) == len(want)
+    alone = Counter(chunk for chunk, _ in docs.values())
+    assert all(size <= most or alone[chunk] == 1 for chunk, size in sizes.items())
+    assert gru.from_planes(gru.planes(np.array([0, 255, 256, 1 << 24, (1 << 31) - 1]))).tolist() == [0, 255, 256, 1 << 24, (1 << 31) - 1]
+
+
+@pytest.mark.parametrize("kind", [np.uint16, np.int32])
+def test_ids_fit_their_type(kind):
+    buckets = (1 << 16) - gru.RARE + (kind is np.int32) * gru.PER_CLASS
+    assert gru.Vocabulary((), (0,), 0, 0, (1.0,) * buckets).id_type is kind
