@@ -87,6 +87,43 @@ def test_only_size_decides_how_stretches_are_met(spark, monkeypatch, few):
     assert bool(used) == (few == 1)
 
 
+@pytest.mark.parametrize("ends", [3, 40, 100_000], ids=str)
+def test_stretches_begin_where_the_first_annotation_changes(spark, ends):
+    """Whatever the ranges of the sweep are; many share a time, and a long one comes early."""
+    rng = random.Random(5)
+    notes = [(5, 1_000, 90_000), *((n, 30_000, 30_000 + n) for n in range(100, 130)), *((n, 30_000 - n, 30_000) for n in range(60, 80))]
+    notes += [(n, a := rng.randint(0, 100_000), rng.choice([None, a + rng.randint(1, 3_000)])) for n in rng.sample(range(200, 400), 60)]
+    notes += [(n, a := rng.randint(0, 100_000), a + 40) for n in range(4)]
+    found = annotate.covered_stretches(noted(spark, notes), ("event_no",), ("event_no", "label"), ends_per_range=ends)
+    epoch = int((DAY - datetime.datetime(1970, 1, 1)).total_seconds())
+    stretches = sorted((r["at"], r["hit"] and r["hit"]["event_no"]) for r in found.collect())
+    moments = sorted({m for _, s, e in notes for m in (at(s), at(s) + datetime.timedelta(microseconds=1), at(e or s), at(e or s) + datetime.timedelta(microseconds=1))})
+    ranked = [(no, at(s), at(s if e is None else e)) for no, s, e in sorted(notes)]
+    want = []
+    for m in moments:
+        no = next((no for no, low, high in ranked if min(low, high) <= m <= max(low, high)), None)
+        micros = (m - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
+        if no is not None and not want or want and want[-1][1] != no:
+            want.append((micros, no))
+    # a range repeats what it begins with
+    assert [s for i, s in enumerate(stretches) if i == 0 or stretches[i - 1][1] != s[1]] == want
+    assert len({a for a, _ in stretches}) == len(stretches) and stretches[0][0] >= epoch * 10**6
+    if ends == 100_000:
+        assert stretches == want
+
+
+def test_what_the_driver_would_hold_is_bounded_by_its_size(spark, monkeypatch):
+    """Twenty labels of a megabyte are not broadcast."""
+    used = []
+    carried = annotate._carried_along
+    monkeypatch.setattr(annotate, "_carried_along", lambda *a: used.append(1) or carried(*a))
+    notes = noted(spark, [(n, 10 * n, 10 * n + 5) for n in range(20)]).withColumn("label", F.repeat(F.lit("x"), 2**20))
+    readings = spark.createDataFrame([(n, at(10 * n + 7 * (n % 2))) for n in range(20)], "i int, ts timestamp_ntz")
+    found = annotate.annotate_first(readings, notes, "ts", ("event_no",), ("event_no", "label"), keep=("i",))
+    got = {r["i"]: (r["event_no"], r["n"]) for r in found.select("i", "event_no", F.length("label").alias("n")).collect()}
+    assert used and got == {n: (None, None) if n % 2 else (n, 2**20) for n in range(20)}
+
+
 def test_no_annotations(spark):
     readings = spark.createDataFrame([(1, at(0))], "i int, ts timestamp_ntz")
     found = annotate.annotate_first(
