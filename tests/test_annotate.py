@@ -112,6 +112,18 @@ def test_stretches_begin_where_the_first_annotation_changes(spark, ends):
         assert stretches == want
 
 
+@pytest.mark.parametrize("ends", [4, 100_000], ids=str)
+def test_instants_that_overlap_by_their_tolerance_are_few_stretches(spark, ends):
+    notes = [(n, 60 * n, None) for n in range(50)]   # each within 90 seconds of the next
+    found = annotate.covered_stretches(noted(spark, notes), ("event_no",), ("event_no",), 90.0, ends).collect()
+    day = (DAY - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
+    stretches = sorted((r["at"] - day, r["hit"] and r["hit"]["event_no"]) for r in found)
+    changes = [s for i, s in enumerate(stretches) if i == 0 or stretches[i - 1][1] != s[1]]
+    ends_of = [(n + 1.5) * 60 * 10**6 + 1 for n in range(50)]   # each is shown to the end of the one before
+    assert changes == [(-90 * 10**6, 0), *zip(ends_of, range(1, 50)), (ends_of[-1], None)]
+    assert len(stretches) <= 51 + 100 / ends * 2
+
+
 def test_what_the_driver_would_hold_is_bounded_by_its_size(spark, monkeypatch):
     """Twenty labels of a megabyte are not broadcast."""
     used = []
