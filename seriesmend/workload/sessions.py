@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from seriesmend.model import SeriesSpec
-from seriesmend.operators.coincide import coincident_runs
+from seriesmend.operators.coincide import coincident_runs_each
 from seriesmend.operators.detect import detect_frozen
 from seriesmend.plans.staging import shared_folder
 from seriesmend.sinks.files import output_path
@@ -146,10 +146,7 @@ def q_coincident_runs(spark, folder):
     """Where two or three of the variables of the lines hardly move at the same time."""
     long = unpivot_variables(table(spark, folder, "lineitem"), LINE_VARIABLES, LINE_KEY)
     shown = ("start_l_shipdate", "end_l_shipdate", "start_l_orderkey", "end_l_orderkey", "points")
-    found = [
-        coincident_runs(long, LINE_SERIES, k, 2, 0.03).select(F.lit(k).alias("variables"), *shown) for k in (2, 3)
-    ]
-    return found[0].unionByName(found[1])
+    return coincident_runs_each(long, LINE_SERIES, (2, 3), 2, 0.03).select("variables", *shown)
 
 
 STREAM_SQL = f"""

@@ -4,7 +4,8 @@ import pytest
 
 import models
 from seriesmend.model import SeriesSpec
-from seriesmend.operators.coincide import coincident_runs
+from seriesmend.operators import coincide
+from seriesmend.operators.coincide import coincident_runs, coincident_runs_each
 from seriesmend.plans.blocks import Layout
 
 SPEC = SeriesSpec(("s", "variable"), ("t",), ("i",), "v")
@@ -60,3 +61,33 @@ def test_variables_without_other_keys(spark):
     assert [(r["start_i"], r["end_i"], r["points"]) for r in got] == [(0, 11, 12)]
     empty = spark.createDataFrame([], "variable string, i long, v double")
     assert coincident_runs(empty, spec, 1).count() == 0
+
+
+@pytest.mark.parametrize("batch", ["1", "4", "1000"])
+@pytest.mark.parametrize("rows", [1, 7, 50])
+def test_several_numbers_of_variables_over_batches_and_blocks(spark, tables, batch, rows):
+    """Runs and stretches go on over the ends of batches and blocks, whatever they are."""
+    series, df = tables
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, batch)
+    try:
+        found = coincident_runs_each(df, SPEC, (1, 2, 3), 3, 0.0, layout=Layout("blocked", block_rows=rows)).collect()
+    finally:
+        spark.conf.set(name, before)
+    for k in (1, 2, 3):
+        got = sorted(((r["s"], r["start_i"], r["end_i"], r["points"]) for r in found if r["variables"] == k), key=str)
+        assert got == plain(series, k, 3)
+
+
+def test_runs_of_long_series_are_sorted_and_searched_once(spark, tables, monkeypatch):
+    """One stretch of rows through all blocks, for two numbers of variables."""
+    sorts = []
+    number_rows = coincide.number_rows
+    monkeypatch.setattr(coincide, "number_rows", lambda *a: sorts.append(1) or number_rows(*a))
+    spec = SeriesSpec(("variable",), ("i",), (), "v")
+    rows = [(name, i, 1.0) for name in "xy" for i in range(50)]
+    df = spark.createDataFrame(rows, "variable string, i long, v double")
+    found = coincident_runs_each(df, spec, (1, 2, 3), 2, 0.0, layout=Layout(largest_plain=20, block_rows=6)).collect()
+    assert sorted((r["variables"], r["start_i"], r["end_i"], r["points"]) for r in found) == [(1, 0, 49, 50), (2, 0, 49, 50)]
+    assert len(sorts) == 1
