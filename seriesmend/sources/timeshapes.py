@@ -11,7 +11,6 @@ a text in no known shape, or a date that does not exist, has no time.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -27,19 +26,25 @@ PIVOT_YEAR = 69
 _DATE = r"(\d{4}|\d{1,2}|[A-Za-z]{3,9})\.?[-/., ]+(\d{1,2}|[A-Za-z]{3,9})\.?(?:st|nd|rd|th)?[-/., ]+(\d{4}|\d{1,2})"
 _CLOCK = r"(?:[T, ]+(\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,](\d{1,9}))?)?(?: *([AaPp])\.?[Mm]\.?)?)?"
 SHAPE = rf"^\s*{_DATE}{_CLOCK}\s*$"
+# What any of the ISO layouts begins with: four digits of a year, which may have a sign.
+LEADING_YEAR = r"^[+-]?\d{4}"
 WEEKDAY = r"^\s*(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*[,. ]+"
 
 
 def _fields(text: Column) -> Column:
     """The eight fields of a text (three of the date, hour, minute, second, fraction, half of
     the day), empty where it has none; NULL if it has another shape."""
-    plain = F.regexp_replace(text, WEEKDAY, "")
-    cut = F.split(F.regexp_replace(plain, SHAPE, "$1|$2|$3|$4|$5|$6|$7|$8"), r"\|")
-    return F.when(plain.rlike(SHAPE), cut)
+    def cut(plain: Column) -> Column:
+        # a text of this shape has no bar, so it has changed; any other one has not
+        marked = F.regexp_replace(plain, SHAPE, "$1|$2|$3|$4|$5|$6|$7|$8")
+        return let(marked, lambda m: F.when(m != plain, F.split(m, r"\|")))
+
+    return let(F.regexp_replace(text, WEEKDAY, ""), cut)
 
 
 def _number(field: Column) -> Column:
-    return field.try_cast("int")
+    # a field is empty, digits or letters; a cast that fails is slow, so it is not tried
+    return F.when((field >= "0") & (field < "A"), field.try_cast("int"))
 
 
 @dataclass(frozen=True)
@@ -52,7 +57,8 @@ class TimeShapes:
 
     def parse(self, text: Column) -> Column:
         """Text to time (no zone), by the library's ISO layouts or else by shape."""
-        return F.coalesce(parse_time_text(text, ISO_FORMATS), self._by_shape(text))
+        iso = F.when(text.rlike(LEADING_YEAR), parse_time_text(text, ISO_FORMATS))
+        return F.coalesce(iso, self._by_shape(text))
 
     def _by_shape(self, text: Column) -> Column:
         # every step is bound once
@@ -64,7 +70,8 @@ class TimeShapes:
         months = F.array(*[F.lit(m) for m in MONTHS])
         month_of = lambda x: F.coalesce(
             _number(x), F.nullif(F.array_position(months, F.lower(F.substring(x, 1, 3))), F.lit(0)).cast("int"))
-        leads, first_is_name, second_is_name = a.rlike("^[0-9]{4}$"), a.rlike("^[A-Za-z]"), b.rlike("^[A-Za-z]")
+        first_is_name, second_is_name = a >= "A", b >= "A"   # fields are digits or letters
+        leads = (F.length(a) == 4) & ~first_is_name
         month_second = second_is_name | F.lit(not self.day_before_month)
         month_first = first_is_name | (~second_is_name & F.lit(self.month_first))
         year = F.when(leads, a).otherwise(c)
@@ -84,10 +91,9 @@ class TimeShapes:
 
 
 def _as_time(n: Column) -> Column:
-    there = n["year"].isNotNull() & n["month"].isNotNull() & n["day"].isNotNull()
-    whole = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", *[n[c] for c in ("year", "month", "day", "hour", "minute", "second")])
-    at = F.try_to_timestamp(F.when(there, whole), F.lit("yyyy-MM-dd HH:mm:ss"))
-    return F.timestamp_micros(F.unix_micros(at) + n["micros"]).cast("timestamp_ntz")
+    # second 60 would be the next minute
+    at = F.try_make_timestamp_ntz(*[n[c] for c in ("year", "month", "day", "hour", "minute")], F.when(n["second"] < 60, n["second"]))
+    return F.timestamp_micros(F.unix_micros(at.cast("timestamp")) + n["micros"]).cast("timestamp_ntz")
 
 
 def shapes_of(df: DataFrame, *columns: str) -> TimeShapes:
@@ -96,15 +102,17 @@ def shapes_of(df: DataFrame, *columns: str) -> TimeShapes:
     if not texts:
         return TimeShapes()
 
-    def small(i: int, leads: bool) -> list[Column]:
-        shape = "^[0-9]{4}$" if leads else "^[0-9]{1,2}$"
-        return [let(_fields(t), lambda f: f[0].rlike(shape) & (_number(f[i]) <= 12)) for t in texts]
+    def small(f: Column) -> Column:
+        number = f[0] < "A"
+        short, leads = number & (F.length(f[0]) < 3), number & (F.length(f[0]) == 4)
+        return F.struct(
+            (short & (_number(f[1]) <= 12)).alias("day_first"), (short & (_number(f[0]) <= 12)).alias("month_first"),
+            (leads & (_number(f[1]) <= 12)).alias("year_month"), (leads & (_number(f[2]) <= 12)).alias("year_day"),
+        )
 
-    count = lambda hits: reduce(lambda x, y: x + y, [F.count_if(F.coalesce(h, F.lit(False))) for h in hits])
-    found = df.agg(
-        count(small(1, False)).alias("day_first"), count(small(0, False)).alias("month_first"),
-        count(small(1, True)).alias("year_month"), count(small(2, True)).alias("year_day"),
-    ).first()
+    # a text is cut once for all four
+    cut = df.select(F.inline(F.array(*[let(_fields(t), small) for t in texts])))
+    found = cut.agg(*[F.count_if(F.coalesce(named(c), F.lit(False))).alias(c) for c in cut.columns]).first()
     return TimeShapes(found["month_first"] > found["day_first"], found["year_day"] > found["year_month"])
 
 

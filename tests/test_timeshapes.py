@@ -34,6 +34,30 @@ def test_times_are_read_by_their_fields(spark, texts, want):
     assert read(spark, texts)[1] == want
 
 
+def test_times_at_the_edges(spark):
+    texts = ["1/2/2024 23:59:59", "1/2/2024 10:00:60", "1/2/2024 24:00", "1/2/0001", "0/2/2024", "1/0/2024",
+             "1/2/2024 10:60", "Mon", "a|b|c|d|e|f|g|h", "1|2|2024|||||", "June 3 2024", "2024 June 3", "3 June 2024", "+2024-01-02", " 2024-01-02", "2024-1-2"]
+    want = [D(2024, 2, 1, 23, 59, 59), None, None, D(1, 2, 1), None, None,
+            None, None, None, None, D(2024, 6, 3), D(2024, 6, 3), D(2024, 6, 3), None, D(2024, 1, 2), D(2024, 1, 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r["x"] for r in df.select("i", TimeShapes().parse(df["t"]).alias("x")).orderBy("i").collect()] == want
+
+
+def test_a_text_is_cut_once_and_tried_by_iso_layouts_only_where_a_year_leads(spark):
+    df = spark.createDataFrame([("01/02/2024",)], "t string").repartition(1)
+    seen = []
+    frame = type(df)
+    chosen = frame.agg
+    try:
+        frame.agg = lambda self, *a: seen.append(self._jdf.queryExecution().optimizedPlan().toString()) or chosen(self, *a)
+        shapes_of(df, "t")
+    finally:
+        frame.agg = chosen
+    assert len(seen) == 1 and seen[0].count("regexp_replace") == 2
+    plan = df.select(TimeShapes().parse(df["t"]).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[+-]?" in plan and plan.count("regexp_replace") == 2 and "format_string" not in plan
+
+
 def test_an_order_is_decided_once_over_several_columns(spark):
     df = spark.createDataFrame([("01/02/2024", "12/31/2024"), ("03/04/2024", None)], "start string, end string")
     assert shapes_of(df, "start") == TimeShapes() and shapes_of(df, "start", "end") == TimeShapes(month_first=True)
